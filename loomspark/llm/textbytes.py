@@ -58,12 +58,12 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return whole[off[0] : off[-1]], off - off[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about limit bytes: (first, last, bytes, offsets)."""
+def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES, texts: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about limit bytes, at most ``texts`` each: (first, last, bytes, offsets)."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + texts)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
