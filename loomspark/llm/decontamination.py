@@ -32,9 +32,12 @@ def words_of(text: Column) -> Column:
 
 def shingle_hashes(words: Column, k: int = K) -> Column:
     """Hashes of the k-word shingles in order; fewer words: the whole sequence as one; none: none."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
-    return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(ws: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
+        return F.when(F.size(ws) >= k, many).when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(words), of)[0]  # a lambda variable, so that the words are cut once
 
 
 def simhash(hashes: Column) -> Column:
