@@ -11,6 +11,7 @@ from loomspark.llm import decontamination
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.language_id import identify, learn
 from loomspark.llm.mixing import assign
+from loomspark.llm.ngram_join import classes_of_links
 from loomspark.llm.pii import KINDS, find_pii
 from loomspark.llm.quality import fit, score
 from loomspark.llm.secret_scan import find_secrets
@@ -48,6 +49,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes_of_links(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -70,4 +75,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op4_url_filter, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii)}
