@@ -224,3 +224,10 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
     for name in ("quality_score", "weak_label"):
         judged_docs = judged_docs.withColumn(name, F.col(f"__ls_judged.{name}"))
     return judged_docs.withColumn("quality_keep", F.col("quality_score") >= 0.5).drop("__ls_judged")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """docs without those that a model fitted on docs rejects; columns stay as they are."""
+    model = fit(docs, id_col, text_col, sample)
+    judged = score(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__ls_row"), F.col(text_col).alias("__ls_body")), model, "__ls_body")
+    return judged.filter("quality_keep").select("__ls_row.*")

@@ -15,6 +15,7 @@ from loomspark.llm.ngram_join import classes_of_links
 from loomspark.llm.pii import KINDS, find_pii
 from loomspark.llm.quality import fit, score
 from loomspark.llm.secret_scan import find_secrets
+from loomspark.llm.substring_dedup import repeated_spans
 from loomspark.llm.url_filter import PATTERN_RULES, host_path_rule, judge_urls
 
 URL_RULES = tuple(host_path_rule(t, a) for t, a in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
@@ -28,6 +29,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: SQL for the queries that DuckDB can express and answer over whole tables.
+ORACLES: dict[str, str] = {}
+
+
 def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -44,6 +49,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("base", k) for k in ("assign", "access", "hex")], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES + PATTERN_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -75,4 +86,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii)
+}
