@@ -30,7 +30,9 @@ LENGTH, GRAM = 50, 20
 #: Bytes of interval lists up to which they are sent to all executors; beyond, they are shuffled.
 SMALL_BYTES = 64 << 20
 #: Records sorted in one task, and records held before they are handed on.
-RANGE_RECORDS, HELD_RECORDS = 1_200_000, 600_000
+RANGE_RECORDS, HELD_RECORDS = 400_000, 250_000
+#: Bytes of text worked on at once; names of strings take some 150 bytes for each.
+SLICE = 1 << 19
 
 _M = 0x9E3779B97F4A7C15
 _TABLES: dict[int, np.ndarray] = {}
@@ -39,7 +41,7 @@ _LAST = np.iinfo(np.int64).max
 
 def _power_table(m: int, n: int) -> np.ndarray:
     if len(_TABLES.get(m, ())) < n:
-        t = np.full(max(n, 1 << 21), m, np.uint64)
+        t = np.full(max(n, SLICE), m, np.uint64)
         t[0] = 1
         _TABLES[m] = np.multiply.accumulate(t)
     return _TABLES[m][:n]
@@ -254,7 +256,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = _Dealer(_RECORD, ranges)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, data, off in slices(*as_bytes(batch.column(2)), texts=30_000):
+            for i, j, data, off in slices(*as_bytes(batch.column(2)), SLICE, texts=30_000):
                 anchor, content, doc, at, count = runs(data, off, length, gram)
                 yield from out.add(anchor, doc, ids[i:j], texts[i:j], anchor=(anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), content=content, at=at, count=count)
         yield from out.hand_on()
@@ -267,7 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         half = length // 2
         for batch in batches:
             ids, texts, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for i, j, data, off in slices(*as_bytes(batch.column(2)), texts=30_000):
+            for i, j, data, off in slices(*as_bytes(batch.column(2)), SLICE, texts=30_000):
                 names = Names(data)
                 pairs = [np.frombuffer(opened[x].as_py(), np.int32).reshape(-1, 2).astype(np.int64) for x in range(i, j)]
                 doc = np.repeat(np.arange(j - i), [len(p) for p in pairs])
