@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.storage import written
+from loomspark.storage import bounded_batches, written
 
 #: Characters of the text in the sort key: splitters stay small however long the texts are.
 KEY_CHARS = 32
@@ -84,6 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select("_id", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), "_text")
     order = F.col("_id").asc_nulls_first() if keep == "max" else F.col("_id").desc_nulls_first()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.textbytes import as_bytes, slices
+from loomspark.storage import bounded_batches
 
 #: Trigram buckets.
 BUCKETS = 4096
@@ -67,6 +68,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["lang", "bucket", "n"])
 
+    bounded_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col))
     rows = known.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
@@ -153,5 +155,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     pred[t], score[t] = languages[0], 1 / len(languages)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred), pa.array(score), pa.array(shares, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], names=["id", "lang_pred", "score", "languages"])
 
+    bounded_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(predict, f"id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "languages")

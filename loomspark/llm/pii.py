@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.textbytes import as_bytes, slices, words
+from loomspark.storage import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", "email", "ip", "card", "phone", "id")
@@ -317,5 +318,6 @@ def find_pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
                 rows = lambda found: pa.array([[{"kind": x[3], "start": x[0], "end": x[2]} for x in sorted(f)] for f in found], span)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows([[x for x in f if x[1] < len(KINDS)] for f in every]), rows(every)], names=["id", "base", "spans"])
 
+    bounded_batches(docs.sparkSession)
     spans = "array<struct<kind:string,start:int,end:int>>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(find, f"id {kind}, base {spans}, spans {spans}").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.textbytes import LOWER, as_bytes, mix64, slices, word_hashes, words
-from loomspark.storage import written
+from loomspark.storage import bounded_batches, written
 
 #: (name, statistic, good up to, junk from): between the two a labeller abstains.
 LABELLERS = (
@@ -178,6 +178,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 code = (votes(s)[some] * 3 ** np.arange(len(LABELLERS))).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(code.astype(np.int32))], names=["h", "code"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("h"), F.col(text_col).alias("text"))
     coded = written(rows.mapInArrow(vote, "h bigint, code int"), "quality-votes")
     counted = coded.groupBy("code").count().toPandas()
@@ -220,6 +221,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
                 out[i:j, 1] = np.where(s["words"] > 0, 1 - posterior(votes(s), model.prior, model.accuracies), 0)
             yield pd.DataFrame(out, columns=["quality_score", "weak_label"])
 
+    bounded_batches(docs.sparkSession)
     judged_docs = docs.withColumn("__ls_judged", judged(text_col))
     for name in ("quality_score", "weak_label"):
         judged_docs = judged_docs.withColumn(name, F.col(f"__ls_judged.{name}"))

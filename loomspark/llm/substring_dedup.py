@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.textbytes import as_bytes, mix64, slices
-from loomspark.storage import written
+from loomspark.storage import bounded_batches, written
 
 LENGTH, GRAM = 50, 20
 #: Bytes of interval lists up to which they are sent to all executors; beyond, they are shuffled.
@@ -245,6 +245,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty; a null identifier counts as larger than all others. Rows of the same identifier never remove
     from each other. Texts shorter than ``length`` stay whole. No rows in, no rows out.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("hash", F.xxhash64("body"))

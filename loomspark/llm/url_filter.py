@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.storage import bounded_batches
+
 #: Rules are held by every task; more than this is refused rather than sent out.
 MAX_RULES = 200_000
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -104,5 +106,6 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
                 out.append((None, default) if best is None else (best[3].name, best[3].action))
             yield pd.DataFrame(out, columns=["rule", "verdict"])
 
+    bounded_batches(pages.sparkSession)
     found = split.withColumn("__ls_found", judged("host", "path"))
     return found.withColumn("rule", F.col("__ls_found.rule")).withColumn("verdict", F.col("__ls_found.verdict")).drop("__ls_found")
