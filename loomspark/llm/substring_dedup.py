@@ -259,7 +259,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, data, off in slices(*as_bytes(batch.column(2)), SLICE, texts=30_000):
                 anchor, content, doc, at, count = runs(data, off, length, gram)
-                yield from out.add(anchor, doc, ids[i:j], texts[i:j], anchor=(anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), content=content, at=at, count=count)
+                # anchors are the least names around, so they are mixed again before they are dealt by range
+                yield from out.add(mix64(anchor + np.uint64(0x632BE59BD9B4E019)), doc, ids[i:j], texts[i:j], anchor=(anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), content=content, at=at, count=count)
         yield from out.hand_on()
 
     spans = rows.select("key", "hash", "body").mapInArrow(deal, DEALT).groupBy("range").applyInArrow(_settle_runs(parts), SPANS)
