@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAGE = "struct<title:string,chunks:array<string>,faqs:array<struct<question:string,answer:string>>,links:array<string>,documents:array<string>,markdown:string>"
@@ -206,8 +207,12 @@ def page_data(html: str | None, url: str | None) -> dict:
     return {"title": title, "chunks": blocks(part), "faqs": faqs(root), "links": pages, "documents": documents, "markdown": markdown(part)}
 
 
-@F.pandas_udf(PAGE)
-def page(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def page(html_col: Column | str, url: Column | str) -> Column:
     """(html, url) -> structured page."""
-    for html, url in batches:
-        yield pd.DataFrame([page_data(h, u) for h, u in zip(html, url, strict=True)], columns=["title", "chunks", "faqs", "links", "documents", "markdown"])
+
+    @F.pandas_udf(PAGE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for html, url in batches:
+            yield pd.DataFrame([page_data(h, u) for h, u in zip(html, url, strict=True)], columns=["title", "chunks", "faqs", "links", "documents", "markdown"])
+
+    return run(html_col, url)

@@ -73,7 +73,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
                 index[own] = np.arange(len(own))
                 sub = louvain(np.append(index[a[inside]], np.arange(len(own))), np.append(index[b[inside]], np.arange(len(own))), np.append(w[inside], np.zeros(len(own))), max(float(w[inside].sum()), 1e-9), resolution, seed)
                 fine[own] = fine.max() + 1 + sub
-        low = {c: names[fine == c].min() for c in np.unique(fine)}
+        low = {c: min(names[fine == c].tolist()) for c in np.unique(fine)}
         return pd.DataFrame({"node_id": names, "community": [low[c] for c in fine]})
 
     return keyed.groupBy("component").applyInPandas(cluster, "node_id string, community string")
@@ -93,7 +93,7 @@ def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: i
     base = base.join(big, "community", "left_semi")
     if algorithm == "leiden":
         return base.select(F.lit(0).alias("level"), "community", "node_id", F.lit(None).cast("string").alias("parent"))
-    upper = detect(community_edges(pairs, base), resolution / 2, seed).withColumnsRenamed({"node_id": "community", "community": "parent"})
+    upper = detect(community_edges(pairs, base), resolution / 2, seed).select(F.col("node_id").alias("community"), F.col("community").alias("parent"))
     groups = upper.groupBy("parent").count().filter("count >= 2").select("parent")
     upper = upper.join(groups, "parent", "left_semi")
     level0 = base.join(upper, "community", "left").select(F.lit(0).alias("level"), "community", "node_id", "parent")
@@ -112,7 +112,7 @@ def titles(graph: Graph, members: DataFrame) -> DataFrame:
     """(level, community, title, n): dominant type and the three members of the highest degree in the whole graph."""
     x = members.join(graph.nodes, "node_id").join(degrees(graph), "node_id")
     key = ["level", "community"]
-    kinds = x.groupBy(*key, "type").agg(F.count("*").alias("c"), F.min("ord").alias("o")).groupBy(*key).agg(F.max_by("type", F.struct("c", -F.col("o"))).alias("kind"), F.sum("c").alias("n"))
+    kinds = x.groupBy(*key, "type").agg(F.count("*").alias("c"), F.min("ord").alias("o")).groupBy(*key).agg(F.min(F.struct((-F.col("c")).alias("c"), "o", "type"))["type"].alias("kind"), F.sum("c").alias("n"))
     ranked = x.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("degree"), "ord"))).filter("r <= 3")
     top = ranked.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda s: s["name"]), ", ").alias("names"))
     return kinds.join(top, key).select(*key, F.concat(F.coalesce("kind", F.lit("Mixed")), F.lit(" cluster: "), F.col("names")).alias("title"), "n")

@@ -38,8 +38,8 @@ def build_edges(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     r = relationships.select(normalize_name(F.col("source")).alias("src"), normalize_name(F.col("target")).alias("dst"), "relation_type", "description", "weight", "source_chunk", "ord")
     ids = nodes.select("node_id")
     r = r.join(ids, r.src == ids.node_id, "left_semi").join(ids, r.dst == ids.node_id, "left_semi")
-    first = F.min_by(F.struct("relation_type", "description", "source_chunk"), "ord")
-    return r.groupBy("src", "dst").agg(first.alias("x"), F.sum("weight").alias("weight"), F.min("ord").alias("ord")).select("src", "dst", "x.*", "weight", "ord")
+    first = F.min(F.struct("ord", "relation_type", "description", "source_chunk"))
+    return r.groupBy("src", "dst").agg(first.alias("x"), F.sum("weight").alias("weight")).select("src", "dst", "x.relation_type", "x.description", "x.source_chunk", "weight", "x.ord")
 
 
 def rejected_relationships(relationships: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,14 +1,350 @@
-"""Registered queries over the test tables and their SQL."""
+"""Registered queries over the test tables and their SQL.
+
+The graph of these queries: brands and suppliers are entities, line items relate them. Names are
+spelt in several ways, so that normalisation and merging matter.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspark.functions.html import page
+from loomspark.functions.text import clamp_score, normalize_name, overall_score, split_reasoning, strip_think, truncate, window_chunks
+from loomspark.functions.url import authority, excluded, normalize_url, visit_key
+from loomspark.operators import communities, evaluation
+from loomspark.operators.components import components
+from loomspark.operators.graph import Graph, build_edges, build_entity_map, build_graph, build_nodes, context, degrees, incident_edges, induced, list_entities, neighbours, rejected_relationships, relation_counts, statistics, type_counts, undirected
+from loomspark.operators.merge import merge_entities, merge_relationships
+from loomspark.operators.retrieval import match_terms, nearest, node_tokens
+from loomspark.plans.chat import history, latest_question
+from loomspark.plans.index_build import build
+from loomspark.plans.search import combined_search, global_search, local_search
+from loomspark.sources.corpus import failed_chunks
+from loomspark.sources.store import page_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("  "), F.replace("p_brand", F.lit("#"), F.lit("_")))).otherwise(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    parts = p.select(brand.alias("name"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type"), F.col("p_name").alias("description"), F.concat(F.lit("p_chunk_"), F.col("p_partkey").cast("string")).alias("source_chunk"), F.col("p_partkey").alias("ord"))
+    s = table(spark, sf_dir, "supplier")
+    return parts.unionByName(s.select(F.col("s_name").alias("name"), F.lit("Supplier").alias("type"), F.lit("").alias("description"), F.concat(F.lit("s_chunk_"), F.col("s_suppkey").cast("string")).alias("source_chunk"), (F.col("s_suppkey") + 10_000_000).alias("ord")))
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    brand = F.when(F.col("l_orderkey") % 7 == 0, F.lit("unknown")).otherwise(F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    return x.select(brand.alias("source"), F.col("s_name").alias("target"), F.concat(F.lit("R_"), F.col("l_returnflag")).alias("relation_type"), F.concat(F.col("l_linestatus"), F.col("l_returnflag")).alias("description"), F.col("l_quantity").alias("weight"), F.concat(F.lit("l_chunk_"), F.col("l_orderkey").cast("string")).alias("source_chunk"), ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") % 1000 * 1000 + F.col("l_suppkey") % 1000).alias("ord"))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return build_graph(entities(spark, sf_dir), relations(spark, sf_dir))
+
+
+ENT = """ent as (select case p_partkey % 3 when 0 then upper(p_brand) when 1 then '  ' || replace(p_brand, '#', '_') else replace(p_brand, '#', '-') end as name, split_part(p_type, ' ', 1) as type, p_name as description, 'p_chunk_' || p_partkey as source_chunk, p_partkey as ord from part
+  union all select s_name, 'Supplier', '', 's_chunk_' || s_suppkey, s_suppkey + 10000000 from supplier),
+ rel as (select case when l_orderkey % 7 = 0 then 'unknown' else replace(p_brand, '#', ' ') end as source, s_name as target, 'R_' || l_returnflag as relation_type, l_linestatus || l_returnflag as description, l_quantity as weight, 'l_chunk_' || l_orderkey as source_chunk, (l_orderkey * 16 + l_linenumber) * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 as ord
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey)"""
+NORM = "translate(lower(trim({0})), '_-', '  ')"
+FOLD = "list_reduce(list_prepend('', list(description order by ord)), lambda acc, d: case when d = '' or contains(acc, d) then acc else trim(acc || ' ' || d) end)"
+NODES = f"""nodes as (select {NORM.format('name')} as node_id, arg_max(name, ord) as name, arg_max(type, ord) as type, arg_max(description, ord) as description, arg_max(source_chunk, ord) as source_chunk, min(ord) as ord from ent group by 1)"""
+EDGES = f"""edges as (select {NORM.format('source')} as src, {NORM.format('target')} as dst, arg_min(relation_type, ord) as relation_type, arg_min(description, ord) as description, arg_min(source_chunk, ord) as source_chunk, sum(weight) as weight, min(ord) as ord
+  from rel where {NORM.format('source')} in (select node_id from nodes) and {NORM.format('target')} in (select node_id from nodes) group by 1, 2)"""
+UND = "und as (select least(src, dst) as a, greatest(src, dst) as b, sum(weight) as weight from edges group by 1, 2)"
+DEG = "deg as (select n.node_id, count(e.node_id) as degree from nodes n left join (select unnest([a, b]) as node_id from und) e using (node_id) group by 1)"
+G = f"with {ENT}, {NODES}, {EDGES}, {UND}, {DEG}"
+
+
+@query(f"with {ENT} select {NORM.format('name')} as node_id, arg_min(name, ord) as name, arg_min(type, ord) as type, {FOLD} as description, arg_min(source_chunk, ord) as source_chunk, min(ord) as ord from ent group by {NORM.format('name')}, lower(type)")
+def a1_merge_entities(spark, d):  # noqa: ANN001, ANN201
+    return merge_entities(entities(spark, d))
+
+
+@query(f"with {ENT} select {NORM.format('source')} as src, {NORM.format('target')} as dst, arg_min(source, ord) as source, arg_min(target, ord) as target, arg_min(relation_type, ord) as relation_type, {FOLD} as description, sum(weight) as weight, arg_min(source_chunk, ord) as source_chunk, min(ord) as ord from rel group by 1, 2, lower(relation_type)")
+def a2_merge_relationships(spark, d):  # noqa: ANN001, ANN201
+    return merge_relationships(relations(spark, d))
+
+
+@query(f"with {ENT}, {NODES} select * from nodes")
+def a4_nodes(spark, d):  # noqa: ANN001, ANN201
+    return build_nodes(entities(spark, d))
+
+
+@query(f"with {ENT} select {NORM.format('name')} as node_id, arg_min(name, ord) as name, arg_min(type, ord) as type, arg_min(source_chunk, ord) as source_chunk, {FOLD} as description, min(ord) as ord from ent group by 1")
+def a4_entity_map(spark, d):  # noqa: ANN001, ANN201
+    return build_entity_map(entities(spark, d))
+
+
+@query(f"with {ENT}, {NODES}, {EDGES} select * from edges")
+def a5_directed_edges(spark, d):  # noqa: ANN001, ANN201
+    return build_edges(relations(spark, d), build_nodes(entities(spark, d)))
+
+
+@query(f"{G} select * from und")
+def a6_undirected_edges(spark, d):  # noqa: ANN001, ANN201
+    return undirected(graph(spark, d).edges)
+
+
+@query(f"{G} select * from deg")
+def a7_degrees(spark, d):  # noqa: ANN001, ANN201
+    return degrees(graph(spark, d))
+
+
+@query(f"{G} select type, count(*) as n from nodes group by 1")
+def a8_type_counts(spark, d):  # noqa: ANN001, ANN201
+    return type_counts(build_nodes(entities(spark, d)))
+
+
+@query(f"{G} select relation_type, count(*) as n from edges group by 1")
+def a9_relation_counts(spark, d):  # noqa: ANN001, ANN201
+    return relation_counts(graph(spark, d).edges)
+
+
+@query(
+    f"""{G}, adj as (select src as x, dst as y from edges union select dst, src from edges), low as (select node_id, list_sort(list_append(list(y) filter (y is not null), node_id))[1] as l from nodes left join adj on x = node_id group by node_id)
+ select n as num_nodes, m as num_edges, 1 + (select count(*) from deg where degree = 0) as num_components, 2 * m / greatest(n, 1) as avg_degree, 2 * m / (n * (n - 1)) as density from (select (select count(*) from nodes) as n, (select count(*) from und) as m)"""
+)
+def a10_statistics(spark, d):  # noqa: ANN001, ANN201
+    return statistics(graph(spark, d))
+
+
+@query("""with recursive e as (select o_custkey as a, o_orderkey + 1000000000 as b from orders where o_custkey % 3 = 0 and o_orderkey % 2 = 0), und as (select a, b from e union select b, a from e),
+ reach(node, seen) as (select a, a from und union select u.b, r.seen from reach r join und u on u.a = r.node)
+ select node, min(seen) as component from reach group by 1""")
+def a12_components(spark, d):  # noqa: ANN001, ANN201
+    o = table(spark, d, "orders").filter("o_custkey % 3 = 0 and o_orderkey % 2 = 0")
+    return components(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")))
+
+
+@query(f"{G} select * from rel where {NORM.format('source')} not in (select node_id from nodes) or {NORM.format('target')} not in (select node_id from nodes)")
+def j2_rejected_relationships(spark, d):  # noqa: ANN001, ANN201
+    return rejected_relationships(relations(spark, d), build_nodes(entities(spark, d))).drop("src", "dst")
+
+
+@query(
+    f"""{G}, adj as (select src as x, dst as y from edges union select dst, src from edges), seeds as (select node_id from nodes where ord <= 2),
+ h1 as (select distinct s.node_id as seed, y as node_id from seeds s join adj on x = s.node_id where y <> s.node_id), h2 as (select distinct seed, y as node_id from h1 join adj on x = h1.node_id where y <> seed)
+ select seed, node_id, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) group by 1, 2"""
+)
+def j3_neighbours(spark, d):  # noqa: ANN001, ANN201
+    g = graph(spark, d)
+    return neighbours(g.edges, g.nodes.filter("ord <= 2"), 2)
+
+
+@query(f"{G} select src, dst, weight from edges where src in (select node_id from nodes where ord % 2 = 1) and dst in (select node_id from nodes where ord % 2 = 1)")
+def j4_induced_subgraph(spark, d):  # noqa: ANN001, ANN201
+    g = graph(spark, d)
+    return induced(g, g.nodes.filter("ord % 2 = 1")).edges.select("src", "dst", "weight")
+
+
+@query(f"{G} select *, 'outgoing' as direction from edges where src = 'brand 13' union all select *, 'incoming' from edges where dst = 'brand 13'")
+def j5_incident_edges(spark, d):  # noqa: ANN001, ANN201
+    return incident_edges(graph(spark, d).edges, "brand 13")
+
+
+@query(
+    f"""{G}, terms(term_pos, term) as (values (0, 'Brand_13'), (1, 'brand supplier'), (2, 'no such thing 13')), w as (select term_pos, term, {NORM.format('term')} as key from terms),
+ exact as (select term_pos, term, node_id, len(list_distinct(string_split(key, ' '))) as overlap, 1.0::double as score, 1 as rank from w join nodes on key = node_id),
+ tok as (select node_id, ord, len(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as n_words, unnest(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as token from nodes),
+ hits as (select term_pos, term, node_id, n_words, ord, count(*) as overlap from (select term_pos, term, unnest(list_distinct(string_split(key, ' '))) as token from w where term_pos not in (select term_pos from exact)) join tok using (token) where length(token) > 2 group by all),
+ ranked as (select *, row_number() over (partition by term_pos order by overlap desc, overlap / n_words desc, ord) as rank from hits)
+ select * from exact union all select term_pos, term, node_id, overlap, overlap / n_words, rank from ranked where rank <= 5"""
+)
+def j7_match_terms(spark, d):  # noqa: ANN001, ANN201
+    terms = spark.createDataFrame([(0, "Brand_13"), (1, "brand supplier"), (2, "no such thing 13")], "term_pos int, term string")
+    return match_terms(terms, build_nodes(entities(spark, d)))
+
+
+@query("select v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance from embeddings v, (select embedding from embeddings where vec_id = 0) q order by distance, vec_id limit 8")
+def j12_nearest(spark, d):  # noqa: ANN001, ANN201
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id = 0").first()["embedding"]
+    return nearest(v, list(q), 8).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"{G} select node_id, token, n_words from (select node_id, len(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as n_words, unnest(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as token from nodes)")
+def j7_node_tokens(spark, d):  # noqa: ANN001, ANN201
+    return node_tokens(build_nodes(entities(spark, d))).select("node_id", "token", "n_words")
+
+
+@query(f"{G} select f.node_id, f.name, f.type, degree from (select * from nodes where lower(type) = 'supplier' order by ord limit 20) f join deg using (node_id)")
+def q11_list_entities(spark, d):  # noqa: ANN001, ANN201
+    return list_entities(graph(spark, d), 20, "SUPPLIER").select("node_id", "name", "type", "degree")
+
+
+@query(
+    f"""{G}, e as (select string_agg('- ' || name || ' (' || type || '): ' || description[:200], chr(10) order by degree desc, ord) as x from (select * from nodes join deg using (node_id) order by degree desc, ord limit 20)),
+ r as (select string_agg('- (' || s || ') --[' || relation_type || ']--> (' || t || ')' || case when description <> '' then ': ' || description else '' end, chr(10) order by weight desc, ord) as y from (select e.*, a.name as s, b.name as t from (select * from edges order by weight desc, ord limit 30) e join nodes a on src = a.node_id join nodes b on dst = b.node_id))
+ select '=== ENTITIES ===' || chr(10) || x || chr(10) || chr(10) || '=== RELATIONSHIPS ===' || chr(10) || y as context from e, r"""
+)
+def q5_graph_context(spark, d):  # noqa: ANN001, ANN201
+    return context(graph(spark, d))
+
+
+@query(f"select p_partkey, {NORM.format(chr(39) + ' ' + chr(39) + ' || p_brand')} as key from part")
+def p1_normalize_names(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "part").select("p_partkey", normalize_name(F.concat(F.lit(" "), "p_brand")).alias("key"))
+
+
+@query("select conv_id, turn, trim(regexp_replace('<think>' || role || chr(10) || '</think> ' || text, '<think>.*?</think>', '', 'gs'), chr(10) || ' ') as answer from conversations")
+def p2_strip_think(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "conversations").select("conv_id", "turn", strip_think(F.concat(F.lit("<think>"), "role", F.lit("\n</think> "), "text")).alias("answer"))
+
+
+@query("select conv_id, turn, role as chain, trim(text, chr(10) || ' ') as final from conversations")
+def p3_split_reasoning(spark, d):  # noqa: ANN001, ANN201
+    x = split_reasoning(F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", "x.*")
+
+
+@query("select event_id, greatest(1, least(5, round_even(value / 10, 0)::int)) as score, (greatest(1, least(5, round_even(value / 10, 0)::int)) + 3) / 2 as overall from events")
+def p7_judge_scores(spark, d):  # noqa: ANN001, ANN201
+    s = clamp_score(F.col("value") / 10)
+    return table(spark, d, "events").select("event_id", s.alias("score"), overall_score(s, F.lit(None).cast("int"), F.lit(3)).alias("overall"))
+
+
+@query("select doc_id, i as chunk_idx, doc_id || '_chunk_' || i as chunk_id, substr(text, i * 1300 + 1, 1500) as text from (select *, unnest(range(greatest(1, ceil((length(text) - 200) / 1300)::bigint))) as i from documents)")
+def p13_window_chunks(spark, d):  # noqa: ANN001, ANN201
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(window_chunks(F.col("text"))).alias("i", "text"))
+    return x.select("doc_id", F.col("i").cast("long").alias("chunk_idx"), F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("i").cast("string")).alias("chunk_id"), "text")
+
+
+@query("select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as normal, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) as key, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as authority, regexp_matches(url, '[?#]|/search|/login|/print|/share') as skipped from pages")
+def p15_urls(spark, d):  # noqa: ANN001, ANN201
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", normalize_url(u).alias("normal"), visit_key(u).alias("key"), authority(u).alias("authority"), excluded(u).alias("skipped"))
+
+
+@query("with n as (select page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9_-]+', '_', 'g')[:100] as name from pages) select page_id, name || case r when 0 then '' else '_' || r end || '.json' as file from (select *, row_number() over (partition by name order by url) - 1 as r from n)")
+def k8_page_files(spark, d):  # noqa: ANN001, ANN201
+    return page_files(table(spark, d, "pages").select("page_id", "url")).select("page_id", "file")
+
+
+@query("select distinct 'c' || event_id % 50 as chunk_id from events where event_type = 'click'")
+def s10_failed_chunks(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("WARN extraction failed for chunk c"), (F.col("event_id") % 50).cast("string"), F.lit(": timeout"))
+    return failed_chunks(e.select(F.when(F.col("event_type") == "click", line).otherwise("INFO ok").alias("value")))
+
+
+@query("with r as (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) select conv_id::varchar as session_id, coalesce(string_agg(case role when 'user' then 'User: ' else 'Assistant: ' end || text, chr(10) order by turn) filter (r between 2 and 11), '(No previous conversation)') as history from r group by conv_id")
+def w7_history(spark, d):  # noqa: ANN001, ANN201
+    return history(messages(spark, d))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+
+
+@query("select conv_id::varchar as session_id, arg_max(text, turn) as question, max(turn) as turn from conversations where role = 'user' group by 1")
+def w8_latest_question(spark, d):  # noqa: ANN001, ANN201
+    return latest_question(messages(spark, d))
+
+
+@query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is distinct from event_type")
+def w5_consecutive_duplicates(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return e.filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("event_id", "user_id", "event_type")
+
+
+@query("select doc_id, source, lower(text)[:50] as key from documents qualify row_number() over (partition by source, lower(text)[:50] order by doc_id) = 1")
+def w6_first_occurrence(spark, d):  # noqa: ANN001, ANN201
+    x = table(spark, d, "documents").select("doc_id", "source", F.left(F.lower("text"), F.lit(50)).alias("key"))
+    return x.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", "key")
+
+
+@query("select conv_id, turn, case when length(text) > 300 then text[:300] || '...' else text end as snippet from conversations")
+def p12_truncate(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "conversations").select("conv_id", "turn", truncate(F.col("text"), 300, "...").alias("snippet"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("difficulty"), F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("question_type"), (F.col("event_id") % 9 != 0).alias("success"), (F.col("event_id") % 5 / 4).alias("precision"), (F.col("event_id") % 8 / 8).alias("recall"), (F.col("event_id") % 16 / 16).alias("f1"), (F.col("event_id") % 32 / 32).alias("coverage"), F.floor(v).cast("double").alias("latency_ms"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 4 + 1.0).alias("judge"))
+
+
+RES = "res as (select event_type as category, 'd' || user_id % 3 as difficulty, 't' || event_id % 4 as question_type, event_id % 9 <> 0 as success, event_id % 5 / 4 as precision, event_id % 8 / 8 as recall, event_id % 16 / 16 as f1, event_id % 32 / 32 as coverage, floor(value)::double as latency_ms, case when event_id % 3 = 0 then event_id % 4 + 1.0 end as judge from events)"
+
+
+@query(f"with {RES}, ok as (select * from res where success) select (select count(*) from ok) as successes, (select avg(recall) from ok) as recall_mean, (select median(recall) from ok) as recall_median, (select list_sort(list(latency_ms))[floor(count(*) * 0.95)::bigint + 1] from ok) as latency_p95, (select min(latency_ms) from ok) as latency_min, (select max(latency_ms) from ok) as latency_max, (select count(judge) from ok) as judged, count(*) as total from res")
+def a20_aggregate(spark, d):  # noqa: ANN001, ANN201
+    return evaluation.aggregate(results(spark, d)).select("successes", "recall_mean", "recall_median", "latency_p95", "latency_min", "latency_max", "judged", "total")
+
+
+@query(f"with {RES} select dimension, value, count(*) as n, round(avg(success::int), 9) as success_rate, round(avg(recall) filter (success), 9) as recall_mean from (select 'category' as dimension, category as value, * from res union all select 'difficulty', difficulty, * from res union all select 'question_type', question_type, * from res) group by 1, 2 having count(*) filter (success) > 0")
+def a22_breakdowns(spark, d):  # noqa: ANN001, ANN201
+    return evaluation.breakdowns(results(spark, d)).select("dimension", "value", "n", F.round("success_rate", 9).alias("success_rate"), F.round("recall_mean", 9).alias("recall_mean"))
+
+
+@query("select p_partkey, (contains('brand#13', lower(p_brand)) or contains(lower(p_brand), 'brand#13'))::int::double as recall from part")
+def j13_entity_overlap(spark, d):  # noqa: ANN001, ANN201
+    x = evaluation.entity_overlap(F.array(F.lit("Brand#13")), F.array(F.lower("p_brand")))
+    return table(spark, d, "part").select("p_partkey", x["recall"].alias("recall"))
+
+
+@query("select p_partkey, ((contains(lower(p_type), 'brass'))::int + (contains(lower(p_type), 'a') and contains(lower(p_type), 'e'))::int) / 2 as coverage from part")
+def j14_keyword_coverage(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "part").select("p_partkey", evaluation.keyword_coverage(F.col("p_type"), F.array(F.lit("BRASS"), F.lit("a e"))).alias("coverage"))
+
+
+@query()
+def p18_page_data(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "pages").select("page_id", page("html", "url").alias("page")).select("page_id", "page.*")
+
+
+@query()
+def a13_communities(spark, d):  # noqa: ANN001, ANN201
+    return communities.hierarchy(graph(spark, d))
+
+
+@query()
+def q6_community_contexts(spark, d):  # noqa: ANN001, ANN201
+    g = graph(spark, d)
+    return communities.contexts(g, communities.hierarchy(g))
+
+
+def _corpus(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    return build(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+@query()
+def q14_index_build(spark, d):  # noqa: ANN001, ANN201
+    return _corpus(spark, d).graph.nodes.drop("ord")
+
+
+@query()
+def q1_local_search(spark, d):  # noqa: ANN001, ANN201
+    return local_search(_corpus(spark, d), "What is Thnting and Eauouon?")
+
+
+@query()
+def q2_global_search(spark, d):  # noqa: ANN001, ANN201
+    return global_search(_corpus(spark, d), "What is Thnting and Eauouon?")
+
+
+@query()
+def q4_combined_search(spark, d):  # noqa: ANN001, ANN201
+    return combined_search(_corpus(spark, d), "What is Thnting and Eauouon?")
+
+
+FLAGSHIP = q5_graph_context
