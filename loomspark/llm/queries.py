@@ -32,6 +32,31 @@ def _joined(spans: Column) -> Column:
 #: SQL for the queries that DuckDB can express and answer over whole tables.
 ORACLES: dict[str, str] = {}
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+ORACLES["op4_url_filter"] = r"""
+with u as (select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ r(rule, h, p, verdict) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+ f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
+select page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host || chr(10) || path, '(^|[^a-z0-9])(spam|casino|porn|xxx|viagra|warez|torrent|phishing|malware|clickbait)([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict from u left join f using (page_id)"""
+ORACLES["op5_ngram_join"] = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
+ s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) when len(w) > 0 then [list_aggregate(w, 'string_agg', ' ')] else [] end) as s from w),
+ x as (select doc_id, len(s) as n, unnest(s) as g from s),
+ pairs as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ reach(doc_id, seen) as (select doc_id, doc_id from s union select p.b, r.seen from reach r join pairs p on p.a = r.doc_id)
+select doc_id, len(s)::bigint as n_shingles, c.component_id from s join (select doc_id, min(seen) as component_id from reach group by 1) c using (doc_id)"""
+ORACLES["op6_exact_dedup"] = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))"""
+ORACLES["op8_source_mixing"] = rf"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::bigint as size from documents),
+ s as (select source, sum(size)::bigint as source_size, 3.0::double * sum(size) as most, [5.0::double, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, row_number() over (order by source nulls last) as rank from d group by source),
+ l as (select *, (sum(source_size) over () - coalesce(sum(most) over f, 0)) / (sum(w) over () - coalesce(sum(w) over f, 0)) as level from s window f as (order by most / w, rank rows between unbounded preceding and 1 preceding)),
+ t as (select source, source_size, least(most, w * coalesce((select level from l where level <= most / w order by most / w, rank limit 1), 'infinity'::double)) as target from l),
+ o as (select d.*, t.source_size, t.target, round(target)::bigint as demand, coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d join t on d.source is not distinct from t.source),
+ k as (select *, case when source_size > 0 then demand // source_size else 0 end as whole from o)
+select doc_id, size, source_size, target, whole * size + greatest(0, least(demand - whole * source_size - start, size)) as taken from k"""
+
 
 def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
