@@ -29,7 +29,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolutio
                 near[x][y] = near[x].get(y, 0.0) + v
                 near[y][x] = near[y].get(x, 0.0) + v
         part, mass = np.arange(n), degree.copy()
-        moved_any, moved = False, True
+        moved_any, moved, moves = False, True, 0
         while moved:
             moved = False
             for x in rng.permutation(n).tolist():
@@ -40,7 +40,8 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolutio
                     gain[part[y]] = gain.get(part[y], 0.0) + v
                 best = max(gain.items(), key=lambda g: (g[1] - resolution * degree[x] * mass[g[0]] / (2 * total), g[0] == old, -g[0]))[0]
                 mass[best] += degree[x]
-                if best != old:
+                if best != old and moves < 100 * n:  # rounding may let equal gains chase each other
+                    moves += 1
                     part[x], moved, moved_any = best, True, True
         _, part = np.unique(part, return_inverse=True)
         member = part[member]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import entity_line, normalize_name, relation_line
 from loomspark.operators.components import components
 from loomspark.operators.merge import folded
+from loomspark.storage import written
 
 
 @dataclass(frozen=True)
@@ -76,13 +77,16 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
     The frontier is the small side; a visited pair is never expanded again.
     """
-    near = adjacency(edges)
-    seen = seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("hop")).distinct()
+    near = written(adjacency(edges), "adjacency")
+    seen = written(seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("hop")).distinct(), "hop-0")
     frontier = seen
     for hop in range(1, hops + 1):
         reached = frontier.join(near, "node_id").select("seed", F.col("neighbour").alias("node_id")).distinct()
-        frontier = reached.join(seen, ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        # written, since each hop reads all before it: a lineage would double with every hop
+        frontier = written(reached.join(seen, ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
         seen = seen.unionByName(frontier)
+        if hop < hops and frontier.isEmpty():
+            break
     return seen.filter("hop > 0")
 
 
