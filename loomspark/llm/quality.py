@@ -144,7 +144,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarra
         acc[0, :, 2] = np.minimum(acc[0, :, 2], FALSE_ALARMS)
         acc[1, :, 2] = np.maximum(acc[1, :, 2], 10 * FALSE_ALARMS)
         new = posterior(patterns, prior, acc)
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max(initial=0) < 1e-6:
             break
         post = new
     return prior, acc
