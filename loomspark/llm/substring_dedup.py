@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.textbytes import as_bytes, mix64, slices
+from loomspark.llm.textbytes import as_bytes, mix64, release_memory, slices
 from loomspark.storage import bounded_batches, written
 
 LENGTH, GRAM = 50, 20
@@ -170,6 +170,7 @@ REMOVED, OPEN = 0, 1
 
 def _settle_runs(buckets: int):  # noqa: ANN202
     def settle(table: pa.Table) -> pa.Table:
+        release_memory()
         r, ids, texts = _gathered(table, _RECORD)
         order = np.lexsort((ids, r["content"], r["anchor"]))
         r, ids, texts = r[order], ids[order], texts[order]
@@ -191,6 +192,7 @@ def _settle_runs(buckets: int):  # noqa: ANN202
 
 def _settle_strings(buckets: int):  # noqa: ANN202
     def settle(table: pa.Table) -> pa.Table:
+        release_memory()
         r, ids, texts = _gathered(table, _STRING)
         order = np.lexsort((ids, r["content"]))
         r, ids, texts = r[order], ids[order], texts[order]
@@ -213,6 +215,7 @@ def _merged(at: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndar
 def _gather_spans(length: int):  # noqa: ANN202
     def gather(table: pa.Table) -> pa.Table:
         """(id, text, removed, open): interval lists of each document as int32 pairs."""
+        release_memory()
         s = np.concatenate([np.frombuffer(x, _SPAN) for x in table.column("spans").to_pylist()])
         s = s[np.lexsort((s["at"], s["kind"], s["text"], s["id"]))]
         new = np.append(True, (s["id"][1:] != s["id"][:-1]) | (s["text"][1:] != s["text"][:-1]))
@@ -254,6 +257,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = max(parts, int(total * 2 / (length - gram + 2)) // RANGE_RECORDS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         out = _Dealer(_RECORD, ranges)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -262,11 +266,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 # anchors are the least names around, so they are mixed again before they are dealt by range
                 yield from out.add(mix64(anchor + np.uint64(0x632BE59BD9B4E019)), doc, ids[i:j], texts[i:j], anchor=(anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), content=content, at=at, count=count)
         yield from out.hand_on()
+        release_memory()
 
     spans = rows.select("key", "hash", "body").mapInArrow(deal, DEALT).groupBy("range").applyInArrow(_settle_runs(parts), SPANS)
     first = written(spans.groupBy("bucket").applyInArrow(_gather_spans(length), FOUND), "repeat-runs")
 
     def deal_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         out = _Dealer(_STRING, ranges)
         half = length // 2
         for batch in batches:

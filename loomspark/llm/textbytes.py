@@ -6,6 +6,7 @@ All hashes are 64-bit and depend on content only, so every executor computes the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,20 @@ IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: idle Python workers otherwise keep what their largest task took.
+
+    Large arrays get mappings of their own (glibc's M_MMAP_THRESHOLD); other C libraries are left alone.
+    """
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
