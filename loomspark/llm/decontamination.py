@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-A window that is similar enough to an item shares most of its word shingles, so shared shingles,
-counted for each document and item, say exactly where windows can matter; each shared shingle places
-the item at one start. These windows get a SimHash. Fingerprints are cut in one block more than the
-radius: two within the radius agree in a block, so block equality finds every pair within it, and an
-exact weighted-shingle similarity verifies the pairs.
+A window that is similar enough to an item shares most of its word shingles, so the positions of shared
+shingles say exactly where windows can matter: every start whose window holds enough of them, in any
+order. All these windows get a SimHash. Fingerprints are cut in one block more than the radius: two
+within the radius agree in a block, so block equality finds every pair within it, and an exact
+weighted-shingle similarity verifies the pairs.
 """
 
 from __future__ import annotations
@@ -63,11 +63,30 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def window_starts(at: Column, m: Column, dn: Column, similarity: float) -> Column:
+    """Starts (sorted positions at: shared with an item of m shingles, in a text of dn) whose window can be similar enough.
+
+    Weighted similarity t of two sets of sizes w and m needs 2t / (1 + t) of m shared if w = m, and t of
+    m at least if the text ends inside the window; each shared shingle of a window has its own position.
+    """
+
+    def covering(share: float, low: Column, high: Column) -> Column:
+        need = F.ceil(m * share - 1e-9).cast("int")
+        held = F.transform(F.sequence(F.lit(1), F.size(at) - need + 1), lambda i: F.struct(F.greatest(F.element_at(at, i + need - 1) - m + 1, low).alias("a"), F.least(F.element_at(at, i), high).alias("b")))
+        starts = F.transform(F.filter(held, lambda x: x["a"] <= x["b"]), lambda x: F.sequence(x["a"], x["b"]))
+        return F.when(F.size(at) >= need, F.flatten(starts)).otherwise(F.array().cast("array<int>"))
+
+    whole = covering(2 * similarity / (1 + similarity), F.lit(0), dn - m)
+    return F.array_union(whole, covering(similarity, F.greatest(dn - m + 1, F.lit(0)), dn - 1))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per (document, text) with a window similar to an item: id_col, __ls_text (hash of the text), item_id, similarity, window_start, window_words.
 
     The best window is given: highest similarity, then smallest item, then first start (in words from 0).
-    Items without words match nothing. Rows equal in identifier and text give one row. Nothing in, nothing out.
+    Every start counts; the end of the text may cut a window. Items without words match nothing, items of
+    fewer than k words only texts that are the item. Rows equal in identifier and text give one row, null
+    texts count as empty. Nothing in, nothing out.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
     items = written(items.select("item", F.size("w").alias("n"), shingle_hashes(F.col("w"), k).alias("hs")), "benchmark-items")
@@ -76,9 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = rows.select("id", "th", shingle_hashes(words_of(F.col("text")), k).alias("dh"))
     hits = hashed.select("id", "th", F.size("dh").alias("dn"), F.posexplode("dh").alias("p", "h")).join(_small(own), "h")
     # Rows equal in identifier and text hit together: a set of positions counts them once.
-    placed = hits.groupBy("id", "th", "item", "n", "m", "dn").agg(F.collect_set("p").alias("ps"), F.collect_set(F.greatest(F.col("p") - F.col("q"), F.lit(0))).alias("starts"))
-    likely = placed.filter(F.size("ps") >= F.ceil(F.col("m") * similarity - 1e-9))
-    spots = likely.select("id", "th", "n", "m", F.explode("starts").alias("start")).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "m")).alias("spots"))
+    placed = hits.groupBy("id", "th", "item", "n", "m", "dn").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    spots = placed.select("id", "th", "n", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("dn"), similarity)).alias("start")).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "m")).alias("spots"))
     spots = written(spots, "benchmark-spots")
     again = rows.join(_small(spots.withColumnRenamed("id", "i").withColumnRenamed("th", "t")), [rows.id.eqNullSafe(F.col("i")), rows.th == F.col("t")])
     again = again.select("id", "th", "spots", shingle_hashes(words_of(F.col("text")), k).alias("dh"))

@@ -151,6 +151,15 @@ def test_leaks(spark, small):
     assert {r.doc_id for r in out.collect() if r.contaminated} == brute.leaked(rows, items)
 
 
+def test_leaks_at_any_start(spark):
+    """A window that no shared shingle places at its own start: the item's parts in another order, between edits."""
+    w = words(60, 21).split()
+    rows = [(1, " ".join(["x", "y", *w[28:], *w[:28], "z"])), (2, " ".join(["x", *w[:20], "new", *w[20:], "z"] * 3)), (3, " ".join(w[:20] + w[:20] + w[:20])), (4, "no " + " ".join(w[:58])), (5, " ".join(w[:40])), (6, " ".join(w * 20))]
+    items = [(7, " ".join(w)), (8, "a b"), (9, "")]
+    out = decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in out.collect() if r.contaminated} == brute.leaked(rows, items) == {1, 2, 4, 6}
+
+
 def test_language_accuracy(spark):
     r = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     assert r.filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
