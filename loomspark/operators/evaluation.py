@@ -56,3 +56,20 @@ def breakdowns(results: DataFrame, by: tuple[str, ...] = ("category", "difficult
     return results.sparkSession.sql(f"""select case {dimension} end as dimension, coalesce({", ".join(by)}) as value, count(*) as n, avg(cast(success as double)) as success_rate,
         avg(recall) filter (where success) as recall_mean, avg(coverage) filter (where success) as coverage_mean, avg(latency_ms) filter (where success) as latency_mean, avg(judge) filter (where success) as judge_mean
         from __ls_results group by grouping sets ({sets}) having count_if(success) > 0""")
+
+
+DIMENSIONS = ("relevance", "faithfulness", "completeness", "clarity")
+
+
+def judge_summary(verdicts: DataFrame) -> DataFrame:
+    """One row over verdicts(overall, four dimensions): how many have an overall score, its mean and median, mean of each dimension among them."""
+    judged = verdicts.filter("overall is not null")
+    return judged.agg(F.count("*").alias("judged"), F.avg("overall").alias("overall_mean"), F.expr("percentile(overall, 0.5)").alias("overall_median"), *[F.avg(d).alias(f"{d}_mean") for d in DIMENSIONS])
+
+
+def dataset_summary(questions: DataFrame, values: dict[str, list[str]]) -> DataFrame:
+    """(dimension, value, n): questions of each listed value of each column; values without questions count 0."""
+    listed = questions.sparkSession.createDataFrame([(d, v) for d, vs in values.items() for v in vs], "dimension string, value string")
+    each = questions.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in values])).alias("x"))
+    counts = each.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    return listed.join(counts, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

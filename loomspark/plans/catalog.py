@@ -11,19 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.answers import extraction, verdict
 from loomspark.functions.html import page
-from loomspark.functions.text import clamp_score, normalize_name, overall_score, split_reasoning, strip_think, truncate, window_chunks
-from loomspark.functions.url import authority, excluded, normalize_url, visit_key
+from loomspark.functions.text import TERMS_PROMPT, clamp_score, clean_text, entity_lines, normalize_name, overall_score, prompt, split_reasoning, strip_think, truncate, window_chunks
+from loomspark.functions.url import authority, excluded, is_document, normalize_url, same_site, visit_key
 from loomspark.operators import communities, evaluation
 from loomspark.operators.components import components
 from loomspark.operators.graph import Graph, build_edges, build_entity_map, build_graph, build_nodes, context, degrees, incident_edges, induced, list_entities, neighbours, rejected_relationships, relation_counts, statistics, type_counts, undirected
-from loomspark.operators.merge import merge_entities, merge_relationships
-from loomspark.operators.retrieval import match_terms, nearest, node_tokens
-from loomspark.plans.chat import history, latest_question
+from loomspark.operators.merge import entity_rows, merge_entities, merge_relationships, relationship_rows
+from loomspark.operators.retrieval import match_terms, nearest, node_tokens, source_chunks
+from loomspark.plans.chat import clear, history, latest_question, visible
 from loomspark.plans.index_build import build
 from loomspark.plans.search import combined_search, global_search, local_search
-from loomspark.sources.corpus import failed_chunks
-from loomspark.sources.store import page_files
+from loomspark.sources.corpus import empty_extractions, failed_chunks, filter_questions, read_sitemaps
+from loomspark.sources.store import cache_delete, cache_lookup, page_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -347,4 +348,149 @@ def q4_combined_search(spark, d):  # noqa: ANN001, ANN201
     return combined_search(_corpus(spark, d), "What is Thnting and Eauouon?")
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, parsed): one parsed extraction for each part, with blank names and relationships to strangers."""
+    e = lambda n, t, x: F.struct(n.alias("name"), t.alias("type"), x.alias("description"))
+    r = lambda a, b, t, x: F.struct(a.alias("source"), b.alias("target"), t.alias("relation_type"), x.alias("description"))
+    none = F.lit(None).cast("string")
+    brand, name, kind = F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.col("p_name"), F.col("p_type")
+    made = F.when(F.col("p_size") % 2 == 0, none).otherwise("made of")
+    entities_ = F.array(e(brand, F.when(F.col("p_size") % 3 == 0, F.lit(" ")).otherwise(kind), none), e(F.lit("  "), kind, kind), e(name, none, kind))
+    relations_ = F.array(r(F.upper("p_brand"), name, made, kind), r(F.lit("nobody"), name, made, kind))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.struct(entities_.alias("entities"), relations_.alias("relationships")).alias("parsed"))
+
+
+@query("select p_brand as name, case when p_size % 3 = 0 then 'Concept' else p_type end as type, '' as description, 'c' || p_partkey as source_chunk, 0 as item from part union all select p_name, 'Concept', p_type, 'c' || p_partkey, 2 from part")
+def p9_entity_rows(spark, d):  # noqa: ANN001, ANN201
+    return entity_rows(answers(spark, d))
+
+
+@query("select upper(p_brand) as source, p_name as target, case when p_size % 2 = 0 then 'RELATED_TO' else 'MADE OF' end as relation_type, p_type as description, 1.0::double as weight, 'c' || p_partkey as source_chunk, 0 as item from part")
+def p10_relationship_rows(spark, d):  # noqa: ANN001, ANN201
+    return relationship_rows(answers(spark, d))
+
+
+@query("select 'c' || p_partkey as chunk_id from part where p_partkey % 3 < 2")
+def s11_empty_extractions(spark, d):  # noqa: ANN001, ANN201
+    key = F.substring("chunk_id", 2, 20).cast("long") % 3
+    none = F.transform("parsed.entities", lambda e: e), F.transform("parsed.relationships", lambda r: r)
+    empty = F.struct(F.slice(none[0], 1, 0).alias("entities"), F.slice(none[1], 1, 0).alias("relationships"))
+    return empty_extractions(answers(spark, d).withColumn("parsed", F.when(key == 1, empty).when(key == 2, F.col("parsed"))))
+
+
+@query("select conv_id || '_' || turn as chunk_id, coalesce(text in (select text from conversations where turn % 4 = 2), false) as hit from conversations")
+def j16_cache_hits(spark, d):  # noqa: ANN001, ANN201
+    c = table(spark, d, "conversations")
+    status = F.when(F.col("turn") % 4 == 0, "failed").otherwise("ok")
+    cache = c.filter("turn % 2 = 0").select(F.sha2("text", 256).alias("content_hash"), F.col("text").alias("parsed"), status.alias("status"), F.lit("v1").alias("provider"))
+    hits, misses = cache_lookup(c.select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text"), cache, "v1")
+    return hits.select("chunk_id", F.lit(True).alias("hit")).unionByName(misses.select("chunk_id", F.lit(False).alias("hit")))
+
+
+@query("select 'c' || event_id as chunk_id, user_id from events where event_type is distinct from 'click'")
+def k11_cache_delete(spark, d):  # noqa: ANN001, ANN201
+    e = table(spark, d, "events").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("chunk_id"), "user_id", "event_type")
+    return cache_delete(e.drop("event_type"), e.filter("event_type = 'click'"))
+
+
+@query("select p_partkey, p_name as name, case p_partkey % 2 when 0 then 'ok' else 'repaired' end as status from part")
+def p5_tolerant_json(spark, d):  # noqa: ANN001, ANN201
+    good = F.concat(F.lit('<think>{</think>```json\n{"entities": [{"name": "'), "p_name", F.lit('", "type": "T"}], "relationships": []}\n```'))
+    broken = F.concat(F.lit("So: {entities: [{'name': '"), "p_name", F.lit("', 'type': 'T',}], relationships: ["))
+    x = table(spark, d, "part").select("p_partkey", extraction(F.when(F.col("p_partkey") % 2 == 0, good).otherwise(broken)).alias("x"))
+    return x.select("p_partkey", F.col("x.entities")[0]["name"].alias("name"), "x.status")
+
+
+@query("select p_partkey, (p_size % 6)::double as relevance, 2.0::double as clarity, null::double as completeness, p_size % 5 = 0 as failed from part where p_size % 5 <> 0 union all select p_partkey, null, null, null, true from part where p_size % 5 = 0")
+def p6_judge_answers(spark, d):  # noqa: ANN001, ANN201
+    said = F.concat(F.lit('```json\n{"relevance": '), (F.col("p_size") % 6).cast("string"), F.lit(', "clarity": {"score": "2"}}\n```'))
+    x = table(spark, d, "part").select("p_partkey", verdict(F.when(F.col("p_size") % 5 == 0, F.lit("no verdict")).otherwise(said)).alias("x"))
+    return x.select("p_partkey", "x.relevance", "x.clarity", "x.completeness", F.col("x.error").isNotNull().alias("failed"))
+
+
+@query("select event_id, coalesce(event_type, 'none') || '|user ' || user_id as names from events")
+def p11_entity_lines(spark, d):  # noqa: ANN001, ANN201
+    said = F.concat(F.lit("- "), F.coalesce("event_type", F.lit("none")), F.lit("\n\n  \u2022 user "), F.col("user_id").cast("string"), F.lit("  \n1. x"))
+    return table(spark, d, "events").select("event_id", F.array_join(entity_lines(said), "|").alias("names"))
+
+
+@query("select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || repeat(chr(10), 5) || 'SKIP to main  content' || chr(9) || role || ' back to Top', '\\n{3,}', repeat(chr(10), 2), 'g'), '[ \\t]+', ' ', 'g'), '(skip to main content|back to top|share this page)', '', 'gi'), '^\\s+|\\s+$', '', 'g') as cleaned from conversations")
+def p17_clean_text(spark, d):  # noqa: ANN001, ANN201
+    raw = F.concat("text", F.lit("\n\n\n\n\nSKIP to main  content\t"), "role", F.lit(" back to Top"))
+    return table(spark, d, "conversations").select("conv_id", "turn", clean_text(raw).alias("cleaned"))
+
+
+@query("select page_id, regexp_matches(regexp_replace(regexp_replace(url || ext, '[?#].*$', ''), '/+$', ''), '(?i)\\.(pdf|docx?|xlsx?|pptx?)$') as document, a <> '' and (contains(a, 'example.org') or contains('example.org', a)) as inside from (select *, ['.PDF?x=1', '.docx', '.xlsm', '/'][page_id % 4 + 1] as ext, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as a from pages)")
+def p22_document_links(spark, d):  # noqa: ANN001, ANN201
+    ext = F.element_at(F.array(F.lit(".PDF?x=1"), F.lit(".docx"), F.lit(".xlsm"), F.lit("/")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", is_document(F.concat("url", ext)).alias("document"), same_site(F.col("url"), F.lit("example.org")).alias("inside"))
+
+
+@query("select conv_id, turn, 'Name the entities this question asks about, one a line.' || chr(10) || chr(10) || coalesce(text, '') as prompt from conversations")
+def p25_prompts(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "conversations").select("conv_id", "turn", prompt(TERMS_PROMPT, question=F.col("text")).alias("prompt"))
+
+
+@query("select conv_id::varchar as session_id, turn, role, text as content from conversations where conv_id <> 1")
+def q9_cleared_session(spark, d):  # noqa: ANN001, ANN201
+    return visible(clear(messages(spark, d), "1"))
+
+
+@query("select event_id::varchar as id, event_type as category from events where event_type = 'click' order by id limit 10")
+def f9_filter_questions(spark, d):  # noqa: ANN001, ANN201
+    q = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("category"))
+    return filter_questions(q, category="click", first=10)
+
+
+@query(f"with {RES}, v as (select unnest(['click', 'no such']) as value) select 'category' as dimension, v.value, count(event_type) as n from v left join events on event_type = v.value group by 2 union all select 'difficulty', 'd1', count(*) from res where difficulty = 'd1'")
+def a26_dataset_summary(spark, d):  # noqa: ANN001, ANN201
+    return evaluation.dataset_summary(results(spark, d), {"category": ["click", "no such"], "difficulty": ["d1"]})
+
+
+@query("with v as (select case when event_id % 3 = 0 then event_id % 4 + 1.5 end as overall, event_id % 5 as relevance, event_id % 7 as faithfulness, case when event_id % 2 = 0 then 4 end as completeness, event_id % 3 as clarity from events) select count(*) as judged, round(avg(overall), 9) as overall_mean, median(overall::double) as overall_median, round(avg(relevance), 9) as relevance_mean, round(avg(faithfulness), 9) as faithfulness_mean, round(avg(completeness), 9) as completeness_mean, round(avg(clarity), 9) as clarity_mean from v where overall is not null")
+def a21_judge_summary(spark, d):  # noqa: ANN001, ANN201
+    i = F.col("event_id")
+    v = table(spark, d, "events").select(F.when(i % 3 == 0, i % 4 + 1.5).cast("double").alias("overall"), (i % 5).alias("relevance"), (i % 7).alias("faithfulness"), F.when(i % 2 == 0, 4).alias("completeness"), (i % 3).alias("clarity"))
+    out = evaluation.judge_summary(v)
+    return out.select("judged", "overall_median", *[F.round(c, 9).alias(c) for c in out.columns if c.endswith("_mean")])
+
+
+def _dealt(g: Graph) -> DataFrame:
+    """A membership that SQL can state: seven communities by node order."""
+    return g.nodes.select(F.lit(0).alias("level"), F.concat(F.lit("k"), (F.col("ord") % 7).cast("string")).alias("community"), "node_id")
+
+
+@query(
+    f"""{G}, x as (select 'k' || ord % 7 as community, n.*, degree from nodes n join deg using (node_id)),
+ kinds as (select community, type, count(*) as c, min(ord) as o from x group by all), kind as (select community, arg_min(type, struct_pack(c := -c, o := o)) as type, sum(c)::bigint as n from kinds group by 1),
+ top as (select community, string_agg(name, ', ' order by degree desc, ord) as names from (select *, row_number() over (partition by community order by degree desc, ord) as r from x) where r <= 3 group by 1)
+ select 0 as level, community, type || ' cluster: ' || names as title, n from kind join top using (community)"""
+)
+def a18_titles(spark, d):  # noqa: ANN001, ANN201
+    g = graph(spark, d)
+    return communities.titles(g, _dealt(g))
+
+
+@query(f"{G}, m as (select node_id, 'k' || ord % 7 as c from nodes) select least(p.c, q.c) as a, greatest(p.c, q.c) as b, count(*)::double as weight from und join m p on und.a = p.node_id join m q on und.b = q.node_id where p.c <> q.c group by 1, 2")
+def j10_community_edges(spark, d):  # noqa: ANN001, ANN201
+    g = graph(spark, d)
+    return communities.community_edges(undirected(g.edges), _dealt(g))
+
+
+@query(
+    f"""{G}, k as (select source_chunk as chunk_id, min(struct_pack(g := (ord > 2)::int, r := case when ord <= 2 then ord else 0 end, o := ord)) as o from nodes where source_chunk <> '' group by 1)
+ select chunk_id, row_number() over (order by o) as pos from k order by o limit 5"""
+)
+def j8_source_chunks(spark, d):  # noqa: ANN001, ANN201
+    nodes = build_nodes(entities(spark, d))
+    return source_chunks(nodes.filter("ord <= 2").select("node_id", F.col("ord").alias("match_rank")), nodes.select("node_id"), nodes)
+
+
+@query("with m as (select 'm' || page_id as map, replace(regexp_replace(url, '^\\s+|\\s+$', '', 'g'), '&amp;', '&') as url from pages where url is not null) select distinct case when map in ('m1', 'm2') then 'root' else map end as root, url from m")
+def s13_sitemaps(spark, d):  # noqa: ANN001, ANN201
+    leaves = table(spark, d, "pages").select(F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("\n</loc></url></urlset>")).alias("xml"))
+    root = spark.createDataFrame([("root", "<sitemapindex><loc>m1</loc><loc>m2</loc></sitemapindex>")], "url string, xml string")
+    return read_sitemaps(leaves.unionByName(root))
+
+
 FLAGSHIP = q5_graph_context
