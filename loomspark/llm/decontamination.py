@@ -17,13 +17,15 @@ from loomspark.storage import written
 
 K, SIMILARITY = 5, 0.8
 BITS, RADIUS = 64, 23
-#: Rows up to which a side is sent to all executors; beyond it, it is shuffled.
-SMALL = 1_000_000
+#: Bytes up to which a side is sent to all executors; beyond it, it is shuffled.
+SMALL_BYTES = 64 << 20
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has at most SMALL rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def _small(df: DataFrame, array: str | None = None, item_bytes: int = 8) -> DataFrame:
+    """df, marked for broadcast if its rows of fixed-size columns and the items of its array column take at most SMALL_BYTES."""
+    held = F.size(array) * item_bytes if array else F.lit(0)
+    size = df.agg(F.sum(held + 8 * len(df.columns) + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
 def words_of(text: Column) -> Column:
@@ -98,14 +100,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     placed = hits.groupBy("id", "th", "item", "n", "m", "dn").agg(F.array_sort(F.collect_set("p")).alias("at"))
     spots = placed.select("id", "th", "n", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("dn"), similarity)).alias("start")).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "m")).alias("spots"))
     spots = written(spots, "benchmark-spots")
-    again = rows.join(_small(spots.withColumnRenamed("id", "i").withColumnRenamed("th", "t")), [rows.id.eqNullSafe(F.col("i")), rows.th == F.col("t")])
+    again = rows.join(_small(spots.withColumnRenamed("id", "i").withColumnRenamed("th", "t"), "spots", 24), [rows.id.eqNullSafe(F.col("i")), rows.th == F.col("t")])
     again = again.select("id", "th", "spots", shingle_hashes(words_of(F.col("text")), k).alias("dh"))
     windows = again.select("id", "th", "dh", F.explode("spots").alias("s")).select("id", "th", "s.start", "s.n", F.slice("dh", F.col("s.start") + 1, F.col("s.m")).alias("ws"))
     marked = windows.withColumn("f", simhash(F.col("ws")))
     left = marked.select("id", "th", "start", "n", "ws", "f", F.explode(blocks(F.col("f"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
     prints = items.withColumn("g", simhash(F.col("hs")))
     right = prints.select("item", "n", "hs", "g", F.explode(blocks(F.col("g"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    near = left.join(_small(right), ["n", "block", "value"]).filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
+    near = left.join(_small(right, "hs"), ["n", "block", "value"]).filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     # A pair within the radius may agree in many blocks: its first block reports it.
     first = F.size(F.filter(F.zip_with(blocks(F.col("f"), radius), blocks(F.col("g"), radius), lambda x, y: F.struct((x["value"] == y["value"]).alias("same"), x["block"].alias("block"))), lambda x: x["same"] & (x["block"] < F.col("block")))) == 0
     scored = near.filter(first).withColumn("similarity", weighted_similarity(F.col("ws"), F.col("hs"))).filter(F.col("similarity") >= similarity - 1e-9)

@@ -151,7 +151,9 @@ def test_leaks(spark, small):
     assert {r.doc_id for r in out.collect() if r.contaminated} == brute.leaked(rows, items)
 
 
-def test_leaks_at_any_start(spark):
+@pytest.mark.parametrize("limit", [decontamination.SMALL_BYTES, 0])
+def test_leaks_at_any_start(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "SMALL_BYTES", limit)  # 0: every side is shuffled
     """A window that no shared shingle places at its own start: the item's parts in another order, between edits."""
     w = words(60, 21).split()
     rows = [(1, " ".join(["x", "y", *w[28:], *w[:28], "z"])), (2, " ".join(["x", *w[:20], "new", *w[20:], "z"] * 3)), (3, " ".join(w[:20] + w[:20] + w[:20])), (4, "no " + " ".join(w[:58])), (5, " ".join(w[:40])), (6, " ".join(w * 20))]
