@@ -137,6 +137,14 @@ def a12_components(spark, d):  # noqa: ANN001, ANN201
     return components(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")))
 
 
+@query("""with recursive e as (select o_custkey as a, o_orderkey + 1000000000 as b from orders), und as (select a, b from e union select b, a from e),
+ reach(node, seen) as (select a, a from und union select u.b, r.seen from reach r join und u on u.a = r.node)
+ select node, min(seen) as component from reach group by 1""")
+def a12_all_components(spark, d):  # noqa: ANN001, ANN201
+    """Components over every order; a12_components is the slice of them that its SQL has."""
+    return components(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")))
+
+
 @query(f"{G} select * from rel where {NORM.format('source')} not in (select node_id from nodes) or {NORM.format('target')} not in (select node_id from nodes)")
 def j2_rejected_relationships(spark, d):  # noqa: ANN001, ANN201
     return rejected_relationships(relations(spark, d), build_nodes(entities(spark, d))).drop("src", "dst")

@@ -75,6 +75,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_all_orders(spark):
+    from loomspark.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    pairs = [(r.o_custkey, r.o_orderkey + 1_000_000_000) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in catalog.QUERIES["a12_all_components"](spark, d).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
 def test_louvain_beats_label_free_split(spark):
     a = np.array([0, 0, 1, 3, 3, 4, 2])
     b = np.array([1, 2, 2, 4, 5, 5, 3])
