@@ -3,7 +3,7 @@
 Known shapes are found by pattern. Other long tokens get their encoding inferred and three tests of
 randomness over its alphabet (chi-squared uniformity, runs about the median, lag-one correlation). A
 token is reported if none of the three rejects randomness and if its uniformity is a discovery
-against text-like tokens of its length: Benjamini-Hochberg within bands of length, since short tokens
+against text-like tokens of its encoding and length: Benjamini-Hochberg within bands of length, since short tokens
 carry little evidence. Everything is done within the row but for one histogram of p-values.
 """
 
@@ -32,8 +32,10 @@ ENCODINGS = (
     ("base64", r"\A[0-9A-Za-z+/]+\z", _DIGITS + _LOWER + _UPPER + "+/"),
     ("base64url", r"", _DIGITS + _LOWER + _UPPER + "-_+/"),
 )
-#: Sums of squared and cubed letter probabilities of text: the null of the discoveries.
-TEXT_PAIRS, TEXT_TRIPLES = 0.066, 0.006
+#: Sums of squared and cubed character probabilities of text: the null of the discoveries.
+TEXT = (0.066, 0.006)
+#: Hex has two nulls, since text cannot be hex as it is: decimal digits (ids, dates) and text's letters a to f alone.
+NULLS = {"hex": ((0.1, 0.01), (0.261, 0.0855))}
 #: Lower ends of the bands of length.
 BANDS = (24, 32, 48, 80)
 FALSE_DISCOVERIES = 0.05
@@ -74,17 +76,22 @@ def _battery(name: str, alphabet: str, tok: Column) -> Column:
     df = k - 1
     z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
     pairs = n * (n - 1)
-    text_mean = k / n * (n + pairs * TEXT_PAIRS) - n
-    text_sd = k / n * F.sqrt(2 * pairs * (TEXT_PAIRS - TEXT_PAIRS**2) + 4 * pairs * (n - 2) * (TEXT_TRIPLES - TEXT_PAIRS**2))
+
+    def below(two: float, three: float) -> Column:
+        mean = k / n * (n + pairs * two) - n
+        return (mean - chi) / (k / n * F.sqrt(2 * pairs * (two - two**2) + 4 * pairs * (n - 2) * (three - two**2)))
+
+    z_text = [below(*null) for null in NULLS.get(name, (TEXT,))]
     codes = F.transform(F.split(tok, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    return F.struct(F.lit(name).alias("encoding"), n.alias("n"), F.lit(k).alias("k"), z_chi.alias("z_chi"), _tail((text_mean - chi) / text_sd).alias("p_text"), codes.alias("codes"))
+    return F.struct(F.lit(name).alias("encoding"), n.alias("n"), F.lit(k).alias("k"), z_chi.alias("z_chi"), _tail(F.least(*z_text) if len(z_text) > 1 else z_text[0]).alias("p_text"), codes.alias("codes"))
 
 
 def randomness(token: Column) -> Column:
     """struct<encoding, n, z_chi, p_text, z_runs, z_serial> of a token.
 
     z_chi: Wilson-Hilferty score of the chi-squared statistic, large if not uniform. z_runs and
-    z_serial are two-sided. p_text: chance that text-like characters look this uniform at this length.
+    z_serial are two-sided. p_text: chance that text-like characters look this uniform at this length,
+    the largest of the encoding's nulls.
     """
     out = _battery(ENCODINGS[-1][0], ENCODINGS[-1][2], token)
     for name, pattern, alphabet in reversed(ENCODINGS[:-1]):
