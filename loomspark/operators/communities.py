@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,21 @@ from loomspark.operators.components import components
 from loomspark.operators.graph import Graph, degrees, undirected
 
 MIN_SIZE = 3
+#: Temperature of the draws in Leiden's refinement, in units of weight.
+RANDOMNESS = 0.01
+
+
+def _adjacency(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[list[dict[int, float]], np.ndarray]:
+    """(weights to other nodes, degrees, in which a loop counts twice) of each node."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    degree = np.zeros(n)
+    for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+        degree[x] += v
+        degree[y] += v
+        if x != y:
+            near[x][y] = near[x].get(y, 0.0) + v
+            near[y][x] = near[y].get(x, 0.0) + v
+    return near, degree
 
 
 def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int) -> np.ndarray:
@@ -20,14 +37,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolutio
     member = np.arange(n)
     rng = np.random.default_rng(seed)
     while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        degree = np.zeros(n)
-        for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-            degree[x] += v
-            degree[y] += v
-            if x != y:
-                near[x][y] = near[x].get(y, 0.0) + v
-                near[y][x] = near[y].get(x, 0.0) + v
+        near, degree = _adjacency(a, b, w, n)
         part, mass = np.arange(n), degree.copy()
         moved_any, moved, moves = False, True, 0
         while moved:
@@ -51,10 +61,114 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolutio
         a, b = part[a], part[b]
 
 
+def _moved(near: list[dict[int, float]], degree: np.ndarray, part: np.ndarray, scale: float, rng: np.random.Generator) -> np.ndarray:
+    """part after moves of single nodes, to a neighbour's or an empty community, until none gains; scale: resolution over twice all weight."""
+    n, part, mass, size = len(near), part.copy(), np.zeros(len(near)), np.zeros(len(near), int)
+    np.add.at(mass, part, degree)
+    np.add.at(size, part, 1)
+    empty = np.flatnonzero(size == 0).tolist()
+    queue = deque(rng.permutation(n).tolist())
+    waiting = np.ones(n, bool)
+    while queue:
+        x = queue.popleft()
+        waiting[x] = False
+        old = part[x]
+        mass[old] -= degree[x]
+        size[old] -= 1
+        gain: dict[int, float] = {old: 0.0}
+        for y, v in near[x].items():
+            gain[part[y]] = gain.get(part[y], 0.0) + v
+        if size[old] and empty:
+            gain[empty[-1]] = 0.0
+        gain = {c: v - scale * degree[x] * mass[c] for c, v in gain.items()}
+        best = max(gain, key=lambda c: (gain[c], -c))
+        if gain[best] <= gain[old] + 1e-10 * degree[x]:  # rounding is no gain, so the moves end
+            best = old
+        if size[best] == 0 and best != old:
+            empty.pop()
+        mass[best] += degree[x]
+        size[best] += 1
+        if best != old:
+            part[x] = best
+            if size[old] == 0:
+                empty.append(old)
+            for y in sorted(near[x]):
+                if part[y] != best and not waiting[y]:
+                    waiting[y] = True
+                    queue.append(y)
+    return part
+
+
+def _refined(near: list[dict[int, float]], degree: np.ndarray, part: np.ndarray, scale: float, rng: np.random.Generator) -> np.ndarray:
+    """A partition within part by joins along edges: nodes alone join a well-connected set, drawn by gain."""
+    n = len(near)
+    whole = np.zeros(n)
+    np.add.at(whole, part, degree)
+    fine, mass, size = np.arange(n), degree.copy(), np.ones(n, int)
+    cut = np.array([sum(v for y, v in near[x].items() if part[y] == part[x]) for x in range(n)], float)
+    held = lambda s, c: cut[s] >= scale * mass[s] * (whole[c] - mass[s]) - 1e-10 * mass[s]
+    for x in rng.permutation(n).tolist():
+        c = part[x]
+        if size[fine[x]] != 1 or not held(fine[x], c):
+            continue
+        links: dict[int, float] = {}
+        for y, v in near[x].items():
+            if part[y] == c:
+                links[fine[y]] = links.get(fine[y], 0.0) + v
+        gain = {s: v - scale * degree[x] * mass[s] for s, v in sorted(links.items()) if held(s, c)}
+        gain = {s: g for s, g in gain.items() if g >= -1e-10 * degree[x]}
+        if not gain:
+            continue
+        odds = np.exp((np.array(list(gain.values())) - max(gain.values())) / RANDOMNESS)
+        s, own = list(gain)[int(rng.choice(len(gain), p=odds / odds.sum()))], fine[x]
+        cut[s] += cut[own] - 2 * links[s]
+        mass[s] += mass[own]
+        size[s], size[own], fine[x] = size[s] + 1, 0, s
+    return fine
+
+
+def leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int) -> np.ndarray:
+    """Community of each node 0..n-1 by local moves, refinement and aggregation of the refined sets (Traag et al. 2019).
+
+    Every community is connected by its own edges, since sets only grow along edges. total as in louvain().
+    """
+    n = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
+    member, part = np.arange(n), np.arange(n)
+    rng, scale = np.random.default_rng(seed), resolution / (2 * total)
+    while True:
+        near, degree = _adjacency(a, b, w, n)
+        part = _moved(near, degree, part, scale, rng)
+        _, fine = np.unique(_refined(near, degree, part, scale, rng), return_inverse=True)
+        if fine.max(initial=-1) + 1 == n:
+            return member
+        n = int(fine.max()) + 1
+        upper = np.zeros(n, int)
+        upper[fine] = part
+        _, part = np.unique(upper, return_inverse=True)
+        member, a, b = fine[member], fine[a], fine[b]
+
+
+def hierarchical_leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int, max_size: int) -> np.ndarray:
+    """leiden(), and again on the own edges of each cluster over max_size, until no cluster is or none of those divides."""
+    member = leiden(a, b, w, total, resolution, seed)
+    top, left = int(member.max(initial=-1)), np.flatnonzero(np.bincount(member) > max_size).tolist()
+    while left:
+        c = left.pop()
+        own, inside = np.flatnonzero(member == c), (member[a] == c) & (member[b] == c)
+        index = np.full(len(member), -1)
+        index[own] = np.arange(len(own))
+        sub = leiden(index[a[inside]], index[b[inside]], w[inside], max(float(w[inside].sum()), 1e-9), resolution, seed)
+        if sub.max() > 0:
+            member[own] = top + 1 + sub
+            left += (top + 1 + np.flatnonzero(np.bincount(sub) > max_size)).tolist()
+            top += 1 + int(sub.max())
+    return member
+
+
 def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size: int | None = None) -> DataFrame:
     """(node_id, community): pairs(a, b, weight) clustered within each connected component, against the whole graph's weight.
 
-    community is the smallest member. Clusters over max_size are clustered again on their own edges.
+    community is the smallest member. With max_size by hierarchical_leiden(), else by louvain().
     One component is one task: the algorithm is sequential in it.
     """
     total = float(pairs.agg(F.sum("weight")).first()[0] or 0.0)
@@ -62,18 +176,11 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     keyed = pairs.join(parts.withColumnsRenamed({"node": "a"}), "a")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        if max_size:  # draws depend on the order of rows
+            pdf = pdf.sort_values(["a", "b"])
         names, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
         a, b, w = at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(float)
-        member = louvain(a, b, w, total, resolution, seed)
-        fine = member.copy()
-        for c in np.unique(member) if max_size else []:
-            own = np.flatnonzero(member == c)
-            if len(own) > max_size:
-                inside = (member[a] == c) & (member[b] == c)
-                index = np.full(len(names), -1)
-                index[own] = np.arange(len(own))
-                sub = louvain(np.append(index[a[inside]], np.arange(len(own))), np.append(index[b[inside]], np.arange(len(own))), np.append(w[inside], np.zeros(len(own))), max(float(w[inside].sum()), 1e-9), resolution, seed)
-                fine[own] = fine.max() + 1 + sub
+        fine = hierarchical_leiden(a, b, w, total, resolution, seed, max_size) if max_size else louvain(a, b, w, total, resolution, seed)
         low = {c: min(names[fine == c].tolist()) for c in np.unique(fine)}
         return pd.DataFrame({"node_id": names, "community": [low[c] for c in fine]})
 
@@ -83,7 +190,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
 def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: int = MIN_SIZE, algorithm: str = "louvain") -> DataFrame:
     """membership(level, community, node_id, parent): level 0 clusters of min_size or more, level 1 groups of two or more of them.
 
-    Fewer nodes than min_size: one community of all. algorithm ``leiden`` splits clusters over max(n / 2, 2 min_size) and has level 0 only.
+    Fewer nodes than min_size: one community of all. algorithm ``leiden`` is hierarchical_leiden() with clusters of at most max(n / 2, 2 min_size), where they divide, and has level 0 only.
     """
     n = graph.nodes.count()
     if n < min_size:

@@ -326,6 +326,11 @@ def a13_communities(spark, d):  # noqa: ANN001, ANN201
     return communities.hierarchy(graph(spark, d))
 
 
+@query()
+def a14_leiden_communities(spark, d):  # noqa: ANN001, ANN201
+    return communities.hierarchy(graph(spark, d), algorithm="leiden")
+
+
 @query()
 def q6_community_contexts(spark, d):  # noqa: ANN001, ANN201
     g = graph(spark, d)

@@ -112,6 +112,35 @@ def test_hierarchy(spark):
     assert communities.hierarchy(g, min_size=2, algorithm="leiden").filter("level > 0").count() == 0
 
 
+def test_leiden_splits_until_small(spark):
+    pairs = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}", 1.0) for i in range(999)], "a string, b string, weight double")
+    sizes = communities.detect(pairs, max_size=3).groupBy("community").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 3 and sizes.agg({"count": "sum"}).first()[0] == 1000
+
+
+def test_leiden_communities_are_connected():
+    def modularity(a, b, part):
+        degree = np.bincount(a, minlength=len(part)) + np.bincount(b, minlength=len(part))
+        return (part[a] == part[b]).mean() - sum((degree[part == c].sum() / (2 * len(a))) ** 2 for c in np.unique(part))
+
+    ours = louvains = 0.0
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 120, (260, 2))
+        x = np.unique(np.sort(np.concatenate([x[x[:, 0] != x[:, 1]], [[i, i + 1] for i in range(119)]]), axis=1), axis=0)
+        a, b = x[:, 0], x[:, 1]
+        member = communities.leiden(a, b, np.ones(len(a)), float(len(a)), 1.0, 42)
+        ours += modularity(a, b, member)
+        louvains += modularity(a, b, communities.louvain(a, b, np.ones(len(a)), float(len(a)), 1.0, 42))
+        for part in (member, communities.hierarchical_leiden(a, b, np.ones(len(a)), float(len(a)), 1.0, 42, 5)):
+            low = np.arange(120)
+            for _ in range(120):
+                for p, q in x[part[a] == part[b]]:
+                    low[p] = low[q] = min(low[p], low[q])
+            assert len(np.unique(low)) == len(np.unique(part))
+    assert ours > 0.99 * louvains
+
+
 def test_terms(spark):
     nodes = spark.createDataFrame([("housing grant", 1), ("grant", 2), ("hdb", 3)], "node_id string, ord long")
     terms = spark.createDataFrame([(0, "housing grant scheme"), (1, "HDB")], "term_pos int, term string")
