@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import normalize_name
 
+#: Rows of a block of vectors or queries in a search for many.
+BLOCK = 4096
+
 
 def _tokens(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(c, r"\s+")), lambda w: w != "")
@@ -38,11 +43,50 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest vectors to one query by squared distance, ties by id: a scan and a distributed top-k."""
+def nearest(vectors: DataFrame, query: list[float] | DataFrame, k: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The k nearest vectors to one query by squared distance, ties by id: a scan and a distributed top-k.
+
+    A table of queries(query_id, query), with unique ids, gives (query_id, id_col, distance, rank) for each of them.
+    """
+    if isinstance(query, DataFrame):
+        return _nearest_each(vectors, query, k, id_col, vec_col)
     return vectors.withColumn("distance", squared_distance(F.col(vec_col), F.array(*[F.lit(float(x)) for x in query]))).orderBy("distance", id_col).limit(k)
 
 
+def _nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """Every block of vectors meets every block of queries in a task of its own, which keeps the k nearest of each query.
+
+    Rows without an id or a vector, on either side, take no part.
+    """
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    q = queries.select("query_id", F.col("query").cast("array<double>").alias("v")).filter("query_id is not null and v is not null")
+    v_blocks, q_blocks = (max(1, -(-x.count() // BLOCK)) for x in (v, q))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = v.withColumn("vb", block("id", v_blocks)).withColumn("qb", every(q_blocks))
+    right = q.withColumn("qb", block("query_id", q_blocks)).withColumn("vb", every(v_blocks))
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((q, "query_id"), (v, "id"))]
+
+    def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query_id": [], "id": [], "distance": []}
+        if len(vs) and len(qs):
+            vs = vs.sort_values("id", ignore_index=True)
+            x = np.stack(vs["v"].to_list())
+            for name, y in zip(qs["query_id"], qs["v"], strict=True):
+                d = ((x - y) ** 2).sum(1)
+                kth = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
+                near = np.flatnonzero(d <= kth)
+                near = near[np.argsort(d[near], kind="stable")][:k]
+                out["query_id"] += [name] * len(near)
+                out["id"] += vs["id"].iloc[near].to_list()
+                out["distance"] += d[near].tolist()
+        return pd.DataFrame(out)
+
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(search, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "distance", "rank")
+
+
 def source_chunks(matched: DataFrame, others: DataFrame, nodes: DataFrame, limit: int = 5) -> DataFrame:
     """(chunk_id, pos): chunks of matched nodes in match order, then of the others, the first few."""
     ranked = matched.select("node_id", F.lit(0).alias("g"), F.col("match_rank").cast("long").alias("r")).unionByName(others.join(matched.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(1).alias("g"), F.lit(0).cast("long").alias("r")))

@@ -191,6 +191,19 @@ def j12_nearest(spark, d):  # noqa: ANN001, ANN201
     return nearest(v, list(q), 8).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    """with q as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0),
+ d as (select query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance from embeddings v, q),
+ r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d)
+ select query_id, vec_id, round(distance, 6) as distance, rank from r where rank <= 8"""
+)
+def j12_nearest_each(spark, d):  # noqa: ANN001, ANN201
+    """The top 8 of every query; j12_nearest is the one with vec_id = 0, as its SQL has it."""
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return nearest(v, q, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"{G} select node_id, token, n_words from (select node_id, len(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as n_words, unnest(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as token from nodes)")
 def j7_node_tokens(spark, d):  # noqa: ANN001, ANN201
     return node_tokens(build_nodes(entities(spark, d))).select("node_id", "token", "n_words")

@@ -141,6 +141,17 @@ def test_leiden_communities_are_connected():
     assert ours > 0.99 * louvains
 
 
+def test_nearest_of_each_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 40)  # several blocks on both sides
+    x = np.random.default_rng(1).integers(0, 3, (150, 4)).astype(float)  # with many ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 3 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got = {}
+    for r in retrieval.nearest(v, q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.distance))
+    assert got == {i: [(j, float(((x[i] - x[j]) ** 2).sum())) for j in sorted(range(150), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]] for i in range(0, 150, 3)}
+
+
 def test_terms(spark):
     nodes = spark.createDataFrame([("housing grant", 1), ("grant", 2), ("hdb", 3)], "node_id string, ord long")
     terms = spark.createDataFrame([(0, "housing grant scheme"), (1, "HDB")], "term_pos int, term string")
