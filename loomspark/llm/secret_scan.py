@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = [_kind(matches(F.col("text"), pattern), i, kind) for i, (kind, pattern) in enumerate(BASE.items())]
     based = rows.withColumn("base", F.array_sort(F.concat(*kinds).cast(empty)))
-    tokens = F.filter(matches(F.col("text"), TOKEN), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    tokens = F.filter(matches(F.col("text"), TOKEN), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     tested = F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["match"]).alias("t")))
     shaped = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _band(c["t"]["n"]).alias("band"), _depth(c["t"]["p_text"]).alias("depth"))
     slim = based.withColumn("tested", tested).select("id", "base", F.transform("tested", shaped).alias("all"), F.transform(F.filter("tested", lambda c: (c["t"]["z_chi"] <= Z_ONE) & (F.abs(c["t"]["z_runs"]) <= Z_TWO) & (F.abs(c["t"]["z_serial"]) <= Z_TWO)), shaped).alias("random"))

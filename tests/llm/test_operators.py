@@ -131,6 +131,16 @@ def test_secrets_in_upper_case_hex(spark):
     assert spans[0] == "random:2:42"
 
 
+def test_secrets_without_a_digit(spark):
+    draw = random.Random(7)
+    keys = ["".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+") for _ in range(48)) for _ in range(20)]
+    plain = ["/usr/share/doc/package/readme", "a-long-hyphenated-name-of-some-thing", "-" * 40, "2024-01-02/2024-03-04/2024-05-06"] * 5
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(df).select("doc_id", queries._joined(F.col("spans")).alias("spans")).collect()}
+    found = {i for i, x in spans.items() if "random" in x}
+    assert found <= set(range(20)) and len(found) >= 16  # a test or the threshold may miss a few
+
+
 def test_private(spark, small):
     docs, rows = small
     rows = rows + [(9000, "é a.b@c.d.e@f.g x@y 1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 +1 (743) 555-3824, 0001.2.3.4 +12 34"), (9001, None), (9002, "her ssn 123-45-6789 was")]
