@@ -19,8 +19,8 @@ from loomspark.storage import bounded_batches
 
 #: Trigram buckets.
 BUCKETS = 4096
-#: Languages a text is a mixture of at most: the best by single-language likelihood take part.
-CANDIDATES = 8
+#: Trigrams of texts times languages that are worked on at once.
+CELLS = 1 << 22
 ROUNDS, REFIT_ROUNDS = 12, 4
 UNDETERMINED = "und"
 SMOOTHING = 0.5
@@ -89,28 +89,37 @@ def _em(p: np.ndarray, c: np.ndarray, doc: np.ndarray, first: np.ndarray, total:
 
 
 def mixtures(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Language proportions [texts, languages] of texts that each have a trigram."""
-    n, languages = len(counts), probs.shape[1]
+    """Language proportions [texts, languages] of texts that each have a trigram, in slices of texts."""
+    probs = probs.astype(np.float32)
+    cells = np.cumsum((counts > 0).sum(1)) * probs.shape[1]
+    out, i = [], 0
+    while i < len(counts):
+        j = max(i + 1, int(np.searchsorted(cells, (cells[i - 1] if i else 0) + CELLS, "right")))
+        out.append(_mixtures(counts[i:j], probs))
+        i = j
+    return np.concatenate(out)
+
+
+def _mixtures(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    n, k = len(counts), probs.shape[1]
     row, bucket = np.nonzero(counts)
     c = counts[row, bucket].astype(np.float32)
     first = np.searchsorted(row, np.arange(n))
     total = np.add.reduceat(c, first)
-    single = np.add.reduceat(c[:, None] * np.log(probs).astype(np.float32)[bucket], first)
-    k = min(CANDIDATES, languages)
-    picked = np.argsort(-single, axis=1, kind="stable")[:, :k]
-    if k == languages:
-        picked = np.broadcast_to(np.arange(k), (n, k))
-        p = probs.astype(np.float32)[bucket]
-    else:
-        p = probs[bucket[:, None], picked[row]].astype(np.float32)
+    single = np.add.reduceat(c[:, None] * np.log(probs)[bucket], first)
+    p = probs[bucket]
     pi, ll = _em(p, c, row, first, total, np.full((n, k), 1 / k, np.float32), ROUNDS)
-    own = np.take_along_axis(single, picked, 1)
     best = np.zeros((n, k), np.float32)
-    best[np.arange(n), own.argmax(1)] = 1
+    best[np.arange(n), single.argmax(1)] = 1
     penalty = 1.5 * np.log(np.maximum(total, 2))  # trigrams overlap: a third of them counts as independent
-    value = own.max(1)
+    value = single.max(1)
     order = np.argsort(-pi, axis=1, kind="stable")
+    # the likelihood is concave: no mixture exceeds this, with some room for rounding
+    slope = np.add.reduceat(p * (c / np.einsum("ij,ij->i", p, pi[row]))[:, None], first).max(1) - total
+    most = ll + slope + 1e-5 * np.abs(ll) + 1
     for size in range(2, k + 1):
+        if (most - (size - 1) * penalty <= value).all():
+            break
         member = np.zeros((n, k), bool)
         np.put_along_axis(member, order[:, :size], True, 1)
         start = np.where(member, np.maximum(pi, 1e-6), 0)
@@ -119,9 +128,7 @@ def mixtures(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         better = gain > value
         value = np.where(better, gain, value)
         best[better] = fit[better]
-    out = np.zeros((n, languages), np.float32)
-    np.put_along_axis(out, picked, best, 1)
-    return out
+    return best
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,20 @@ def test_language_accuracy(spark):
     assert x[1] == ("und", 0.0) and x[2] == ("und", 0.0) and x[3][0] != "und"
 
 
+def test_language_mixture_of_more_than_eight():
+    probs = np.full((language_id.BUCKETS, 12), 1e-6)
+    for k in range(11):  # eleven like the first, and one unlike it
+        probs[:1000, k] += 1
+        probs[1000 + 100 * k : 1100 + 100 * k, k] += k
+    probs[3000:4000, 11] += 1
+    counts = np.zeros((3, language_id.BUCKETS), int)
+    counts[:, :1000] = 4
+    counts[1, 3000:4000] = 1
+    shares = language_id.mixtures(counts, probs / probs.sum(0))
+    assert shares[1, 11] == pytest.approx(0.2, abs=0.02) and shares[0, 11] < 0.01 and shares[2, 11] < 0.01
+    assert (shares.argmax(1) == 0).all()
+
+
 def test_quality_against_labels(spark):
     r = queries.op7_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     assert r.filter((F.col("quality") == 1) & ~F.col("quality_keep")).count() == 0
