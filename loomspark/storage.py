@@ -1,11 +1,14 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``. Only where the session leaves it unset (tests, a single
-machine) a local one is set. A table written here survives the loss of executors and cuts lineage.
+The folder is ``spark.checkpoint.dir``. Only where a session with a local master leaves it unset
+(tests, a single machine) a local one is set; a cluster without it is refused. A table written here
+survives the loss of executors and cuts lineage. All tables of an application lie in one folder,
+which ``release`` deletes once their results are read.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,30 +18,36 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets a local one if the session has none."""
+    """The shared folder; sets a local one if a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="loomspark-", dir=_made(LOCAL_FALLBACK))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        os.makedirs(LOCAL_FALLBACK, exist_ok=True)
+        found = tempfile.mkdtemp(prefix="loomspark-", dir=LOCAL_FALLBACK)
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def _made(path: str) -> str:
-    import os
-
-    os.makedirs(path, exist_ok=True)
-    return path
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomspark/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomspark/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that written() made in this application; DataFrames that read them are void."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of one Arrow batch sent to Python: with long texts the default of 10,000 takes hundreds of MB.
 BATCH_ROWS = 1000
 
