@@ -4,10 +4,13 @@ Each source's weight schedule is integrated; the share of its demand that falls
 inverted, so every word the mix takes from a source gets a training time, and documents are
 range-sorted by it. Within a source, documents stand in the order of a hash; their cumulative sizes
 come from sums of hash buckets, so a source with a third of all rows is spread over all buckets.
+The number of buckets grows with the rows, so that a bucket stays small.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ WEIGHTS = (5, 2, 1)
 #: Knots (time, relative weight) for each entry of WEIGHTS: heavy sources early, light ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
 REPEATS = 3
-#: Hex digits of the hash that name a bucket: 4096 buckets to a source.
-BUCKET_DIGITS = 3
+#: Rows that a bucket holds about, and the least number of hex digits of the hash that name a bucket.
+BUCKET_ROWS, LEAST_DIGITS = 100_000, 3
 
 
 def n_words(text: Column) -> Column:
@@ -83,7 +86,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     carry = F.lit(0).cast("long") if carry is None else carry
     slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), carry.alias("carried")), "mix-sizes")
     targets = source_targets(slim, weights, repeats).withColumnRenamed("source", "of")
-    hashed = slim.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, slim.count() / BUCKET_ROWS), 16)))
+    hashed = slim.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))).withColumn("bucket", F.substring("h", 1, digits))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("before"))
@@ -106,6 +110,14 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     )
 
 
+def in_training_order(assigned: DataFrame) -> DataFrame:
+    """assigned, range-sorted by the training time of the first copy; documents that are not taken come first, by hash.
+
+    The hash is part of the order, so that equal times (all documents without one) span many partitions.
+    """
+    return assigned.repartitionByRange("first_time", "order_hash").sortWithinPartitions("first_time", "order_hash")
+
+
 def curriculum(assigned: DataFrame, id_col: str = "doc_id", schedules: tuple = SCHEDULES) -> DataFrame:
     """One row per training occurrence, range-sorted: id_col, copy, words, train_time.
 

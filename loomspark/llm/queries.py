@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from loomspark.llm import decontamination
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.language_id import identify, learn
-from loomspark.llm.mixing import assign
+from loomspark.llm.mixing import assign, in_training_order
 from loomspark.llm.ngram_join import classes_of_links
 from loomspark.llm.pii import KINDS, find_pii
 from loomspark.llm.quality import fit, score
 from loomspark.llm.secret_scan import find_secrets
 from loomspark.llm.substring_dedup import repeated_spans
-from loomspark.llm.url_filter import PATTERN_RULES, host_path_rule, judge_urls
+from loomspark.llm.url_filter import JUNK, PATTERN_RULES, host_path_rule, judge_urls
 
 URL_RULES = tuple(host_path_rule(t, a) for t, a in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
 
@@ -37,7 +37,14 @@ ORACLES["op4_url_filter"] = r"""
 with u as (select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
  r(rule, h, p, verdict) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
  f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
-select page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host || chr(10) || path, '(^|[^a-z0-9])(spam|casino|porn|xxx|viagra|warez|torrent|phishing|malware|clickbait)([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict from u left join f using (page_id)"""
+select page_id, host, path, rule, coalesce(verdict, case when
+  regexp_matches(l, '(?s)^([^#]*[.-])?(JUNK)[0-9]*([.-][^#]*)?#') or regexp_matches(l, '(?s)#(.*[/._-])?(JUNK)([/._-].*)?$')
+  or regexp_matches(l, '(?s)#.*/wp-(admin|login|json|cron)([/.].*)?$') or regexp_matches(l, '(?s)#(.*/)?cgi-bin/') or regexp_matches(l, '(?s)#(.*/)?calendar/[0-9]{4}([/-][0-9]{1,2}){1,2}/?$')
+  or regexp_matches(l, '(?s)#(.*/)?page/[0-9]{3,}/?$') or regexp_matches(l, '(?s)#.*;jsessionid=[0-9a-f]+') or regexp_matches(l, '(?s)#(.*/)?(feed|rss|atom)([.]xml)?/?$')
+  or regexp_matches(l, '(?s)#(.*/)?tag/[^/]+/page/[0-9]+/?$') or regexp_matches(l, '(?s)#(.*/)?(cart|checkout|basket)/(add|item|step)([^a-z].*)?$')
+  or regexp_matches(l, '(?s)^([^#]*[.])?(ads?|track|trk|click|redirect)[0-9]*[.][^#]*#') or regexp_matches(l, '^[0-9]+([.][0-9]+){3}(:[0-9]+)?#')
+  then 'block' else 'allow' end) as verdict
+from (select *, host || '#' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from u) left join f using (page_id)""".replace("JUNK", "|".join(JUNK))
 ORACLES["op5_ngram_join"] = rf"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
  s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) when len(w) > 0 then [list_aggregate(w, 'string_agg', ' ')] else [] end) as s from w),
@@ -52,10 +59,15 @@ ORACLES["op8_source_mixing"] = rf"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::bigint as size from documents),
  s as (select source, sum(size)::bigint as source_size, 3.0::double * sum(size) as most, [5.0::double, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, row_number() over (order by source nulls last) as rank from d group by source),
  l as (select *, (sum(source_size) over () - coalesce(sum(most) over f, 0)) / (sum(w) over () - coalesce(sum(w) over f, 0)) as level from s window f as (order by most / w, rank rows between unbounded preceding and 1 preceding)),
- t as (select source, source_size, least(most, w * coalesce((select level from l where level <= most / w order by most / w, rank limit 1), 'infinity'::double)) as target from l),
- o as (select d.*, t.source_size, t.target, round(target)::bigint as demand, coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d join t on d.source is not distinct from t.source),
- k as (select *, case when source_size > 0 then demand // source_size else 0 end as whole from o)
-select doc_id, size, source_size, target, whole * size + greatest(0, least(demand - whole * source_size - start, size)) as taken from k"""
+ t as (select source, rank, source_size, least(most, w * coalesce((select level from l where level <= most / w order by most / w, rank limit 1), 'infinity'::double)) as target from l),
+ o as (select d.*, t.rank, t.source_size, t.target, round(target)::bigint as demand, coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d join t on d.source is not distinct from t.source),
+ k as (select *, case when source_size > 0 then demand // source_size else 0 end as whole from o),
+ g as (select *, greatest(0, least(demand - whole * source_size - start, size)) as part, start / demand as share from k)
+select doc_id, size, source_size, target, whole * size + part as taken, case when size > 0 then whole + (part > 0)::bigint else 0 end as copies,
+ case when whole * size + part > 0 then round(case (rank - 1) % 3
+   when 0 then 1.5 - sqrt(2.25 - 2 * share)
+   when 1 then share
+   else case when share < 0.3125 then sqrt(1 + 4 * share) - 1 else 0.5 + (sqrt(0.5625 + 5 * (share - 0.3125)) - 0.75) / 2.5 end end, 9) end as first_time from g"""
 
 
 def _count(spans: str, kind: str) -> Column:
@@ -99,7 +111,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    placed = in_training_order(assign(_table(spark, sf_dir, "documents")))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_time", 9).alias("first_time"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

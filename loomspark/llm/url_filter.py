@@ -19,13 +19,20 @@ from loomspark.storage import bounded_batches
 
 #: Rules are held by every task; more than this is refused rather than sent out.
 MAX_RULES = 200_000
-TOKEN = re.compile(r"[a-z0-9]+")
+#: Tokens of URLs and rules: letters and digits apart, so that ``casino7`` has the token ``casino``.
+TOKEN_PATTERN = "[a-z]+|[0-9]+"
+TOKEN = re.compile(TOKEN_PATTERN)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(_UPPER, _LOWER)
+
+
+#: Stands between host and path where rules look: neither can hold it, whatever else they hold.
+MARK = "#"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule over ``host`` + newline + ``path``.
+    """A rule over ``host#path``, A-Z lower-cased if fold, else as it is.
 
     name: what is reported, or None for a rule of the method itself. length: the longest fitting rule
     wins, then block before allow, then the name. tokens: literal tokens that every fitting URL has.
@@ -36,23 +43,47 @@ class Rule:
     pattern: str
     tokens: tuple[str, ...]
     length: int
+    fold: bool = False
 
 
 def host_path_rule(text: str, action: str) -> Rule:
     """A rule ``host/path``: the host and its subdomains, paths that start with the rule's."""
     host, slash, rest = text.partition("/")
     path = slash + rest
-    closed = TOKEN.findall(host.lower())
-    pieces = list(TOKEN.finditer(path.lower()))
+    closed = TOKEN.findall(lowered(host))
+    pieces = list(TOKEN.finditer(lowered(path)))
     closed += [m[0] for m in pieces if m.end() < len(path)]  # an open end may go on in the URL
-    return Rule(text, action, rf"\A(?:[^\n]*\.)?{re.escape(host.lower())}\n{re.escape(path)}", tuple(dict.fromkeys(closed)), len(text))
-
-
-#: The method's own verdicts where no given rule fits: hosts or paths that name junk.
-PATTERN_RULES = tuple(
-    Rule(None, "block", rf"(?:\A|[^a-z0-9]){word}(?:[^a-z0-9]|\Z)", (word,), 0)
-    for word in ("spam", "casino", "porn", "xxx", "viagra", "warez", "torrent", "phishing", "malware", "clickbait")
+    return Rule(text, action, rf"\A(?:[^#]*\.)?{re.escape(lowered(host))}\#{re.escape(path)}", tuple(dict.fromkeys(closed)), len(text))
+
+
+def lowered(text: str) -> str:
+    return text.translate(_FOLD)
+
+
+#: Words that name junk sites, and where a URL has to hold one: as a part of the host or as a part of
+#: the path between separators, with digits after it or without.
+JUNK = (
+    "adult", "bet", "betting", "bingo", "camgirls", "casino", "cheapmeds", "clickbait", "crack", "dating", "escort", "essaymill", "exploit", "fakenews", "forex", "freemoney", "gambling", "hentai", "hookup", "jackpot",
+    "keygen", "linkfarm", "loans", "lottery", "malware", "nulled", "payday", "pharmacy", "phishing", "pills", "poker", "porn", "replica", "roulette", "scam", "serials", "sex", "slots", "spam", "spyware",
+    "streamfree", "sweepstakes", "torrent", "torrents", "viagra", "warez", "webcam", "xxx",
+)
+#: {0}: the word. Hosts end at #, paths start with / and end with the URL.
+SHAPES = (r"\A(?:[^#]*[.-])?{0}[0-9]*(?:[.-][^#]*)?#", r"#(?:.*[/._-])?{0}(?:[/._-].*)?\Z")
+#: Pages that hold no text of their own, by (pattern, literal tokens that fitting URLs have).
+PAGE_SHAPES = (
+    *((rf"#.*/wp-{x}(?:[/.].*)?\Z", ("wp", x)) for x in ("admin", "login", "json", "cron")),
+    (r"#(?:.*/)?cgi-bin/", ("cgi", "bin")),
+    (r"#(?:.*/)?calendar/[0-9]{4}(?:[/-][0-9]{1,2}){1,2}/?\Z", ("calendar",)),
+    (r"#(?:.*/)?page/[0-9]{3,}/?\Z", ("page",)),
+    (r"#.*;jsessionid=[0-9a-f]+", ("jsessionid",)),
+    *((rf"#(?:.*/)?{x}(?:\.xml)?/?\Z", (x,)) for x in ("feed", "rss", "atom")),
+    (r"#(?:.*/)?tag/[^/]+/page/[0-9]+/?\Z", ("tag", "page")),
+    *((rf"#(?:.*/)?{x}/(?:add|item|step)(?:[^a-z].*)?\Z", (x,)) for x in ("cart", "checkout", "basket")),
+    *((rf"\A(?:[^#]*\.)?{x}[0-9]*\.[^#]*#", (x,)) for x in ("ad", "ads", "track", "trk", "click", "redirect")),
+    (r"\A[0-9]+(?:\.[0-9]+){3}(?::[0-9]+)?#", ()),
 )
+#: The method's own verdicts where no given rule fits.
+PATTERN_RULES = tuple(Rule(None, "block", pattern, tokens, 0, True) for pattern, tokens in (*((shape.format(w), (w,)) for w in JUNK for shape in SHAPES), *PAGE_SHAPES))
 
 
 def host_of(url: Column) -> Column:
@@ -70,7 +101,7 @@ def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Ru
     Only tokens that occur in rules come to the driver. A rule without tokens is under the empty token.
     """
     wanted = sorted({t for r in rules for t in r.tokens})
-    tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", F.lit("\n"), "path")), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+    tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", F.lit(MARK), "path"), _UPPER, _LOWER), F.lit(TOKEN_PATTERN), F.lit(0)))).alias("token"))
     named = tokens.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
     counts = dict(map(tuple, tokens.join(F.broadcast(named), "token", "left_semi").groupBy("token").count().collect())) if wanted else {}
     index: dict[str, list[Rule]] = defaultdict(list)
@@ -83,7 +114,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
     """pages with columns host, path, rule, verdict (of the same names are replaced).
 
     Null URLs and those without ``://`` have an empty host and path and get the default verdict unless
-    a rule without tokens fits. Rows are independent of each other: ties and repeats do not matter.
+    a rule without tokens fits. Hosts and paths may hold any character, line breaks included, and be of
+    any length; patterns look at the whole of them. Rows are independent of each other: ties and repeats
+    do not matter. No rows in, no rows out.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are held by each task")
@@ -92,16 +125,17 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
 
     @F.pandas_udf("rule string, verdict string")
     def judged(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        ready = {t: [(r.length, r.action == "block", r.name or "", r, re.compile(r.pattern)) for r in found] for t, found in index.items()}
+        ready = {t: [(r.length, r.action == "block", r.name or "", r, re.compile(r.pattern, re.S)) for r in found] for t, found in index.items()}
         always = ready.get("", [])
         for hosts, paths in series:
             out = []
             for host, path in zip(hosts, paths, strict=True):
-                url = f"{host}\n{path}"
+                url = host + MARK + path
+                low = lowered(url)
                 best = None
-                candidates = always + [c for t in set(TOKEN.findall(url.lower())) for c in ready.get(t, ())]
+                candidates = always + [c for t in set(TOKEN.findall(low)) for c in ready.get(t, ())]
                 for c in candidates:
-                    if (best is None or c[:3] > best[:3]) and c[4].search(url):
+                    if (best is None or c[:3] > best[:3]) and c[4].search(low if c[3].fold else url):
                         best = c
                 out.append((None, default) if best is None else (best[3].name, best[3].action))
             yield pd.DataFrame(out, columns=["rule", "verdict"])

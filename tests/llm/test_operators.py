@@ -212,6 +212,16 @@ def test_quality_against_labels(spark):
     assert r.filter((F.col("quality") == 0) & F.col("quality_keep")).count() <= 0.05 * r.filter("quality = 0").count()
 
 
+def integral(knots, t, steps=20_000):
+    """Share of a schedule's weight before t, by the midpoint rule."""
+    def weight(x):
+        (t0, m0), (t1, m1) = next(p for p in zip(knots, knots[1:]) if x <= p[1][0])
+        return m0 + (m1 - m0) * (x - t0) / (t1 - t0)
+
+    at = [(i + 0.5) / steps for i in range(steps)]
+    return sum(weight(x) for x in at if x < t) / sum(weight(x) for x in at)
+
+
 def test_mixing(spark, odd):
     out = mixing.assign(odd).collect()
     by = {}
@@ -227,20 +237,48 @@ def test_mixing(spark, odd):
     assert times.agg(F.sum("words")).first()[0] == a.agg(F.sum("taken")).first()[0]
     order = [r.train_time for r in times.collect()]
     assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
+    rank = {r.doc_id: (r["rank"], r.demand) for r in a.collect()}
+    for t in (0.1, 0.25, 0.5, 0.6, 0.9, 1.0):  # what a source has given before t is the integral of its schedule
+        for k in range(3):
+            given = sum(r.words for r in times.collect() if rank[r.doc_id][0] == k and r.train_time < t)
+            demand = next(d for x, d in rank.values() if x == k)
+            assert abs(given - demand * integral(mixing.SCHEDULES[k], t)) <= 220  # the words of one document at most
+    placed = mixing.in_training_order(a)
+    times = [r.first_time for r in placed.collect()]
+    assert times == sorted(times, key=lambda x: -1 if x is None else x)
+    assert "rangepartitioning" in placed._jdf.queryExecution().toString()
     assert mixing.mixed(odd).count() <= odd.count()
 
 
 def test_urls(spark):
-    rules = (*queries.URL_RULES, url_filter.Rule("any", "block", r"\n/ads", (), 1), *url_filter.PATTERN_RULES)
+    rules = (*queries.URL_RULES, url_filter.Rule("any", "block", r"#/ads", (), 1), *url_filter.PATTERN_RULES)
     urls = [None, "no scheme", "http://A.Example.ORG/es/x", "http://notexample.org/es/x", "http://example.org/en/12?q", "http://x.com/fr/#", "http://x.com/de/", "http://x.com", "http://x.net/ads/1", "http://spam-farm.net/a", "x://y://com/fr/"]
+    urls += ["http://a\nb.org/x", "http://a\n.example.org/es/\n", "http://\norg/", "http://x.net/a\ncasino/b", "http://x.net/Casino/b", "http://casino77.net", "http://x.net/mycasino/b", "http://x.net/calendar/2024/05", "http://1.2.3.4:80/x", "http://ads2.x.net/", "http://x.net/" + "a/" * 50_000 + "wp-login.php", "http://x.net/rss"]
     df = spark.createDataFrame([(i, u, "old", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, path int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
     assert got[0] == got[1] == ("", "", None, "allow")
     assert got[2] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[3][2:] == ("org/", "allow") and got[4][2:] == ("example.org/en/1", "block")
     assert got[5][2:] == ("com/fr/", "allow") and got[6][2:] == ("com/de/", "block") and got[7][2:] == (None, "allow") and got[8][2:] == ("any", "block") and got[9][2:] == (None, "block")
+    assert got[11] == ("a\nb.org", "/x", "org/", "allow") and got[12][2:] == ("example.org/es/", "block") and got[13][2:] == (None, "allow")
+    assert [got[i][3] for i in range(14, 23)] == ["block" if i != 14 and i != 17 else "allow" for i in range(14, 23)]
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_index_finds_what_all_rules_find(spark):
+    words = [*url_filter.JUNK[:12], "wp-admin", "calendar/2024/01", "page/123", "feed", "rss.xml", "x", "news", "ads", "cart/add", "a1"]
+    r = random.Random(5)
+    urls = ["http://" + r.choice(("", "www.")) + "".join(r.choice((w, w + "9", "my" + w)) for w in r.sample(words, 1)).replace("/", "-") + r.choice((".net", "-x.net")) + "/" + r.choice("/-_").join(r.sample(words, 2)) + r.choice(("", "/", ".html", "?q")) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(df, url_filter.PATTERN_RULES).collect()}
+    import re
+
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/?#]*)([^?#]*)", u).groups()
+        fits = any(re.search(rule.pattern, f"{host}#{path}".lower(), re.S) for rule in url_filter.PATTERN_RULES)
+        assert got[i] == ("block" if fits else "allow"), u
+    assert 40 < sum(v == "block" for v in got.values()) < 400
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
