@@ -142,6 +142,41 @@ def test_secrets_without_a_digit(spark):
     assert found <= set(range(20)) and len(found) >= 16  # a test or the threshold may miss a few
 
 
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+ALPHABETS |= {"base64": ALPHABETS["base62"] + "+/", "base64url": ALPHABETS["base62"] + "-_"}
+NAMES = "account service user name value list order customer create update delete index config manager request response session table column schema class method function package export process thread message event listener factory provider server address file report summary invoice payment product quantity discount currency region street phone login profile image video stream writer".split()
+
+
+def identifier(r, n):
+    """Words in camel case, with separators, in capitals or as a path, some with numbers."""
+    join, shape = r.choice((("", str.title), ("_", str.lower), ("-", str.lower), ("/", str.lower), ("_", str.upper), ("", str.lower)))
+    out = ""
+    while len(out) < n:
+        out += join + shape(r.choice(NAMES)) + (str(r.randint(0, 2030)) if r.random() < 0.15 else "")
+    return out[:n]
+
+
+def test_secrets_planted_among_identifiers(spark):
+    """Recall of random keys of each encoding and length, and the share of identifiers among the reported."""
+    r = random.Random(11)
+    rows = [(enc, n, "x " + "".join(r.choice(chars) for _ in range(n)) + " y") for enc, chars in ALPHABETS.items() for n in (20, 24, 32, 40, 64) for _ in range(40)]
+    rows += [("id", n, "x " + identifier(r, n) + " y") for n in (20, 24, 32, 40, 64) for _ in range(240)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, enc string, n int, text string")
+    found = secret_scan.find_secrets(df).filter(F.exists("spans", lambda s: s["kind"] == "random")).select("doc_id").join(df, "doc_id").groupBy("enc", "n").count().collect()
+    got = {(x.enc, x.n): x["count"] for x in found}
+    false = sum(v for (enc, _), v in got.items() if enc == "id")
+    true = {enc: sum(v for (e, _), v in got.items() if e == enc) for enc in ALPHABETS}
+    assert all(v >= 0.9 * 200 for v in true.values()), true
+    assert all(got.get((enc, 24), 0) >= 36 for enc in ALPHABETS), got
+    assert false <= 0.05 * (false + sum(true.values()))
+
+
+def test_secrets_many_matches(spark):
+    text = "é " + "".join(f"token={i:06}x é AKIA{'A' * 16} " for i in range(900))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.find_secrets(df).select(queries._joined(F.col("base")).alias("b")).first().b == brute.secrets(text)
+
+
 def test_private(spark, small):
     docs, rows = small
     rows = rows + [(9000, "é a.b@c.d.e@f.g x@y 1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 +1 (743) 555-3824, 0001.2.3.4 +12 34"), (9001, None), (9002, "her ssn 123-45-6789 was")]
