@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,27 +87,37 @@ def private(t):
     return ",".join(x[2] for x in sorted(out))
 
 
-def leaked(rows, items, k=5, least=0.8):
-    """Documents with an item-sized window, at any start, of the similarity."""
+def grams(w, k=5):
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
 
-    def grams(w):
-        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
 
-    def similarity(a, b):
-        ca, cb = defaultdict(int), defaultdict(int)
-        for x in a:
-            ca[x] += 1
-        for x in b:
-            cb[x] += 1
-        both = sum(min(ca[x], cb[x]) for x in ca)
-        return both / (len(a) + len(b) - both)
+def weighted(a, b):
+    ca, cb = Counter(a), Counter(b)
+    both = sum((ca & cb).values())
+    return both / (len(a) + len(b) - both)
 
-    out = set()
-    gs = [(len(w), grams(w)) for _, t in items if (w := WORD.findall((t or "").lower()))]
+
+def leaks(rows, items, least=0.8):
+    """{document: (similarity, item, start, words)} of its best window of any item's size, at any start, without any filter before the similarity but its bound by distinct shingles."""
+    out = {}
+    gs = [(i, len(w), grams(w)) for i, t in items if (w := WORD.findall((t or "").lower()))]
     for i, t in rows:
-        w = WORD.findall((t or "").lower())
-        own = grams(w)
-        for n, g in gs:
-            if len(set(g) & set(own)) >= least * len(set(g)) * 0.9 and any(similarity(grams(w[s : s + n]), g) >= least for s in range(max(1, len(w) - n + 1))):
-                out.add(i)
+        own = grams(WORD.findall((t or "").lower()))
+        best = None
+        for item, n, g in gs:
+            m, some = len(g), set(g)
+            shared = [x in some for x in own]
+            held = sum(shared[:m])
+            for s in range(max(len(own), 1)):
+                if held >= least * m - 1e-9:  # the similarity is at most the shared positions over the item's shingles
+                    found = (-weighted(own[s : s + m], g), item, s, n)
+                    best = found if best is None or found < best else best
+                if s < len(own):
+                    held += (shared[s + m] if s + m < len(own) else 0) - shared[s]
+        if best and -best[0] >= least - 1e-9:
+            out[i] = (-best[0], *best[1:])
     return out
+
+
+def leaked(rows, items):
+    return set(leaks(rows, items))
