@@ -11,7 +11,10 @@ one anchor, the GRAM bytes of the least hash inside it, so equal strings meet un
    sorted by the pair of ranks of their halves, which settles them.
 
 Sorts go over 64-bit names of content, dealt by ranges of names, so no group meets in one place by
-document or by text. Removed intervals return to their documents as merged lists.
+document or by text. Content that many documents share is settled in two steps: of the records a task
+holds, only the one of the smallest document is sent on; the others are later than it, whatever other
+tasks hold, so their strings are removed at once. Removed intervals return to their documents as merged
+lists.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomspark.llm.textbytes import as_bytes, mix64, release_memory, slices
 from loomspark.storage import bounded_batches, written
@@ -93,7 +97,7 @@ _SPAN = np.dtype([("id", np.int64), ("text", np.int64), ("at", np.int32), ("coun
 
 
 class _Dealer:
-    """Collects records of up to 2^16 rows and hands them on by range of a name."""
+    """Collects records of up to 2^16 rows, settles copies among them, and hands the others on by range of a name."""
 
     def __init__(self, kind: np.dtype, ranges: int) -> None:
         self.kind, self.ranges = kind, ranges
@@ -120,6 +124,14 @@ class _Dealer:
         if self.size:
             name, record = np.concatenate(self.names), np.concatenate(self.records)
             ids, texts = np.concatenate(self.ids), np.concatenate(self.texts)
+            later = self._later(record["content"], ids[record["row"]])
+            if later.any():
+                done = record[later]
+                count = done["count"] if "count" in self.kind.names else 1
+                table = _by_bucket(_joined(_spans(ids[done["row"]], texts[done["row"]], done["at"], count, REMOVED)), self.ranges)
+                none = pa.nulls(len(table), pa.binary())
+                yield from pa.table([table.column(0), none, none, none, table.column(1)], names=_DEALT).to_batches()
+                name, record = name[~later], record[~later]
             at = ((name >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(at, kind="stable")
             record, at = record[order], at[order]
@@ -131,24 +143,53 @@ class _Dealer:
                 blobs.append(part.tobytes())
                 id_blobs.append(ids[rows].tobytes())
                 text_blobs.append(texts[rows].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x, pa.binary()) for x in (blobs, id_blobs, text_blobs))], names=["range", "records", "ids", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in (blobs, id_blobs, text_blobs)), pa.nulls(len(used), pa.binary())], names=_DEALT)
         self.clear()
 
+    @staticmethod
+    def _later(content: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which records have a content that a smaller document among them has."""
+        order = np.lexsort((ids, content))
+        head = np.flatnonzero(np.append(True, content[order][1:] != content[order][:-1]))
+        own = ids[order]
+        out = np.empty(len(ids), bool)
+        out[order] = own > np.repeat(own[head], np.diff(np.append(head, len(ids))))
+        return out
 
-DEALT = "range int, records binary, ids binary, texts binary"
+
+_DEALT = ["range", "records", "ids", "texts", "spans"]
+#: Rows hold records of one range of names, or spans that are settled already, of one bucket of documents.
+DEALT = "range int, records binary, ids binary, texts binary, spans binary"
 SPANS = "bucket int, spans binary"
 
 
 def _gathered(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(records, identifier of each, text hash of each) of one range."""
-    records, ids, texts = [], [], []
+    records, ids, texts = [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r, i, t in zip(*(table.column(c).to_pylist() for c in ("records", "ids", "texts")), strict=True):
-        records.append(np.frombuffer(r, kind))
-        ids.append(np.frombuffer(i, np.int64)[records[-1]["row"]])
-        texts.append(np.frombuffer(t, np.int64)[records[-1]["row"]])
+        if r is not None:
+            records.append(np.frombuffer(r, kind))
+            ids.append(np.frombuffer(i, np.int64)[records[-1]["row"]])
+            texts.append(np.frombuffer(t, np.int64)[records[-1]["row"]])
     return np.concatenate(records), np.concatenate(ids), np.concatenate(texts)
 
 
+def _settled(table: pa.Table) -> np.ndarray:
+    """Spans that came settled."""
+    return np.concatenate([np.zeros(0, _SPAN), *(np.frombuffer(x, _SPAN) for x in table.column("spans").to_pylist() if x is not None)])
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans of one kind in which those that follow each other in a document are one."""
+    s = spans[np.lexsort((spans["at"], spans["text"], spans["id"]))]
+    new = np.append(True, (s["id"][1:] != s["id"][:-1]) | (s["text"][1:] != s["text"][:-1]) | (s["at"][1:] != s["at"][:-1] + s["count"][:-1]))
+    head = np.flatnonzero(new)
+    out = s[head]
+    last = np.append(head[1:], len(s)) - 1
+    out["count"] = s["at"][last] + s["count"][last] - out["at"]
+    return out
+
+
 def _by_bucket(spans: np.ndarray, buckets: int) -> pa.Table:
     if not len(spans):
         return pa.table({"bucket": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
@@ -172,6 +213,8 @@ def _settle_runs(buckets: int):  # noqa: ANN202
     def settle(table: pa.Table) -> pa.Table:
         release_memory()
         r, ids, texts = _gathered(table, _RECORD)
+        if not len(r):
+            return _by_bucket(_settled(table), buckets)
         order = np.lexsort((ids, r["content"], r["anchor"]))
         r, ids, texts = r[order], ids[order], texts[order]
         new_anchor = np.append(True, r["anchor"][1:] != r["anchor"][:-1])
@@ -185,7 +228,7 @@ def _settle_runs(buckets: int):  # noqa: ANN202
         # an anchor with contents of different owners: the first occurrences are looked at string by string
         mixed = np.minimum.reduceat(owner, group) < np.maximum.reduceat(owner, group)
         looked = ~later & np.repeat(np.repeat(mixed, members), size)
-        return _by_bucket(np.concatenate([_spans(ids[m], texts[m], r["at"][m], r["count"][m], kind) for m, kind in ((later, REMOVED), (looked, OPEN))]), buckets)
+        return _by_bucket(np.concatenate([_settled(table), *(_spans(ids[m], texts[m], r["at"][m], r["count"][m], kind) for m, kind in ((later, REMOVED), (looked, OPEN)))]), buckets)
 
     return settle
 
@@ -194,11 +237,13 @@ def _settle_strings(buckets: int):  # noqa: ANN202
     def settle(table: pa.Table) -> pa.Table:
         release_memory()
         r, ids, texts = _gathered(table, _STRING)
+        if not len(r):
+            return _by_bucket(_settled(table), buckets)
         order = np.lexsort((ids, r["content"]))
         r, ids, texts = r[order], ids[order], texts[order]
         head = np.flatnonzero(np.append(True, r["content"][1:] != r["content"][:-1]))
         later = ids > np.repeat(ids[head], np.diff(np.append(head, len(r))))
-        return _by_bucket(_spans(ids[later], texts[later], r["at"][later], 1, REMOVED), buckets)
+        return _by_bucket(np.concatenate([_settled(table), _spans(ids[later], texts[later], r["at"][later], 1, REMOVED)]), buckets)
 
     return settle
 
@@ -244,13 +289,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id_col, spans (array<struct<start, end>>, bytes), kept (the other bytes).
 
     A byte is removed if a string of ``length`` bytes covers it that also starts in a document with a
-    smaller identifier; strings are judged on the input. Identifiers are integers. Null text counts as
-    empty; a null identifier counts as larger than all others. Rows of the same identifier never remove
-    from each other. Texts shorter than ``length`` stay whole. No rows in, no rows out.
+    smaller identifier; strings are judged on the input. Identifiers are of any type that has an order.
+    Null text counts as empty; a null identifier counts as larger than all others. Rows of the same
+    identifier never remove from each other. Texts shorter than ``length`` stay whole. No rows in, no
+    rows out.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        rows = rows.withColumn("key", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST)))
+    else:  # numbers in the order of the identifiers: partitions of a range sort, and rows in them, are numbered in order
+        order = rows.select(F.col("id").alias("own")).filter("own is not null").distinct().orderBy("own").withColumn("key", F.monotonically_increasing_id())
+        order = written(order, "repeat-order")
+        rows = rows.join(order, F.col("id") == F.col("own"), "left").select("id", F.coalesce("key", F.lit(_LAST)).alias("key"), "body")
     rows = rows.withColumn("hash", F.xxhash64("body"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -268,7 +320,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from out.hand_on()
         release_memory()
 
-    spans = rows.select("key", "hash", "body").mapInArrow(deal, DEALT).groupBy("range").applyInArrow(_settle_runs(parts), SPANS)
+    spans = rows.select("key", "hash", "body").mapInArrow(deal, DEALT).groupBy("range").applyInArrow(_settle_runs(ranges), SPANS)
     first = written(spans.groupBy("bucket").applyInArrow(_gather_spans(length), FOUND), "repeat-runs")
 
     def deal_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +344,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     open_rows = first.filter(F.length("open") > 0).select(F.col("id").alias("i"), F.col("text").alias("t"), "open")
     looked = rows.join(_small(open_rows, "open"), [rows.key == F.col("i"), rows.hash == F.col("t")]).select("key", "hash", "body", "open")
-    spans = looked.mapInArrow(deal_open, DEALT).groupBy("range").applyInArrow(_settle_strings(parts), SPANS)
+    spans = looked.mapInArrow(deal_open, DEALT).groupBy("range").applyInArrow(_settle_strings(ranges), SPANS)
     second = written(spans.groupBy("bucket").applyInArrow(_gather_spans(length), FOUND), "repeat-strings")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
