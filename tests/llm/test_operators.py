@@ -91,6 +91,35 @@ def test_links(spark, odd):
     assert one.columns == odd.columns and one.filter("doc_id = 5").count() == 0 and one.filter("doc_id = 4").count() == 1
 
 
+def test_links_of_texts_that_share_a_passage(spark):
+    """Texts held together by a common passage only, among them linked pairs and a text that many copies were made from."""
+    r = random.Random(23)
+    passage = words(60, 61)
+    rows = [(i, words(r.randint(5, 50), 100 + i) + " " + passage) for i in range(150)]
+    base = words(150, 62)
+    for i in range(60):
+        w = base.split()
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"x{i}"
+        rows.append((200 + i, " ".join(w)))
+    rows += [(300 + i, rows[i][1] + " more") for i in range(20)] + [(400, base)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.classes_of_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.links(rows)
+
+
+def test_rarest_keys_of_linked_sets_meet():
+    r = np.random.default_rng(9)
+    core = r.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core[r.random(300) < p], r.integers(0, 1 << 62, int(n)).astype(np.uint64)])) for p, n in zip(r.random(80) ** 0.2, r.integers(0, 30, 80), strict=True)]
+    h, first = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))
+    classes = ngram_join.Classes(80, 400)
+    for counts in (np.zeros(1 << 16, np.int64), np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=1 << 16)):
+        key, owner = ngram_join.rarest_keys(h, first, classes, counts)
+        held = [set(key[owner == i].tolist()) for i in range(len(sets))]
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - o)]
+        assert len(linked) > 20 and all(held[i] & held[j] for i, j in linked)
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
 
