@@ -9,8 +9,10 @@ path; the chain is cut there, exactly, and only the pieces between are decoded.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ TAGS = ("O", "email", "ip", "card", "phone", "id")
 #: The labelled table: words of one kind stand in ``<kind words>``. Rows repeat with other digits.
 LABELLED = (
     "please call <phone +1 (743) 555-3824> before noon", "phone <phone (743) 555-3824> or write", "tel. <phone 743-555-3824> office hours",
-    "ring <phone +44 20 7946 0958> today", "my mobile is <phone 0171 234 56 78> thanks", "fax <phone 555-0133> only", "dial <phone (020) 7946 0958> now",
-    "write to <email ann.lee@mail.example.com> soon", "mail <email bob_23@example.org,> please", "contact <email joe@host> internally", "send it to <email x.y@sub.example.net.>",
-    "host <ip 192.168.10.24> is down", "from <ip 10.0.0.7> to <ip 172.16.254.1> it went", "server <ip 227.5.221.1:8080> answered",
+    "ring <phone +44 20 7946 0958> today", "my mobile is <phone 0171 234 56 78> thanks", "fax <phone 555-0133> only", "dial <phone (020) 7946 0958> now", "his cell <phone 646-555-0187> rang", "sms to <phone 303.555.0199> please", "hotline <phone 1-800-555-0100> is free",
+    "write to <email ann.lee@mail.example.com> soon", "mail <email bob_23@example.org,> please", "forward to <email admin@localhost> now", "user <email root@mailhost> wrote", "contact <email joe@host> internally", "send it to <email x.y@sub.example.net.>",
+    "host <ip 192.168.10.24> is down", "from <ip 10.0.0.7> to <ip 172.16.254.1> it went", "server <ip 227.5.221.1:8080> answered", "address <ip 10.1.2.3> is taken", "the router <ip 192.0.2.44> replied", "traffic of <ip 8.8.8.8,> was cut", "login from <ip 100.64.20.9>",
     "card <card 4325 4048 9316 7225> expires", "paid with <card 4325404893167225> yesterday", "visa <card 5500-0000-0000-0004,> thanks", "amex <card 3782 822463 10005> declined",
     "ssn <id 123-45-6789> on file", "her number <id 987-65-4321> was", "social security <id 078-05-1120.> end", "passport <id X12345678> issued", "iban <id DE89370400440532013000> owner", "tax id <id 12-3456789> given",
     "in 1998 there were 25 of them", "it cost 1,250.00 or so", "version 3.11.2 was out", "page 12 of 300", "on 2021-03-04 at 10:30 we met", "the ratio 16:9 held", "about 100 people came in 7 days",
@@ -39,9 +41,9 @@ LABELLED = (
 COPIES, STEPS, DECAY = 12, 150, 0.02
 
 # --- word shapes -------------------------------------------------------------------------------
-_DIGIT_LEVELS = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 7, 7, 8, 9, 9, 9, 9, 9, 9, 10])
+_DIGIT_LEVELS = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 8, 9, 10, 10, 10, 10, 10, 10, 11])
 #: (name, number of levels) of the parts of a shape code.
-PARTS = (("digits", 11), ("at", 2), ("dots", 4), ("hyphens", 3), ("brackets", 2), ("plus", 2), ("letters", 4), ("other", 2))
+PARTS = (("digits", 12), ("at", 2), ("dots", 4), ("hyphens", 3), ("brackets", 2), ("plus", 2), ("letters", 4), ("other", 2))
 CODES = int(np.prod([n for _, n in PARTS]))
 
 
@@ -94,7 +96,8 @@ def labelled_rows() -> list[tuple[str, list[str]]]:
             for piece in re.split(r"(<\w+ [^>]*>)", line):
                 kind, body = ("O", piece) if not piece.startswith("<") else (piece[1:].split(" ", 1)[0], piece.split(" ", 1)[1][:-1])
                 for w in body.split():
-                    plain.append(w if not copy or kind == "ip" else re.sub("[0-9]", lambda m: str(rng.integers(1, 10)), w))
+                    fresh = "[0-9]{1,3}(?=[.:,]|$)" if kind == "ip" else "[0-9]"
+                    plain.append(w if not copy else re.sub(fresh, lambda m, most=256 if kind == "ip" else 10: str(rng.integers(1, most)), w))
                     tags.append(kind)
             rows.append((" ".join(plain), tags))
     return rows
@@ -310,10 +313,14 @@ def find_pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 every = [[(s, k, e, KINDS[k]) for s, k, e in b] for b in base]
+                places: dict[int, np.ndarray] = {}
                 for d, a, b, tag in _field_spans(field, data, off):
-                    s = len(data[off[d] : a].tobytes().decode("utf-8", "replace"))
-                    e = s + len(data[a:b].tobytes().decode("utf-8", "replace"))
-                    if not any(x[0] < e and s < x[2] for x in base[d]):
+                    if d not in places:  # code points before each byte, and how far the base spans before it reach
+                        places = {d: np.append(0, np.cumsum((data[off[d] : off[d + 1]] & 0xC0) != 0x80))}
+                        starts, reach = [x[0] for x in base[d]], list(accumulate((x[2] for x in base[d]), max))
+                    s, e = int(places[d][a - off[d]]), int(places[d][b - off[d]])
+                    before = bisect_left(starts, e)
+                    if not before or reach[before - 1] <= s:
                         every[d].append((s, len(KINDS) + tag, e, f"crf_{TAGS[tag]}"))
                 rows = lambda found: pa.array([[{"kind": x[3], "start": x[0], "end": x[2]} for x in sorted(f)] for f in found], span)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows([[x for x in f if x[1] < len(KINDS)] for f in every]), rows(every)], names=["id", "base", "spans"])
