@@ -57,10 +57,10 @@ def truncate(c: Column, n: int, mark: str = "") -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Collapse blank lines and spaces and drop common page boilerplate."""
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    """Collapse blank lines (white space in them too) and spaces and drop two phrases of page boilerplate."""
+    c = F.regexp_replace(c, r"(?U)\n\s*\n\s*\n+", "\n\n")
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"(?i)(skip to main content|back to top|share this page)", "")
+    c = F.regexp_replace(c, r"(?i)(skip to main content|back to top)", "")
     return strip(c)
 
 
@@ -134,7 +134,7 @@ EXTRACT_PROMPT = "List the entities (types: {types}) and their relationships in
 SUMMARY_PROMPT = "Summarise this community of entities in one paragraph.\n\n{context}"
 TERMS_PROMPT = "Name the entities this question asks about, one a line.\n\n{question}"
 ANSWER_PROMPT = "Earlier turns:\n{history}\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer from the context only."
-JUDGE_PROMPT = "Score relevance, faithfulness, completeness and clarity (1-5, with justification) as JSON.\n\nQuestion: {question}\nAnswer: {answer}\nContext: {context}"
+JUDGE_PROMPT = "Score relevance, accuracy, completeness and coherence (1-5, with justification) as JSON.\n\nQuestion: {question}\nAnswer: {answer}\nExpected entities: {entities}\nExpected keywords: {keywords}"
 
 
 def prompt(template: str, **values: Column) -> Column:

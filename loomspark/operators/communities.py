@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import entity_line, relation_line
 from loomspark.operators.components import components
 from loomspark.operators.graph import Graph, degrees, undirected
+from loomspark.storage import written
 
 MIN_SIZE = 3
 #: Temperature of the draws in Leiden's refinement, in units of weight.
@@ -195,15 +196,16 @@ def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: i
     n = graph.nodes.count()
     if n < min_size:
         return graph.nodes.select(F.lit(0).alias("level"), F.lit("all").alias("community"), "node_id", F.lit(None).cast("string").alias("parent"))
-    pairs = undirected(graph.edges)
+    pairs = written(undirected(graph.edges), "community-pairs")
     base = detect(pairs, resolution, seed, max(n // 2, 2 * min_size) if algorithm == "leiden" else None)
+    base = written(base, "community-found")  # one run of the search, which sizes, edges and both levels read
     big = base.groupBy("community").count().filter(F.col("count") >= min_size).select("community")
     base = base.join(big, "community", "left_semi")
     if algorithm == "leiden":
         return base.select(F.lit(0).alias("level"), "community", "node_id", F.lit(None).cast("string").alias("parent"))
     upper = detect(community_edges(pairs, base), resolution / 2, seed).select(F.col("node_id").alias("community"), F.col("community").alias("parent"))
     groups = upper.groupBy("parent").count().filter("count >= 2").select("parent")
-    upper = upper.join(groups, "parent", "left_semi")
+    upper = written(upper.join(groups, "parent", "left_semi"), "community-groups")
     level0 = base.join(upper, "community", "left").select(F.lit(0).alias("level"), "community", "node_id", "parent")
     level1 = base.join(upper, "community").select(F.lit(1).alias("level"), F.col("parent").alias("community"), "node_id", F.lit(None).cast("string").alias("parent"))
     return level0.unionByName(level1)
@@ -248,8 +250,36 @@ def contexts(graph: Graph, members: DataFrame, max_entities: int = 30, max_edges
 def summaries(context: DataFrame, summarise, cache: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
     """context with column summary: from the cache by hash of the context, else by the provider (a Column -> Column)."""
     hashed = context.withColumn("context_hash", F.sha2("context", 256))
-    if cache is not None:
-        hashed = hashed.join(cache.select("context_hash", F.col("summary").alias("cached")), "context_hash", "left")
-    else:
-        hashed = hashed.withColumn("cached", F.lit(None).cast("string"))
-    return hashed.withColumn("summary", F.regexp_replace(F.coalesce("cached", summarise(F.col("context"))), r"^SUMMARY:\s*", "")).drop("cached")
+    if cache is None:
+        hits, misses = None, hashed
+    else:  # the provider runs over misses only, whatever it costs
+        known = cache.groupBy("context_hash").agg(F.min("summary").alias("summary"))
+        hits, misses = hashed.join(known, "context_hash"), hashed.join(known, "context_hash", "left_anti")
+    said = misses.withColumn("summary", F.regexp_replace(summarise(F.col("context")), r"^SUMMARY:\s*", ""))
+    return said if hits is None else said.unionByName(hits.select(said.columns))
+
+
+def intra_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges with level and community, for each community that holds both ends."""
+    m = members.select("level", "community", "node_id")
+    return edges.join(m.withColumnRenamed("node_id", "src"), "src").join(m.withColumnRenamed("node_id", "dst"), ["dst", "level", "community"])
+
+
+def first_communities(nodes: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
+    """nodes(node_id, ...) with title and summary of the first community (by level and name) that holds them and has a summary."""
+    own = nodes.join(members, "node_id").join(summaries.filter("summary <> ''"), ["level", "community"])
+    best = own.groupBy("node_id").agg(F.min_by(F.struct("level", "community", "title", "summary"), F.struct("level", "community")).alias("s"))
+    return nodes.join(best, "node_id").select(*nodes.columns, "s.level", "s.community", "s.title", "s.summary")
+
+
+def modularity(pairs: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row: the modularity of members(node_id, community) over pairs(a, b, weight); nodes outside any community are alone."""
+    m = members.select("node_id", "community")
+    total = pairs.agg(F.sum("weight").alias("total"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node_id"), "weight").groupBy("node_id").agg(F.sum("weight").alias("degree"))
+    mass = ends.join(m, "node_id", "left").groupBy(F.coalesce("community", F.concat(F.lit("\u0000"), "node_id")).alias("c")).agg(F.sum("degree").alias("mass"))
+    inside = pairs.join(m.withColumnsRenamed({"node_id": "a", "community": "ca"}), "a", "left").join(m.withColumnsRenamed({"node_id": "b", "community": "cb"}), "b", "left")
+    inside = inside.filter((F.col("ca") == F.col("cb")) | (F.col("a") == F.col("b"))).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+    squares = mass.agg(F.sum(F.col("mass") * F.col("mass")).alias("squares"))
+    one = total.join(inside, how="cross").join(squares, how="cross")  # one row each
+    return one.select((F.col("inside") / F.col("total") - resolution * F.col("squares") / (4 * F.col("total") * F.col("total"))).alias("modularity"))

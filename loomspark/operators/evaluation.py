@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.answers import DIMENSIONS
 from loomspark.functions.text import normalize_name
 
 
@@ -23,27 +24,32 @@ def entity_overlap(expected: Column, retrieved: Column) -> Column:
     return F.struct(matched.cast("int").alias("matched"), p.alias("precision"), q.alias("recall"), F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0)).alias("f1"))
 
 
-def keyword_coverage(answer: Column, keywords: Column) -> Column:
-    """Share of keywords that occur in the answer, whole or word by word; no keywords: 0."""
+def found_keywords(answer: Column, keywords: Column) -> Column:
+    """Keywords that occur in the answer, whole or word by word."""
     a = F.lower(answer)
-    found = F.filter(keywords, lambda k: F.contains(a, F.lower(k)) | F.forall(F.split(F.lower(k), " "), lambda w: F.contains(a, w)))
-    return F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(keywords)), F.lit(0.0))
+    return F.filter(keywords, lambda k: F.contains(a, F.lower(k)) | F.forall(F.split(F.lower(k), " "), lambda w: F.contains(a, w)))
+
+
+def keyword_coverage(answer: Column, keywords: Column) -> Column:
+    """Share of keywords that occur in the answer; no keywords: 0."""
+    return F.coalesce(F.try_divide(F.size(found_keywords(answer, keywords)).cast("double"), F.size(keywords)), F.lit(0.0))
 
 
-def p95(c: Column) -> Column:
-    """The element at index int(0.95 n) of the sorted values."""
-    x = F.array_sort(F.collect_list(c))
-    return F.when(F.size(x) > 0, F.element_at(x, F.least(F.floor(F.size(x) * 0.95).cast("int") + 1, F.size(x))))
+def p95(column: str, n: int) -> Column:
+    """The element at index int(0.95 n) of n sorted values (null of none): an aggregate that holds distinct values, not all."""
+    at = min(int(0.95 * n), max(n - 1, 0))
+    return F.expr(f"percentile_disc({(at + 0.5) / max(n, 1):.17g}) within group (order by {column})")
 
 
 def aggregate(results: DataFrame) -> DataFrame:
     """One row over results(success, precision, recall, f1, coverage, latency_ms, judge); only successes count."""
     ok = results.filter("success")
+    timed = ok.filter("latency_ms is not null").count()
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     a = ok.agg(
         F.count("*").alias("successes"), F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"), F.avg("f1").alias("f1_mean"), F.expr("percentile(recall, 0.5)").alias("recall_median"), sd("recall").alias("recall_std"),
         F.avg("coverage").alias("coverage_mean"), F.expr("percentile(coverage, 0.5)").alias("coverage_median"), sd("coverage").alias("coverage_std"), F.avg("latency_ms").alias("latency_mean"), F.expr("percentile(latency_ms, 0.5)").alias("latency_median"),
-        p95(F.col("latency_ms")).alias("latency_p95"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"), F.count("judge").alias("judged"), F.avg("judge").alias("judge_mean"),
+        p95("latency_ms", timed).alias("latency_p95"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"), F.count("judge").alias("judged"), F.avg("judge").alias("judge_mean"),
     )
     return a.join(results.agg(F.count("*").alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate")), how="cross")  # one row each
 
@@ -58,9 +64,6 @@ def breakdowns(results: DataFrame, by: tuple[str, ...] = ("category", "difficult
         from __ls_results group by grouping sets ({sets}) having count_if(success) > 0""")
 
 
-DIMENSIONS = ("relevance", "faithfulness", "completeness", "clarity")
-
-
 def judge_summary(verdicts: DataFrame) -> DataFrame:
     """One row over verdicts(overall, four dimensions): how many have an overall score, its mean and median, mean of each dimension among them."""
     judged = verdicts.filter("overall is not null")

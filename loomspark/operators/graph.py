@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import entity_line, normalize_name, relation_line
 from loomspark.operators.components import components
-from loomspark.operators.merge import folded
+from loomspark.operators.merge import folded, told_once
 from loomspark.storage import written
 
 
@@ -31,7 +31,8 @@ def build_nodes(entities: DataFrame) -> DataFrame:
 def build_entity_map(entities: DataFrame) -> DataFrame:
     """The first entity of each node with the descriptions of all folded."""
     first = F.min_by(F.struct("name", "type", "source_chunk"), "ord")
-    return entities.groupBy(normalize_name(F.col("name")).alias("node_id")).agg(first.alias("x"), folded(F.col("description"), F.col("ord")).alias("description"), F.min("ord").alias("ord")).select("node_id", "x.*", "description", "ord")
+    keyed = told_once(entities.withColumn("node_id", normalize_name(F.col("name"))), ["node_id"], "ord", ["name", "type", "source_chunk"])
+    return keyed.groupBy("node_id").agg(first.alias("x"), folded(F.col("description"), F.col("ord")).alias("description"), F.min("ord").alias("ord")).select("node_id", "x.*", "description", "ord")
 
 
 def build_edges(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -111,6 +112,16 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.coalesce("relation_type", F.lit("Unknown")).alias("relation_type")).agg(F.count("*").alias("n"))
 
 
+def node(graph: Graph, name: str) -> DataFrame:
+    """The node of a name in any spelling, or no row."""
+    return graph.nodes.filter(F.col("node_id") == normalize_name(F.lit(name)))
+
+
+def entity(graph: Graph, name: str) -> DataFrame:
+    """The entity of a name in any spelling, or no row."""
+    return graph.entity_map.filter(F.col("node_id") == normalize_name(F.lit(name)))
+
+
 def statistics(graph: Graph) -> DataFrame:
     """One row: num_nodes, num_edges (undirected), num_components, avg_degree, density."""
     pairs = undirected(graph.edges)

@@ -31,15 +31,30 @@ def folded(description: Column, order: Column) -> Column:
     return F.aggregate(found, F.lit(""), lambda acc, x: F.when((x["d"] == "") | F.contains(acc, x["d"]), acc).otherwise(F.trim(F.concat(acc, F.lit(" "), x["d"]))))
 
 
+def told_once(rows: DataFrame, key: list[str], order: str, firsts: list[str], sums: list[str] | None = None) -> DataFrame:
+    """rows with equal descriptions of a key as one: the columns ``firsts`` of the first, ``sums`` added up.
+
+    A description that was folded in once is part of the text from then on, so a repeat adds nothing; it is
+    combined before the shuffle, and a hot key reaches one task with its distinct descriptions only. One
+    with outer white space may lose it in the fold, so it is no repeat.
+    """
+    d = F.coalesce("description", F.lit(""))
+    slim = rows.withColumn("description", d).withColumn("__ls_own", F.when(d != F.trim(d), F.col(order)))
+    first = F.min(F.struct(F.col(order).alias("__ls_o"), *firsts)).alias("x")
+    return slim.groupBy(*key, "description", "__ls_own").agg(first, *[F.sum(c).alias(c) for c in sums or []]).select(*key, "description", *(sums or []), F.col("x.__ls_o").alias(order), *[f"x.{c}" for c in firsts])
+
+
 def merge_entities(entities: DataFrame, order: str = "ord") -> DataFrame:
     """One row per (normalised name, lower-cased type): first spelling, type and chunk; folded description; first order."""
     o = F.col(order)
-    keyed = entities.groupBy(normalize_name(F.col("name")).alias("node_id"), F.lower("type").alias("type_key"))
+    keyed = entities.withColumn("node_id", normalize_name(F.col("name"))).withColumn("type_key", F.lower("type"))
+    keyed = told_once(keyed, ["node_id", "type_key"], order, ["name", "type", "source_chunk"]).groupBy("node_id", "type_key")
     return keyed.agg(F.min_by("name", o).alias("name"), F.min_by("type", o).alias("type"), folded(F.col("description"), o).alias("description"), F.min_by("source_chunk", o).alias("source_chunk"), F.min(o).alias("ord")).drop("type_key")
 
 
 def merge_relationships(relationships: DataFrame, order: str = "ord") -> DataFrame:
     """One row per (normalised ends, lower-cased relation): summed weight, folded description, first spelling."""
     o = F.col(order)
-    keyed = relationships.groupBy(normalize_name(F.col("source")).alias("src"), normalize_name(F.col("target")).alias("dst"), F.lower("relation_type").alias("rel_key"))
+    keyed = relationships.withColumn("src", normalize_name(F.col("source"))).withColumn("dst", normalize_name(F.col("target"))).withColumn("rel_key", F.lower("relation_type"))
+    keyed = told_once(keyed, ["src", "dst", "rel_key"], order, ["source", "target", "relation_type", "source_chunk"], ["weight"]).groupBy("src", "dst", "rel_key")
     return keyed.agg(F.min_by("source", o).alias("source"), F.min_by("target", o).alias("target"), F.min_by("relation_type", o).alias("relation_type"), folded(F.col("description"), o).alias("description"), F.sum("weight").alias("weight"), F.min_by("source_chunk", o).alias("source_chunk"), F.min(o).alias("ord")).drop("rel_key")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from loomspark.functions.answers import extraction, verdict
 from loomspark.functions.html import page
 from loomspark.functions.text import TERMS_PROMPT, clamp_score, clean_text, entity_lines, normalize_name, overall_score, prompt, split_reasoning, strip_think, truncate, window_chunks
-from loomspark.functions.url import authority, excluded, is_document, normalize_url, same_site, visit_key
 from loomspark.operators import communities, evaluation
 from loomspark.operators.components import components
 from loomspark.operators.graph import Graph, build_edges, build_entity_map, build_graph, build_nodes, context, degrees, incident_edges, induced, list_entities, neighbours, rejected_relationships, relation_counts, statistics, type_counts, undirected
@@ -22,7 +21,8 @@ from loomspark.operators.merge import entity_rows, merge_entities, merge_relatio
 from loomspark.operators.retrieval import match_terms, nearest, node_tokens, source_chunks
 from loomspark.plans.chat import clear, history, latest_question, visible
 from loomspark.plans.index_build import build
-from loomspark.plans.search import combined_search, global_search, local_search
+from loomspark.plans import providers
+from loomspark.plans.search import Corpus
 from loomspark.sources.corpus import empty_extractions, failed_chunks, filter_questions, read_sitemaps
 from loomspark.sources.store import cache_delete, cache_lookup, page_files
 
@@ -129,22 +129,6 @@ def a10_statistics(spark, d):  # noqa: ANN001, ANN201
     return statistics(graph(spark, d))
 
 
-@query("""with recursive e as (select o_custkey as a, o_orderkey + 1000000000 as b from orders where o_custkey % 3 = 0 and o_orderkey % 2 = 0), und as (select a, b from e union select b, a from e),
- reach(node, seen) as (select a, a from und union select u.b, r.seen from reach r join und u on u.a = r.node)
- select node, min(seen) as component from reach group by 1""")
-def a12_components(spark, d):  # noqa: ANN001, ANN201
-    o = table(spark, d, "orders").filter("o_custkey % 3 = 0 and o_orderkey % 2 = 0")
-    return components(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")))
-
-
-@query("""with recursive e as (select o_custkey as a, o_orderkey + 1000000000 as b from orders), und as (select a, b from e union select b, a from e),
- reach(node, seen) as (select a, a from und union select u.b, r.seen from reach r join und u on u.a = r.node)
- select node, min(seen) as component from reach group by 1""")
-def a12_all_components(spark, d):  # noqa: ANN001, ANN201
-    """Components over every order; a12_components is the slice of them that its SQL has."""
-    return components(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")))
-
-
 @query(f"{G} select * from rel where {NORM.format('source')} not in (select node_id from nodes) or {NORM.format('target')} not in (select node_id from nodes)")
 def j2_rejected_relationships(spark, d):  # noqa: ANN001, ANN201
     return rejected_relationships(relations(spark, d), build_nodes(entities(spark, d))).drop("src", "dst")
@@ -184,26 +168,6 @@ def j7_match_terms(spark, d):  # noqa: ANN001, ANN201
     return match_terms(terms, build_nodes(entities(spark, d)))
 
 
-@query("select v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance from embeddings v, (select embedding from embeddings where vec_id = 0) q order by distance, vec_id limit 8")
-def j12_nearest(spark, d):  # noqa: ANN001, ANN201
-    v = table(spark, d, "embeddings")
-    q = v.filter("vec_id = 0").first()["embedding"]
-    return nearest(v, list(q), 8).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-@query(
-    """with q as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0),
- d as (select query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance from embeddings v, q),
- r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d)
- select query_id, vec_id, round(distance, 6) as distance, rank from r where rank <= 8"""
-)
-def j12_nearest_each(spark, d):  # noqa: ANN001, ANN201
-    """The top 8 of every query; j12_nearest is the one with vec_id = 0, as its SQL has it."""
-    v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return nearest(v, q, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
-
-
 @query(f"{G} select node_id, token, n_words from (select node_id, len(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as n_words, unnest(list_distinct(list_filter(regexp_split_to_array(node_id, '\\s+'), lambda x: x <> ''))) as token from nodes)")
 def j7_node_tokens(spark, d):  # noqa: ANN001, ANN201
     return node_tokens(build_nodes(entities(spark, d))).select("node_id", "token", "n_words")
@@ -251,17 +215,6 @@ def p13_window_chunks(spark, d):  # noqa: ANN001, ANN201
     return x.select("doc_id", F.col("i").cast("long").alias("chunk_idx"), F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("i").cast("string")).alias("chunk_id"), "text")
 
 
-@query("select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as normal, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) as key, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as authority, regexp_matches(url, '[?#]|/search|/login|/print|/share') as skipped from pages")
-def p15_urls(spark, d):  # noqa: ANN001, ANN201
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", normalize_url(u).alias("normal"), visit_key(u).alias("key"), authority(u).alias("authority"), excluded(u).alias("skipped"))
-
-
-@query("with n as (select page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9_-]+', '_', 'g')[:100] as name from pages) select page_id, name || case r when 0 then '' else '_' || r end || '.json' as file from (select *, row_number() over (partition by name order by url) - 1 as r from n)")
-def k8_page_files(spark, d):  # noqa: ANN001, ANN201
-    return page_files(table(spark, d, "pages").select("page_id", "url")).select("page_id", "file")
-
-
 @query("select distinct 'c' || event_id % 50 as chunk_id from events where event_type = 'click'")
 def s10_failed_chunks(spark, d):  # noqa: ANN001, ANN201
     e = table(spark, d, "events")
@@ -283,18 +236,6 @@ def w8_latest_question(spark, d):  # noqa: ANN001, ANN201
     return latest_question(messages(spark, d))
 
 
-@query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is distinct from event_type")
-def w5_consecutive_duplicates(spark, d):  # noqa: ANN001, ANN201
-    e = table(spark, d, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("event_id", "user_id", "event_type")
-
-
-@query("select doc_id, source, lower(text)[:50] as key from documents qualify row_number() over (partition by source, lower(text)[:50] order by doc_id) = 1")
-def w6_first_occurrence(spark, d):  # noqa: ANN001, ANN201
-    x = table(spark, d, "documents").select("doc_id", "source", F.left(F.lower("text"), F.lit(50)).alias("key"))
-    return x.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", "key")
-
-
 @query("select conv_id, turn, case when length(text) > 300 then text[:300] || '...' else text end as snippet from conversations")
 def p12_truncate(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "conversations").select("conv_id", "turn", truncate(F.col("text"), 300, "...").alias("snippet"))
@@ -318,12 +259,6 @@ def a22_breakdowns(spark, d):  # noqa: ANN001, ANN201
     return evaluation.breakdowns(results(spark, d)).select("dimension", "value", "n", F.round("success_rate", 9).alias("success_rate"), F.round("recall_mean", 9).alias("recall_mean"))
 
 
-@query("select p_partkey, (contains('brand#13', lower(p_brand)) or contains(lower(p_brand), 'brand#13'))::int::double as recall from part")
-def j13_entity_overlap(spark, d):  # noqa: ANN001, ANN201
-    x = evaluation.entity_overlap(F.array(F.lit("Brand#13")), F.array(F.lower("p_brand")))
-    return table(spark, d, "part").select("p_partkey", x["recall"].alias("recall"))
-
-
 @query("select p_partkey, ((contains(lower(p_type), 'brass'))::int + (contains(lower(p_type), 'a') and contains(lower(p_type), 'e'))::int) / 2 as coverage from part")
 def j14_keyword_coverage(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", evaluation.keyword_coverage(F.col("p_type"), F.array(F.lit("BRASS"), F.lit("a e"))).alias("coverage"))
@@ -350,28 +285,15 @@ def q6_community_contexts(spark, d):  # noqa: ANN001, ANN201
     return communities.contexts(g, communities.hierarchy(g))
 
 
-def _corpus(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    return build(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
-
-
-@query()
-def q14_index_build(spark, d):  # noqa: ANN001, ANN201
-    return _corpus(spark, d).graph.nodes.drop("ord")
-
-
-@query()
-def q1_local_search(spark, d):  # noqa: ANN001, ANN201
-    return local_search(_corpus(spark, d), "What is Thnting and Eauouon?")
+_BUILT: dict[tuple[str, str], Corpus] = {}
 
 
-@query()
-def q2_global_search(spark, d):  # noqa: ANN001, ANN201
-    return global_search(_corpus(spark, d), "What is Thnting and Eauouon?")
-
-
-@query()
-def q4_combined_search(spark, d):  # noqa: ANN001, ANN201
-    return combined_search(_corpus(spark, d), "What is Thnting and Eauouon?")
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The index of the documents of a folder: built and stored once in an application, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = build(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return _BUILT[key]
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,31 +349,12 @@ def p5_tolerant_json(spark, d):  # noqa: ANN001, ANN201
     return x.select("p_partkey", F.col("x.entities")[0]["name"].alias("name"), "x.status")
 
 
-@query("select p_partkey, (p_size % 6)::double as relevance, 2.0::double as clarity, null::double as completeness, p_size % 5 = 0 as failed from part where p_size % 5 <> 0 union all select p_partkey, null, null, null, true from part where p_size % 5 = 0")
-def p6_judge_answers(spark, d):  # noqa: ANN001, ANN201
-    said = F.concat(F.lit('```json\n{"relevance": '), (F.col("p_size") % 6).cast("string"), F.lit(', "clarity": {"score": "2"}}\n```'))
-    x = table(spark, d, "part").select("p_partkey", verdict(F.when(F.col("p_size") % 5 == 0, F.lit("no verdict")).otherwise(said)).alias("x"))
-    return x.select("p_partkey", "x.relevance", "x.clarity", "x.completeness", F.col("x.error").isNotNull().alias("failed"))
-
-
 @query("select event_id, coalesce(event_type, 'none') || '|user ' || user_id as names from events")
 def p11_entity_lines(spark, d):  # noqa: ANN001, ANN201
     said = F.concat(F.lit("- "), F.coalesce("event_type", F.lit("none")), F.lit("\n\n  \u2022 user "), F.col("user_id").cast("string"), F.lit("  \n1. x"))
     return table(spark, d, "events").select("event_id", F.array_join(entity_lines(said), "|").alias("names"))
 
 
-@query("select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || repeat(chr(10), 5) || 'SKIP to main  content' || chr(9) || role || ' back to Top', '\\n{3,}', repeat(chr(10), 2), 'g'), '[ \\t]+', ' ', 'g'), '(skip to main content|back to top|share this page)', '', 'gi'), '^\\s+|\\s+$', '', 'g') as cleaned from conversations")
-def p17_clean_text(spark, d):  # noqa: ANN001, ANN201
-    raw = F.concat("text", F.lit("\n\n\n\n\nSKIP to main  content\t"), "role", F.lit(" back to Top"))
-    return table(spark, d, "conversations").select("conv_id", "turn", clean_text(raw).alias("cleaned"))
-
-
-@query("select page_id, regexp_matches(regexp_replace(regexp_replace(url || ext, '[?#].*$', ''), '/+$', ''), '(?i)\\.(pdf|docx?|xlsx?|pptx?)$') as document, a <> '' and (contains(a, 'example.org') or contains('example.org', a)) as inside from (select *, ['.PDF?x=1', '.docx', '.xlsm', '/'][page_id % 4 + 1] as ext, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as a from pages)")
-def p22_document_links(spark, d):  # noqa: ANN001, ANN201
-    ext = F.element_at(F.array(F.lit(".PDF?x=1"), F.lit(".docx"), F.lit(".xlsm"), F.lit("/")), (F.col("page_id") % 4 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", is_document(F.concat("url", ext)).alias("document"), same_site(F.col("url"), F.lit("example.org")).alias("inside"))
-
-
 @query("select conv_id, turn, 'Name the entities this question asks about, one a line.' || chr(10) || chr(10) || coalesce(text, '') as prompt from conversations")
 def p25_prompts(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "conversations").select("conv_id", "turn", prompt(TERMS_PROMPT, question=F.col("text")).alias("prompt"))
@@ -473,14 +376,6 @@ def a26_dataset_summary(spark, d):  # noqa: ANN001, ANN201
     return evaluation.dataset_summary(results(spark, d), {"category": ["click", "no such"], "difficulty": ["d1"]})
 
 
-@query("with v as (select case when event_id % 3 = 0 then event_id % 4 + 1.5 end as overall, event_id % 5 as relevance, event_id % 7 as faithfulness, case when event_id % 2 = 0 then 4 end as completeness, event_id % 3 as clarity from events) select count(*) as judged, round(avg(overall), 9) as overall_mean, median(overall::double) as overall_median, round(avg(relevance), 9) as relevance_mean, round(avg(faithfulness), 9) as faithfulness_mean, round(avg(completeness), 9) as completeness_mean, round(avg(clarity), 9) as clarity_mean from v where overall is not null")
-def a21_judge_summary(spark, d):  # noqa: ANN001, ANN201
-    i = F.col("event_id")
-    v = table(spark, d, "events").select(F.when(i % 3 == 0, i % 4 + 1.5).cast("double").alias("overall"), (i % 5).alias("relevance"), (i % 7).alias("faithfulness"), F.when(i % 2 == 0, 4).alias("completeness"), (i % 3).alias("clarity"))
-    out = evaluation.judge_summary(v)
-    return out.select("judged", "overall_median", *[F.round(c, 9).alias(c) for c in out.columns if c.endswith("_mean")])
-
-
 def _dealt(g: Graph) -> DataFrame:
     """A membership that SQL can state: seven communities by node order."""
     return g.nodes.select(F.lit(0).alias("level"), F.concat(F.lit("k"), (F.col("ord") % 7).cast("string")).alias("community"), "node_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from loomspark.functions.html import page
-from loomspark.functions.url import is_document, excluded, normalize_url, same_site, visit_key
+from loomspark.functions.url import is_document, is_page, normalize_url, should_visit, visit_key
 from loomspark.storage import written
 
 
@@ -68,27 +68,58 @@ def rate_limited(urls: DataFrame, fetch: Callable[[str], str | None], delay: flo
 
 
 def crawl(spark: SparkSession, start: list[str], pages: DataFrame, domain: str, max_depth: int = 2, max_pages: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(pages with content, document links) by breadth-first search over pages(url, html), the offline web.
+    """(pages with content, document links) by breadth-first search over pages(url, html[, content_type]), the offline web.
 
-    A page is visited once, by its lower-cased normalised URL; links are followed below max_depth. Only
-    pages with three blocks or a FAQ count toward max_pages.
+    Seeds and links are visited if should_visit() says so, once, by their lower-cased normalised URL; seeds
+    and links that are documents are listed instead. Responses that are no HTML are passed over. Links are
+    followed below max_depth. Only pages with three blocks or a FAQ count toward max_pages.
     """
-    web = pages.withColumn("key", visit_key(F.col("url")))
-    frontier = spark.createDataFrame([(u,) for u in start], "url string").select(visit_key(F.col("url")).alias("key")).distinct()
-    seen, kept, documents, budget = frontier, None, None, max_pages
+    web = pages if "content_type" not in pages.columns else pages.filter(is_page(F.col("content_type")))
+    web = web.withColumn("key", visit_key(F.col("url")))
+    seeds = spark.createDataFrame([(u,) for u in start], "url string")
+    frontier = seeds.filter(should_visit(F.col("url"), F.lit(domain))).select(visit_key(F.col("url")).alias("key")).distinct()
+    documents = seeds.filter(is_document(F.col("url"))).select(F.col("url").alias("document"))
+    seen, kept, budget = frontier, None, max_pages
     for depth in range(max_depth + 1):
         got = written(web.join(frontier, "key", "left_semi").withColumn("page", page("html", "url")), "crawl")
         good = got.filter((F.size("page.chunks") >= 3) | (F.size("page.faqs") >= 1)).orderBy("key").limit(budget).select("url", F.lit(depth).alias("depth"), "page")
         good = written(good, "crawl-kept")
         kept = good if kept is None else kept.unionByName(good)
         links = got.select(F.explode("page.documents").alias("document")).distinct()
-        documents = links if documents is None else documents.union(links).distinct()
+        documents = documents.union(links).distinct()
         budget -= good.count()
         if budget <= 0 or depth == max_depth:
             break
-        found = got.select(F.explode("page.links").alias("url")).filter(~excluded(F.col("url")) & ~is_document(F.col("url")) & same_site(F.col("url"), F.lit(domain)))
+        found = got.select(F.explode("page.links").alias("url")).filter(should_visit(F.col("url"), F.lit(domain)))
         frontier = written(found.select(visit_key(normalize_url(F.col("url"))).alias("key")).distinct().join(seen, "key", "left_anti"), "crawl-frontier")
         if frontier.isEmpty():
             break
         seen = written(seen.union(frontier), "crawl-seen")
     return kept, documents
+
+
+def crawl_statistics(kept: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: pages, documents, faqs of a crawl."""
+    pages = kept.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.size("page.faqs")), F.lit(0)).alias("faqs"))
+    return pages.join(documents.agg(F.countDistinct("document").alias("documents")), how="cross").select("pages", "documents", "faqs")  # one row each
+
+
+def scrape_list(catalogue: DataFrame, web: DataFrame, done: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """catalogue(category, subcategory, name, url) over web(url, html) -> (category, subcategory, name, url, status, markdown).
+
+    status: ``exists`` for names that done(category, subcategory, name) holds, which are not fetched; ``failed``
+    without a page; ``saved``; with full, the full Markdown form, and ``skipped`` if it is too short.
+    """
+    key = ["category", "subcategory", "name"]
+    known = catalogue if done is None else catalogue.join(done.select(*key).distinct().withColumn("held", F.lit(True)), key, "left")
+    held = F.lit(False) if done is None else F.coalesce("held", F.lit(False))
+    pages = known.withColumn("exists", held).join(web.select("url", "html"), "url", "left").withColumn("html", F.when(~F.col("exists"), F.col("html")))
+    form = page("html", "url")["full_markdown" if full else "markdown"]
+    text = F.when(F.col("html").isNotNull(), form)
+    status = F.when(F.col("exists"), "exists").when(F.col("html").isNull(), "failed").when(F.col("markdown").isNull(), "skipped").otherwise("saved")
+    return pages.withColumn("markdown", text).select(*key, "url", status.alias("status"), "markdown")
+
+
+def scrape_counts(scraped: DataFrame) -> DataFrame:
+    """(category, subcategory, total, completed): what exists or was saved is completed."""
+    return scraped.groupBy("category", "subcategory").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("exists", "saved")).alias("completed"))

@@ -57,25 +57,37 @@ def test_answers():
     assert answers.parse_verdict("nothing")["error"] == "nothing"
 
 
-PAGE = """<html><head><title>T</title></head><body><nav><p>menu menu menu menu</p></nav><main><h1>A heading</h1><p>First paragraph text.</p><p>First paragraph text.</p>
-<ul><li>item one x<li>item two y</ul><table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2 and more</td></tr></table><h2>Is it so?</h2><p>Yes, it is.</p></main>
-<a href="/b?x=1">b</a><a href="http://o.org/c">c</a><a href="d.pdf">d</a></body></html>"""
+PAGE = """<html><head><title>T</title></head><body><nav><p>menu menu menu menu</p></nav><main><h1>A heading</h1><h2>A heading that is longer</h2><p>First <b>paragraph</b> text.</p><p>First <b>paragraph</b> text.</p>
+<ul><li>item one x</li><li>item two y</li><li>z</li></ul><table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2 and more</td></tr><tr><td>lone cell</td></tr></table>
+<div class="qa"><b class="toggle">Who pays?</b><p class="panel">The one who has ordered it.</p></div><h2>Is it so?</h2><p>Yes, it is.</p><div>no</div><h5>small</h5><ul><li>And more.</li></ul><h4>End</h4><p>Not this.</p></main>
+<a href="/b?x=1">b</a><a href="http://o.org/c">c</a><a href="d.pdf">d</a><a href="#t">t</a></body></html>"""
 
 
 def test_html():
     p = html.page_data(PAGE, "http://e.org/a")
     assert p["title"] == "T"
-    assert p["chunks"] == ["Section: A heading", "First paragraph text.", "Items: item one x; item two y", "h | k\nh: 1; k: 2 and more", "Section: Is it so?"]
-    assert p["faqs"] == [{"question": "Is it so?", "answer": "Yes, it is."}]
-    assert p["links"] == ["http://e.org/b"] and p["documents"] == ["http://e.org/d.pdf"]
+    assert p["chunks"] == ["Section: A heading that is longer", "Firstparagraphtext.", "Items: item one x; item two y", "Table data: Table columns: h, k; h: 1 | k: 2 and more; lone cell", "The one who has ordered it."]
+    assert p["faqs"] == [{"question": "Who pays?", "answer": "The one who has ordered it."}, {"question": "Is it so?", "answer": "Yes, it is. And more."}]
+    assert p["links"] == ["http://e.org/b", "http://e.org/d.pdf"] and p["documents"] == ["http://e.org/d.pdf"]
+    assert html.page_data(PAGE, "http://e.org/a", " ")["chunks"][1] == "First paragraph text."
     assert html.page_data(None, None)["chunks"] == []
-    assert "# A heading" in p["markdown"]
+
+
+def test_markdown():
+    flat = html.markdown(PAGE, "http://e.org/a")
+    assert flat.startswith("# T\n\nSource: http://e.org/a\n\n# A heading\n\n## A heading that is longer\n\nFirstparagraphtext.") and "menu" not in flat and "| 2 and more" in flat
+    assert html.full_markdown(PAGE, "u") is None  # too short
+    full = html.full_markdown(PAGE.replace("Yes, it is.", "Yes, <a href='/w'>it</a> is. " + "word " * 100), "http://e.org/a")
+    assert full.startswith("Source: http://e.org/a\n\n# A heading\n") and "First **paragraph** text." in full and "- item one x\n- item two y" in full and "| 1 | 2 and more |" in full and "[it](/w)" in full
 
 
 def test_urls(spark):
     assert one(spark, url.visit_key(F.lit("HTTP://E.org/A/?q#f"))) == "http://e.org/a"
     assert one(spark, url.excluded(F.lit("http://e.org/a?q=1"))) and one(spark, url.is_document(F.lit("http://e.org/a.PDF?x")))
+    assert [one(spark, url.excluded(F.lit("http://e.org" + x))) for x in ("/register", "/api/x", "/printers", "/print/x", "/share", "/Login", "/a.css")] == [True, True, False, True, False, False, False]
     assert one(spark, url.same_site(F.lit("http://www.e.org/x"), F.lit("e.org")))
+    assert [one(spark, url.file_name(F.lit(x))) for x in ("http://e.org/a/b?q=1", "http://e.org", "http://e.org/a/_b--c/%20d/", "http://e.org/" + "x" * 200)] == ["a_b.json", "index.json", "a_b--c_20d.json", "x" * 100 + ".json"]
+    assert one(spark, text.clean_text(F.lit("a\n \n\t\n\nb  c Back To Top share this page"))) == "a\n\nb c  share this page"
 
 
 def test_prompt(spark):

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomspark.operators import communities, graph, merge, retrieval
 from loomspark.operators.components import components
@@ -91,7 +92,7 @@ def test_components_of_all_orders(spark):
     for a, b in pairs:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    got = {r.node: r.component for r in catalog.QUERIES["a12_all_components"](spark, d).collect()}
+    got = {r.node: r.component for r in catalog.QUERIES["a12_components"](spark, d).collect()}
     assert got == {x: find(x) for x in parent}
 
 
@@ -157,3 +158,21 @@ def test_terms(spark):
     terms = spark.createDataFrame([(0, "housing grant scheme"), (1, "HDB")], "term_pos int, term string")
     got = [(r.node_id, r.overlap, r.score) for r in retrieval.match_terms(terms, nodes).orderBy("term_pos", "rank").collect()]
     assert got == [("housing grant", 2, 1.0), ("grant", 1, 1.0), ("hdb", 1, 1.0)]
+
+
+def test_descriptions_with_outer_spaces_fold_as_they_come(spark):
+    rows = [("A", "T", d, f"c{i}", i) for i, d in enumerate(["x ", "x ", "y", "x", "y", None, " z", "x y"])]
+    got = merge.merge_entities(spark.createDataFrame(rows, ENTITY)).first().description
+    want = ""
+    for _, _, d, _, _ in rows:
+        if d and d not in want:
+            want = (want + " " + d).strip()
+    assert got == want
+
+
+def test_dedup_by_order(spark):
+    from loomspark.operators.dedup import first_of_each, without_repeats
+
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "a", None, None, "a", "b"])] + [(2, 0, None), (2, 1, "b")], "g int, o int, v string")
+    assert sorted((r.g, r.o) for r in without_repeats(rows, ["g"], ["o"], "v").collect()) == [(1, 0), (1, 2), (1, 4), (1, 5), (2, 0), (2, 1)]
+    assert sorted((r.g, r.o) for r in first_of_each(rows, ["g"], F.col("v"), "o").collect()) == [(1, 0), (1, 2), (1, 5), (2, 0), (2, 1)]

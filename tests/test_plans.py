@@ -13,12 +13,13 @@ TEXT = "Alpha Board runs the Beta Scheme. The Beta Scheme pays Gamma Grant. Gamm
 def test_corpus_sources(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_text("plain")
-    (tmp_path / "sub/B.JSON").write_text(json.dumps({"faq_items": [{"question": "q", "answer": "a"}]}))
+    (tmp_path / "x.TXT").write_text("endings are case-sensitive")
+    (tmp_path / "sub/B.json").write_text(json.dumps({"faq_items": [{"question": "q", "answer": "a"}]}))
     (tmp_path / "c.csv").write_text("x,y\n1,2\n")
     (tmp_path / "d.md").write_text("  \n")
     (tmp_path / "e.pdf").write_bytes(b"%PDF")
     docs = corpus.read_documents(spark, str(tmp_path)).orderBy("doc_ord").collect()
-    assert [r.source_path.rsplit("/", 1)[1] for r in docs] == ["a.txt", "c.csv", "B.JSON"]
+    assert [r.source_path.rsplit("/", 1)[1] for r in docs] == ["a.txt", "c.csv", "B.json"]
     assert docs[2].text == "Q: q\nA: a" and len(docs[0].doc_id) == 12
     assert corpus.json_text('{"text_chunks": ["a", "b"], "faqs": null}') == "a\n\nb" and corpus.json_text("[1, 2]") == "1\n\n2" and corpus.json_text("{") == ""
     maps = spark.createDataFrame([("i", "<sitemapindex><loc>m</loc></sitemapindex>"), ("m", "<urlset><loc> u1 </loc><loc>u2</loc></urlset>")], "url string, xml string")
@@ -47,8 +48,9 @@ def test_evaluation(spark):
     df = spark.createDataFrame([(["cpf_contribution", "employee"], ["CPF Contribution rate", "x"], "20% for the employer", ["20%", "employer the", "zz"])], "e array<string>, r array<string>, a string, k array<string>")
     x = df.select(evaluation.entity_overlap(F.col("e"), F.col("r")).alias("o"), evaluation.keyword_coverage(F.col("a"), F.col("k")).alias("c")).first()
     assert (x.o.matched, x.o.precision, x.o.recall) == (1, 0.5, 0.5) and abs(x.c - 2 / 3) < 1e-9
-    v = spark.range(1, 21).select(evaluation.p95(F.col("id")).alias("p"))
-    assert v.first().p == 20
+    for n in (0, 1, 19, 20, 21, 40, 100):
+        want = sorted(range(n))[min(int(0.95 * n), n - 1)] if n else None
+        assert spark.range(n).agg(evaluation.p95("id", n).alias("p")).first().p == want
 
 
 def test_caches(spark, tmp_path):
@@ -101,3 +103,72 @@ def test_graph_store(spark, tmp_path):
     store.save_graph(path(spark), str(tmp_path / "graph"))
     assert store.load_graph(spark, str(tmp_path / "graph")).edges.count() == 3
     assert store.clean(spark, str(tmp_path)) == ["graph"]
+
+
+def plain_split(text, size=1500, overlap=200, separators=("\n\n", "\n", " ", "")):
+    """The recursive splitter by its definition: pieces that keep the separator before them, merged greedily."""
+    at = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep, finer = separators[at], separators[at + 1 :]
+    if sep:
+        first, *rest = text.split(sep)
+        pieces = [p for p in [first, *(sep + r for r in rest)] if p]
+    else:
+        pieces = list(text)
+    out, good = [], []
+
+    def merge():
+        window, total = [], 0
+        for p in good:
+            if total + len(p) > size and window:
+                out.append("".join(window).strip())
+                while total > overlap or (total + len(p) > size and total > 0):
+                    total -= len(window.pop(0))
+            window.append(p)
+            total += len(p)
+        if window:
+            out.append("".join(window).strip())
+        good.clear()
+
+    for p in pieces:
+        if len(p) <= size:
+            good.append(p)
+        else:
+            merge()
+            out.extend(plain_split(p, size, overlap, finer) if finer else [p])
+    merge()
+    return [x for x in out if x]
+
+
+def test_splitter_on_documents(spark):
+    from loomspark.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = {f"{r.doc_id}_chunk_{i}": x for r in spark.read.parquet(f"{d}/documents.parquet").collect() for i, x in enumerate(plain_split(r.text or ""))}
+    assert {r.chunk_id: r.text for r in catalog.QUERIES["p13_chunks"](spark, d).collect()} == want
+
+
+def test_answers_are_timed_and_judged(spark):
+    from loomspark.plans import evaluate
+
+    c = index_build.build(spark.createDataFrame([("d1", TEXT)], "doc_id string, text string"))
+    q = spark.createDataFrame([("q1", "What does Beta-Scheme pay?", "c", "t", "easy", ["beta_scheme"], ["Gamma"]), ("q2", "x", "c", "t", "easy", [], [])], "id string, question string, category string, question_type string, difficulty string, expected_entities array<string>, answer_keywords array<string>")
+    told = evaluate.answer_all(c, q, "local")
+    got = {r.id: r for r in evaluate.judge(evaluate.evaluate(q, told)).collect()}
+    assert got["q1"].success and got["q1"].recall == 1.0 and got["q1"].coverage == 1.0 and got["q1"].latency_ms > 0 and got["q1"].overall is None
+    failed = evaluate.answer_all(c, q, "no such mode")
+    assert [r.success for r in evaluate.evaluate(q, failed).collect()] == [False, False]
+
+
+def test_stored_corpus(spark, tmp_path):
+    c = index_build.build(spark.createDataFrame([("d1", TEXT)], "doc_id string, text string"))
+    index_build.store(c, str(tmp_path / "corpus"))
+    again = index_build.load(spark, str(tmp_path / "corpus"))
+    assert search.local_search(again, "Beta-Scheme?").first().context == search.local_search(c, "Beta-Scheme?").first().context
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from loomspark import storage
+
+    spark2 = spark.newSession()
+    df = storage.written(spark2.range(3), "kept")
+    assert df.count() == 3 and storage._own_dir(spark).endswith(spark.sparkContext.applicationId)
