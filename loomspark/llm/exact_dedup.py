@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.sides import small
 from loomspark.storage import bounded_batches, written
 
 #: Characters of the text in the sort key: splitters stay small however long the texts are.
@@ -125,8 +126,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows equal in identifier and text one stays, even if other columns differ.
     """
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__ls_id"), F.col("text_sha256").alias("__ls_kept_sha"))
-    marked = docs.withColumn("__ls_sha", sha)
-    out = marked.join(kept, [marked[id_col].eqNullSafe(kept["__ls_id"]), marked["__ls_sha"] == kept["__ls_kept_sha"]], "left_semi")
-    return out.dropDuplicates([id_col, "__ls_sha"]).drop("__ls_sha")
+    groups = exact_groups(docs, id_col, text_col, keep)
+    slim = written(groups.select(F.col(id_col).alias("__ls_id"), F.unhex("text_sha256").alias("__ls_kept_sha"), "kept"), "exact-kept")
+    marked = docs.withColumn("__ls_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+    same = lambda side: [marked[id_col].eqNullSafe(side["__ls_id"]), marked["__ls_sha"] == side["__ls_kept_sha"]]
+    if slim.groupBy("__ls_id", "__ls_kept_sha").count().filter("count > 1").isEmpty():
+        # identifier and text tell all rows apart: the few that go are named, and documents need no shuffle while those are few
+        gone = small(slim.filter("not kept").drop("kept"), 48)
+        return marked.join(gone, same(gone), "left_anti").drop("__ls_sha")
+    kept = small(slim.filter("kept").drop("kept"), 48)
+    return marked.join(kept, same(kept), "left_semi").dropDuplicates([id_col, "__ls_sha"]).drop("__ls_sha")

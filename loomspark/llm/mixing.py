@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.sides import small
 from loomspark.llm.textbytes import WORD
 from loomspark.storage import written
 
@@ -140,6 +141,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     given = assign(docs, id_col, text_col, source_col, carry=text_hash, **options).filter("taken > 0")
     given = given.groupBy(F.col(id_col).alias("__ls_id"), F.col("carried").alias("__ls_text")).agg(F.min(F.struct("first_time", "order_hash", "taken", "copies")).alias("__ls_mix"))
     new = ("taken", "copies", "first_time")
+    given = small(written(given, "mix-given"), 80)
     marked = docs.drop(*new).withColumn("__ls_own", text_hash)
     out = marked.join(given, [marked[id_col].eqNullSafe(F.col("__ls_id")), F.col("__ls_own") == F.col("__ls_text")])
     out = out.repartitionByRange(F.col("__ls_mix.first_time"), F.col("__ls_mix.order_hash")).sortWithinPartitions("__ls_mix.first_time", "__ls_mix.order_hash")

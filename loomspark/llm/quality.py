@@ -152,15 +152,16 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarra
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels; both classes weigh the same. Adam steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.ascontiguousarray(np.hstack([x, np.ones((len(x), 1), np.float32)]))
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    row = (y / share + (1 - y) / (1 - share)) / (2 * len(y))
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    row = ((y / share + (1 - y) / (1 - share)) / (2 * len(y))).astype(np.float32)
+    y = y.astype(np.float32)
+    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))  # one precision, or every step converts the sample
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((p - y) * row) + decay * w
+        g = ((p - y) * row) @ x + np.float32(decay) * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= np.float32(rate) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
     return w
 
 
