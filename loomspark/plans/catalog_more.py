@@ -24,7 +24,7 @@ from loomspark.plans.catalog import ENT, FOLD, G, NORM, RES, answers, corpus, gr
 from loomspark.plans.index_build import extraction_counts, extractions, load, store
 from loomspark.plans.search import combined_search, global_search, local_search, most_connected, nearest_neighbours, relevant_nodes
 from loomspark.sources import store as stores
-from loomspark.sources.corpus import chunk_documents, json_document
+from loomspark.sources.corpus import chunk_documents, filter_questions, json_document, read_documents, read_questions
 from loomspark.storage import fresh_path, written
 from loomspark.streaming.sessions import crawl, crawl_statistics, incremental_extraction, rate_limited, running_history, scrape_counts, scrape_list
 
@@ -383,6 +383,27 @@ def s3_json_text(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", json_document(raw).alias("text"))
 
 
+@query("select n_name || chr(10) as text, 12 as id_length from nation union all select n_name || chr(10) || chr(10) || 'x', 12 from nation")
+def s1_corpus_scan(spark, d):  # noqa: ANN001, ANN201
+    """A folder of text, JSON and other files, some blank, read as documents: one file for each nation and kind."""
+    n, path = table(spark, d, "nation"), fresh_path(spark, "corpus-files")
+    n.select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(f"{path}/a")
+    n.select(F.array("n_name", F.lit("x")).alias("text_chunks"), "n_nationkey").write.partitionBy("n_nationkey").json(f"{path}/b")
+    n.select(F.lit("  ").alias("value")).coalesce(1).write.text(f"{path}/blank")
+    n.coalesce(1).write.orc(f"{path}/other")
+    return read_documents(spark, path).select("text", F.length("doc_id").alias("id_length"))
+
+
+@query("select n_nationkey::varchar as id, 'What of ' || n_name || '?' as question, 'c' || n_regionkey as category, 'specific' as question_type, 'easy' as difficulty, n_name || ',x' as expected_entities, n_name as answer_keywords from nation where n_regionkey = 1")
+def s16_question_set(spark, d):  # noqa: ANN001, ANN201
+    """An evaluation file of the nations, written, read and filtered."""
+    name, path = F.col("n_name"), fresh_path(spark, "questions")
+    one = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("What of "), name, F.lit("?")).alias("question"), F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("category"), F.lit("specific").alias("question_type"), F.lit("easy").alias("difficulty"), F.array(name, F.lit("x")).alias("expected_entities"), F.array(name).alias("answer_keywords"), F.lit("").alias("reference_note"))
+    table(spark, d, "nation").agg(F.to_json(F.struct(F.struct(F.lit("1.0").alias("version")).alias("metadata"), F.collect_list(one).alias("questions"))).alias("value")).write.text(path)
+    q = filter_questions(read_questions(spark, path), category="c1")
+    return q.select("id", "question", "category", "question_type", "difficulty", F.array_join("expected_entities", ",").alias("expected_entities"), F.array_join("answer_keywords", ",").alias("answer_keywords"))
+
+
 @query("""select p_partkey, '{"name": "' || p_name || '", "type": "' || p_type || '"' || case when p_partkey % 2 = 0 then ', "list": ["x", {"y": 1}]' else '' end || '}' as json from part""")
 def p4_repair(spark, d):  # noqa: ANN001, ANN201
     broken = F.concat(F.lit("{name: '"), "p_name", F.lit("', \t'type': '"), "p_type", F.when(F.col("p_partkey") % 2 == 0, "', \"list\": [\"x\", {y: 1,").otherwise("',"))
