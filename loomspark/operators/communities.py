@@ -17,6 +17,10 @@ from loomspark.storage import written
 MIN_SIZE = 3
 #: Temperature of the draws in Leiden's refinement, in units of weight.
 RANDOMNESS = 0.01
+#: Pairs of a component that one task clusters; one with more is coarsened by all tasks first.
+TASK_PAIRS = 200_000
+#: Parts of those that join one node, whose running sums are taken apart; most rounds of coarsening.
+PARTS, MAX_ROUNDS = 256, 100
 
 
 def _adjacency(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[list[dict[int, float]], np.ndarray]:
@@ -149,10 +153,11 @@ def leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution
         member, a, b = fine[member], fine[a], fine[b]
 
 
-def hierarchical_leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int, max_size: int) -> np.ndarray:
-    """leiden(), and again on the own edges of each cluster over max_size, until no cluster is or none of those divides."""
+def hierarchical_leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int, max_size: int, size: np.ndarray | None = None) -> np.ndarray:
+    """leiden(), and again on the own edges of each cluster over max_size, until no cluster is or none of those divides. size: of each node, else 1."""
     member = leiden(a, b, w, total, resolution, seed)
-    top, left = int(member.max(initial=-1)), np.flatnonzero(np.bincount(member) > max_size).tolist()
+    size = np.ones(len(member), int) if size is None else size
+    top, left = int(member.max(initial=-1)), np.flatnonzero(np.bincount(member, size) > max_size).tolist()
     while left:
         c = left.pop()
         own, inside = np.flatnonzero(member == c), (member[a] == c) & (member[b] == c)
@@ -161,31 +166,109 @@ def hierarchical_leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: floa
         sub = leiden(index[a[inside]], index[b[inside]], w[inside], max(float(w[inside].sum()), 1e-9), resolution, seed)
         if sub.max() > 0:
             member[own] = top + 1 + sub
-            left += (top + 1 + np.flatnonzero(np.bincount(sub) > max_size)).tolist()
+            left += (top + 1 + np.flatnonzero(np.bincount(sub, size[own]) > max_size)).tolist()
             top += 1 + int(sub.max())
     return member
 
 
-def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size: int | None = None) -> DataFrame:
+def _joins(pairs: DataFrame, scale: float, most: int, r: int) -> DataFrame | None:
+    """(u, p): nodes of pairs that join a neighbour in round r, and those they join, by the name of the set; None: no join gains.
+
+    A node picks the neighbour of the highest gain of modularity. It joins that if it is lighter than
+    its pick and the pick is not, so sets are stars and each round has joins. Of those that join one
+    node, each counts the mass of all before it as joined, so every join gains, however many there are.
+    """
+    one = lambda x, y: pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), "weight", F.col(f"{x}_n").alias("x_n"), F.col(f"{y}_n").alias("y_n"))
+    ends = one("a", "b").unionByName(one("b", "a"))  # a loop counts twice in the degree
+    degree = written(ends.groupBy("x").agg(F.sum("weight").alias("k")), "community-degrees")
+    near = ends.filter((F.col("x") != F.col("y")) & (F.col("x_n") + F.col("y_n") <= most))
+    near = near.join(degree.withColumnRenamed("k", "x_k"), "x").join(degree.withColumnsRenamed({"x": "y", "k": "y_k"}), "y")
+    near = near.withColumn("gain", F.col("weight") - scale * F.col("x_k") * F.col("y_k")).filter("gain > 0")
+    best = near.groupBy("x").agg(F.max_by(F.struct("y", "weight", "x_n", "y_n", "x_k", "y_k"), F.struct("gain", F.xxhash64("y", F.lit(r)))).alias("b")).select("x", "b.*")
+    best = written(best, "community-picks")
+    if best.isEmpty():
+        return None
+    lighter = F.struct("x_k", F.xxhash64("x", F.lit(r)), "x") < F.struct(F.col("y_k").alias("x_k"), F.xxhash64("y", F.lit(r)), F.col("y").alias("x"))
+    heads = best.filter(~lighter).select(F.col("x").alias("y"))
+    asks = best.filter(lighter).join(heads, "y", "left_semi").withColumn("part", F.pmod(F.xxhash64("x", F.lit(-1)), F.lit(PARTS)))
+    before = Window.partitionBy("y").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("y", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    starts = asks.groupBy("y", "part").agg(F.sum("x_k").alias("k"), F.sum("x_n").alias("n"))
+    starts = starts.select("y", "part", ahead("k", before).alias("k"), ahead("n", before).alias("n"))
+    asks = asks.withColumns({"in_k": ahead("x_k", inside), "in_n": ahead("x_n", inside)}).join(starts, ["y", "part"])
+    gains = F.col("weight") - scale * F.col("x_k") * (F.col("y_k") + F.col("k") + F.col("in_k")) > 0
+    joins = asks.filter(gains & (F.col("x_n") + F.col("y_n") + F.col("n") + F.col("in_n") <= most)).select("x", "y")
+    named = joins.groupBy("y").agg(F.least(F.min("x"), F.col("y")).alias("p"))
+    return written(joins.join(named, "y").select(F.col("x").alias("u"), "p").unionByName(named.select(F.col("y").alias("u"), "p")), "community-joins")
+
+
+def coarsened(keyed: DataFrame, scale: float, task_pairs: int, max_size: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """keyed(component, a, b, weight, a_n, b_n) with sets of nodes as nodes, until no component has more than task_pairs pairs or no join of two sets gains; and the joins(u, p) of each round.
+
+    Smaller components stay as they are. A set grows along edges, so it is connected; its name is its
+    smallest member, its inner weight a loop, a_n and b_n its sizes, at most max_size. Every join raises
+    the modularity.
+    """
+    maps: list[DataFrame] = []
+    most = max_size or 1 << 62
+    count = lambda x: x.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component")
+    for r in range(MAX_ROUNDS):
+        big = written(count(keyed), "community-large")
+        if big.isEmpty():
+            break
+        large = written(keyed.join(big, "component", "left_semi"), "community-open")
+        joins = _joins(large, scale, most, r)
+        if joins is None:
+            break
+        maps.append(joins)
+        to = lambda x, e: x.join(joins.withColumnsRenamed({"u": e, "p": f"{e}_p"}), e, "left").withColumn(e, F.coalesce(f"{e}_p", e)).drop(f"{e}_p")  # noqa: E731, B023
+        sizes = large.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("u"), F.col("b_n").alias("n")))).alias("x")).select("x.*").distinct()
+        sizes = written(sizes.join(joins, "u", "left").groupBy(F.coalesce("p", "u").alias("u")).agg(F.sum("n").alias("n")), "community-sizes")
+        moved = to(to(large.drop("a_n", "b_n"), "a"), "b")
+        moved = moved.groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+        moved = moved.join(sizes.withColumnsRenamed({"u": "a", "n": "a_n"}), "a").join(sizes.withColumnsRenamed({"u": "b", "n": "b_n"}), "b")
+        keyed = written(keyed.join(big, "component", "left_anti").unionByName(moved.select(*keyed.columns)), "community-coarse")
+    return keyed, maps
+
+
+def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size: int | None = None, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(node_id, community): pairs(a, b, weight) clustered within each connected component, against the whole graph's weight.
 
     community is the smallest member. With max_size by hierarchical_leiden(), else by louvain().
-    One component is one task: the algorithm is sequential in it.
+    One component is one task, since the algorithm is sequential in it; one of more than task_pairs pairs
+    is coarsened() first by all tasks. Where that ends above task_pairs, its sets are the communities.
     """
-    total = float(pairs.agg(F.sum("weight")).first()[0] or 0.0)
+    total = float(pairs.agg(F.sum("weight").cast("double")).first()[0] or 0.0)
+    kind = "a string, b string, weight double, component string, a_n bigint, b_n bigint"
     parts = components(pairs, "a", "b")
-    keyed = pairs.join(parts.withColumnsRenamed({"node": "a"}), "a")
+    keyed = pairs.select("a", "b", "weight").filter("b is not null").join(parts.withColumnsRenamed({"node": "a"}), "a")
+    keyed = written(keyed.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in kind.split(", ")[:4])], F.lit(1).cast("bigint").alias("a_n"), F.lit(1).cast("bigint").alias("b_n")), "community-keyed")
+    keyed, maps = coarsened(keyed, resolution / (2 * max(total, 1e-9)), task_pairs, max_size)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         if max_size:  # draws depend on the order of rows
             pdf = pdf.sort_values(["a", "b"])
         names, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
         a, b, w = at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(float)
-        fine = hierarchical_leiden(a, b, w, total, resolution, seed, max_size) if max_size else louvain(a, b, w, total, resolution, seed)
+        size = np.zeros(len(names), np.int64)
+        size[a], size[b] = pdf["a_n"], pdf["b_n"]
+        fine = hierarchical_leiden(a, b, w, total, resolution, seed, max_size, size) if max_size else louvain(a, b, w, total, resolution, seed)
         low = {c: min(names[fine == c].tolist()) for c in np.unique(fine)}
         return pd.DataFrame({"node_id": names, "community": [low[c] for c in fine]})
 
-    return keyed.groupBy("component").applyInPandas(cluster, "node_id string, community string")
+    found = "node_id string, community string"
+    if not maps:
+        return keyed.groupBy("component").applyInPandas(cluster, found)
+    over = keyed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component")
+    over = written(over, "community-over")
+    sets = keyed.join(over, "component", "left_anti").groupBy("component").applyInPandas(cluster, found)
+    own = keyed.join(over, "component", "left_semi").select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    sets = written(sets.unionByName(own.select("node_id", F.col("node_id").alias("community"))), "community-sets")
+    members = parts.select(F.col("node").cast("string").alias("node"), F.col("node").cast("string").alias("root"))
+    for m in maps:
+        members = members.join(m, F.col("root") == F.col("u"), "left").select("node", F.coalesce("p", "root").alias("root"))
+    return members.join(sets.withColumnRenamed("node_id", "root"), "root").select(F.col("node").alias("node_id"), "community")
 
 
 def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: int = MIN_SIZE, algorithm: str = "louvain") -> DataFrame:

@@ -77,7 +77,7 @@ def test_components(spark):
 
 
 def test_components_of_all_orders(spark):
-    from loomspark.plans import catalog
+    from loomspark.plans import catalog, catalog_more  # noqa: F401  the second registers its queries with the first
 
     d = "/root/testdata/sf0.01"
     pairs = [(r.o_custkey, r.o_orderkey + 1_000_000_000) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
@@ -119,6 +119,30 @@ def test_leiden_splits_until_small(spark):
     assert sizes.agg({"count": "max"}).first()[0] <= 3 and sizes.agg({"count": "sum"}).first()[0] == 1000
 
 
+def test_large_component_is_coarsened_by_all_tasks(spark):
+    edges = [(10 * c + i, 10 * c + j) for c in range(16) for i in range(8) for j in range(i)]
+    edges += [(10 * c, 10 * ((c + 1) % 16) + 1) for c in range(16)]  # a ring of cliques
+    edges += [(0, 1000 + i) for i in range(100)] + [(5000, 5001), (5001, 5002)]  # a hub, and a component of its own
+    name = "n{:04}".format
+    pairs = spark.createDataFrame([(*sorted((name(x), name(y))), 1.0) for x, y in edges], "a string, b string, weight double")
+    nodes = {name(x) for e in edges for x in e}
+
+    def checked(**options):
+        found = communities.detect(pairs, **options).collect()
+        part = {r.node_id: r.community for r in found}
+        assert len(found) == len(part) and set(part) == nodes
+        low = components(pairs.join(spark.createDataFrame(list(part.items()), "a string, ca string"), "a").join(spark.createDataFrame(list(part.items()), "b string, cb string"), "b").filter("ca = cb"), "a", "b")
+        low = {r.node: r.component for r in low.collect()}
+        assert all(low.get(x, x) == c for x, c in part.items())  # connected, and named by the smallest member
+        return part, communities.modularity(pairs, spark.createDataFrame(list(part.items()), "node_id string, community string")).first()[0]
+
+    _, whole = checked()
+    part, ours = checked(task_pairs=20)
+    assert ours > 0.97 * whole and part[name(5000)] == part[name(5002)] == name(5000)
+    part, _ = checked(task_pairs=0, max_size=12)  # no task clusters, the sets are the communities
+    assert max(list(part.values()).count(c) for c in set(part.values())) <= 12
+
+
 def test_leiden_communities_are_connected():
     def modularity(a, b, part):
         degree = np.bincount(a, minlength=len(part)) + np.bincount(b, minlength=len(part))
