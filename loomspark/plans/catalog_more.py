@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.answers import repaired_json, verdict
 from loomspark.functions.html import page
 from loomspark.functions.text import clean_text
-from loomspark.functions.url import authority, excluded, is_document, normalize_url, same_site, should_visit, visit_key
+from loomspark.functions.url import authority, excluded, is_document, is_page, normalize_url, same_site, should_visit, visit_key
 from loomspark.operators import communities, evaluation
 from loomspark.operators.components import components
 from loomspark.operators.dedup import first_of_each, question_key, without_repeats
@@ -22,7 +22,7 @@ from loomspark.plans import catalog as base
 from loomspark.plans import evaluate
 from loomspark.plans.catalog import ENT, FOLD, G, NORM, RES, answers, corpus, graph, messages, query, table
 from loomspark.plans.index_build import extraction_counts, extractions, load, store
-from loomspark.plans.search import combined_search, global_search, local_search, most_connected, nearest_neighbours, relevant_nodes
+from loomspark.plans.search import Corpus, combined_search, global_search, local_search, most_connected, nearest_neighbours, relevant_nodes
 from loomspark.sources import store as stores
 from loomspark.sources.corpus import chunk_documents, filter_questions, json_document, read_documents, read_questions
 from loomspark.storage import fresh_path, written
@@ -193,6 +193,35 @@ def l5_relevant_nodes(spark, d):  # noqa: ANN001, ANN201
     return relevant_nodes(seeds, near, deg, 25).select("node_id", "hit", "degree")
 
 
+@query(
+    f"""{G}, {DEALT}, {TITLES}, d as (select *, power(length(title) - length('{QUESTION}'), 2) + power(length(title) - length(replace(title, 'a', '')) - length('{QUESTION}') + length(replace('{QUESTION}', 'a', '')), 2) as distance from titles), hits as (select * from d order by distance, community limit 8)
+ select 'global' as mode, string_agg('=== ' || title || ' (Level ' || level || ', ' || n || ' entities) ===' || chr(10) || title || chr(10), chr(10) order by distance, community) as context, sum(n)::bigint as total_nodes from hits"""
+)
+def a25_global_context(spark, d):  # noqa: ANN001, ANN201
+    """Global search over titles, embedded by their length and how many letters a they have."""
+    g = graph(spark, d)
+    m = written(dealt(g), "dealt")
+    said = communities.titles(g, m).withColumn("summary", F.col("title"))
+    embed = lambda c: F.array(F.length(c).cast("double"), F.regexp_count(c, F.lit("a")).cast("double"))
+    index = written(said.withColumn("embedding", embed(F.col("summary"))), "titles")
+    return global_search(Corpus(g, table(spark, d, "conversations"), m, said, index), QUESTION, embed=embed).select("mode", "context", "total_nodes")
+
+
+@query(
+    f"""{G}, {ADJ.replace("select node_id from nodes where ord <= 2", "select node_id from deg join nodes using (node_id) order by degree desc, ord limit 12")}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near),
+ chosen as (select node_id, max(hit) as hit, any_value(degree) as degree from mixed join deg using (node_id) join nodes using (node_id) group by 1 order by hit desc, degree desc, any_value(ord) limit 25)
+ select 'local' as mode, (select count(*) from chosen) as total_nodes, (select count(*) from und where a in (select node_id from chosen) and b in (select node_id from chosen)) as total_edges, (select string_agg(node_id, '|' order by degree desc, ord) from seeds join deg using (node_id) join nodes using (node_id)) as matched, 0::bigint as source_chunks_loaded"""
+)
+def q3_fallbacks(spark, d):  # noqa: ANN001, ANN201
+    """Global search without an index, for a question that matches nothing: a local one from the nodes of the highest degree."""
+    g = graph(spark, d)
+    m = written(dealt(g), "dealt")
+    chunks = table(spark, d, "conversations").select(F.lit("none of the graph").alias("chunk_id"), "text")
+    told = communities.titles(g, m).withColumn("summary", F.lit(""))
+    x = global_search(Corpus(g, chunks, m, told, told.limit(0)), "Zzzqqq?")
+    return x.select("mode", "total_nodes", "total_edges", F.array_join("matched_nodes", "|").alias("matched"), "source_chunks_loaded")
+
+
 @query()
 def q14_index_build(spark, d):  # noqa: ANN001, ANN201
     return corpus(spark, d).graph.nodes.drop("ord")
@@ -291,6 +320,13 @@ def f7_should_visit(spark, d):  # noqa: ANN001, ANN201
     return varied(spark, d).select("page_id", excluded(u).alias("skipped"), is_document(u).alias("document"), should_visit(u, F.lit("example.org")).alias("visited"))
 
 
+@query("select p_partkey from part where p_size % 4 in (0, 3)")
+def f8_html_responses(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("p_size") % 4
+    kind = F.when(k == 0, "TEXT/HTML; charset=utf-8").when(k == 1, "application/pdf").when(k == 3, "text/html")
+    return table(spark, d, "part").filter(is_page(kind)).select("p_partkey")
+
+
 @query("select page_id, regexp_matches(regexp_replace(url || ext, '[?#].*$', ''), '(?i)\\.(pdf|docx?|xlsx?|pptx?)$') as document, a <> '' and (contains(a, 'example.org') or contains('example.org', a)) as inside from (select *, ['.PDF?x=1', '.docx', '.xlsm', '/'][page_id % 4 + 1] as ext, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as a from pages)")
 def p22_document_links(spark, d):  # noqa: ANN001, ANN201
     ext = F.element_at(F.array(F.lit(".PDF?x=1"), F.lit(".docx"), F.lit(".xlsm"), F.lit("/")), (F.col("page_id") % 4 + 1).cast("int"))
@@ -484,6 +520,15 @@ def a19_extraction_counts(spark, d):  # noqa: ANN001, ANN201
     return extraction_counts(extractions(chunks, cache=cache)).select("chunks", "cached", "generated", "failed")
 
 
+@query("with c as (select text, turn % 3 = 0 as failed from conversations where text is not null) select count(*) as chunks, count(*) filter (text in (select text from c where not failed)) as cached, count(*) filter (text not in (select text from c where not failed)) as generated from c")
+def t6_retry(spark, d):  # noqa: ANN001, ANN201
+    """Chunks whose extraction failed go from the cache, and the next run extracts them again."""
+    chunks = table(spark, d, "conversations").filter("text is not null").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text", "turn")
+    cache = written(extractions(chunks), "extraction-cache")
+    left = written(stores.cache_delete(cache, chunks.filter("turn % 3 = 0")), "extraction-cache")
+    return extraction_counts(extractions(chunks, cache=left)).select("chunks", "cached", "generated")
+
+
 @query(f"with {RES} select dimension, value, count(*) as n, round(avg(recall) filter (success), 9) as recall_mean from (select 'category' as dimension, category as value, * from res union all select 'difficulty', difficulty, * from res union all select 'question_type', question_type, * from res) group by 1, 2 having count(*) filter (success) > 0")
 def k9_report(spark, d):  # noqa: ANN001, ANN201
     r, path = base.results(spark, d), fresh_path(spark, "report")
