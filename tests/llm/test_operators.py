@@ -227,6 +227,13 @@ def test_private(spark, small):
     assert next(r.spans for r in out if r.doc_id == 9002) == "crf_id:8:19"
 
 
+def test_private_query_counts_its_spans(spark):
+    rows = queries.op10_pii(spark, "/root/testdata/sf0.001").collect()
+    assert any(r.n_spans for r in rows)
+    for r in rows:
+        assert r.n_spans == (len(r.spans.split(",")) if r.spans else 0) >= r.n_email + r.n_ip + r.n_card + r.n_phone
+
+
 def test_field_learns_its_table():
     import pyarrow as pa
 
