@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontamination
+from loomspark.llm.erasure import cascade, digests, erased_tables
 from loomspark.llm.exact_dedup import exact_groups
+from loomspark.llm.hard_negatives import mine, prepared
 from loomspark.llm.language_id import identify, learn
 from loomspark.llm.mixing import assign, in_training_order
 from loomspark.llm.ngram_join import classes_of_links
@@ -69,6 +71,15 @@ select doc_id, size, source_size, target, whole * size + part as taken, case whe
    when 1 then share
    else case when share < 0.3125 then sqrt(1 + 4 * share) - 1 else 0.5 + (sqrt(0.5625 + 5 * (share - 0.3125)) - 0.75) / 2.5 end end, 9) end as first_time from g"""
 
+ORACLES["op13_hard_negatives"] = """
+with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+ s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+ p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ n as (select p.*, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id)::int as rank
+       from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
 
 def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -124,7 +135,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, clicks, sales, lines = (_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines"))
+    files = erased_tables(spark, cascade(clients, clicks, sales, lines), size_of=lambda n: 1 + n // 150)
+    amounts = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"}
+    return digests(files, amounts).select("file_no", "n_rows", "n_erased", "cents", "rewritten", "table_name", "ids_sha256", "columns", "path")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prepared(_table(spark, sf_dir, "embeddings"), F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(vectors, vectors.filter("id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii)
+    for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii, op12_erasure, op13_hard_negatives)
 }
