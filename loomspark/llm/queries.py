@@ -14,6 +14,7 @@ from loomspark.llm.hard_negatives import mine, prepared
 from loomspark.llm.language_id import identify, learn
 from loomspark.llm.mixing import assign, in_training_order
 from loomspark.llm.ngram_join import classes_of_links
+from loomspark.llm.page_text import main_text
 from loomspark.llm.pii import KINDS, find_pii
 from loomspark.llm.quality import fit, score
 from loomspark.llm.secret_scan import find_secrets
@@ -135,6 +136,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
+
+
 def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     clients, clicks, sales, lines = (_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines"))
     files = erased_tables(spark, cascade(clients, clicks, sales, lines), size_of=lambda n: 1 + n // 150)
@@ -149,5 +154,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii, op12_erasure, op13_hard_negatives)
+    for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_url_filter, op5_ngram_join, op6_exact_dedup, op7_quality_classifier, op8_source_mixing, op9_decontamination, op10_pii, op11_page_text, op12_erasure, op13_hard_negatives)
 }
