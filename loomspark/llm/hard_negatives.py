@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomspark.storage import written
 
 #: Rows of a block, anchors of a block, rows of a leaf.
-BLOCK, ANCHORS, LEAF = 16_384, 2048, 48
+BLOCK, ANCHORS, LEAF = 16_384, 2048, 64
 #: Integers that floating point adds exactly.
 EXACT = 2.0**53
 LEAST = np.iinfo(np.int64).min
@@ -88,36 +88,53 @@ def search(tree: Tree, k: int, same: bool, ids: np.ndarray, labels: np.ndarray,
     q, rows = (x.astype(np.float64) if exact else x for x in (vectors, tree.rows))
     floats = vectors.astype(np.float64)
     norm = np.sqrt((floats**2).sum(1))
+    def fits(node: int, a: np.ndarray) -> np.ndarray:
+        least, most = tree.nodes[node][4:]
+        return (labels[a] >= least) & (labels[a] <= most) if same else (labels[a] != least) | (labels[a] != most)
+
+    def score(node: int, a: np.ndarray) -> None:
+        at, end = tree.nodes[node][:2]
+        s = (q[a] @ rows[at:end].T).astype(np.int64)
+        other = (tree.labels[at:end][None, :] == labels[a][:, None]) != same
+        s[other | (s < np.maximum(lo[a], best[a, -1])[:, None]) | (s > hi[a][:, None]) | (tree.ids[at:end][None, :] == ids[a][:, None])] = LEAST
+        new = (s > LEAST).any(1)
+        a, s = a[new], s[new]
+        if len(a):
+            s, w = np.concatenate([best[a], s], 1), np.concatenate([who[a], np.broadcast_to(tree.ids[at:end], (len(a), end - at))], 1)
+            first = np.lexsort((w, -(s + 1)))[:, :k]
+            best[a], who[a] = np.take_along_axis(s, first, 1), np.take_along_axis(w, first, 1)
+
+    # down to one leaf each, towards the larger center, for a first k-th score
+    seen, todo = np.full(n, -1), [(0, np.arange(n))]
+    while todo:
+        node, a = todo.pop()
+        left, right = tree.children[node]
+        if left:
+            nearer = floats[a] @ (tree.nodes[left][2] - tree.nodes[right][2]) > 0
+            nearer = np.where(fits(left, a) & fits(right, a), nearer, fits(left, a))
+            todo += [(child, group) for child, group in ((left, a[nearer]), (right, a[~nearer])) if len(group)]
+        else:
+            scored += len(a) * (tree.nodes[node][1] - tree.nodes[node][0])
+            seen[a] = node
+            score(node, a)
     todo = [(0, np.arange(n))]
     while todo:
         node, a = todo.pop()
-        at, end, center, radius, least, most = tree.nodes[node]
-        a = a[(labels[a] >= least) & (labels[a] <= most)] if same else a[(labels[a] != least) | (labels[a] != most)]
+        at, end, center, radius = tree.nodes[node][:4]
+        a = a[fits(node, a)]
         middle, reach = floats[a] @ center, radius * norm[a]
         slack = 1e-9 * (np.abs(middle) + reach + norm[a] * np.sqrt((center**2).sum())) + 1e-3
-        upper, lower = middle + reach + slack, middle - reach - slack
-        keep = (upper >= lo[a]) & (lower <= hi[a]) & (upper >= best[a, -1])
-        a, middle = a[keep], middle[keep]
+        a = a[(middle + reach + slack >= np.maximum(lo[a], best[a, -1])) & (middle - reach - slack <= hi[a])]
         if not len(a):
             continue
         left, right = tree.children[node]
         if left:
-            # the nearer half of the anchors' choice first: what comes last on the stack is seen first
-            nearer = floats[a] @ (tree.nodes[left][2] - tree.nodes[right][2]) > 0
-            for child, group in ((right, a[nearer]), (left, a[~nearer]), (left, a[nearer]), (right, a[~nearer])):
-                if len(group):
-                    todo.append((child, group))
-            continue
-        scored += len(a) * (end - at)
-        s = (q[a] @ rows[at:end].T).astype(np.int64)
-        other = (tree.labels[at:end][None, :] == labels[a][:, None]) != same
-        s[other | (s < lo[a][:, None]) | (s > hi[a][:, None]) | (s < best[a, -1][:, None]) | (tree.ids[at:end][None, :] == ids[a][:, None])] = LEAST
-        new = (s > LEAST).any(1)
-        a, s = a[new], s[new]
-        if len(a):
-            s, w = np.concatenate([best[a], s], 1), np.concatenate([who[a], np.broadcast_to(tree.ids[at:end], (len(a), end - at))], 1)
-            first = np.lexsort((w, -(s + 1)))[:, :k]
-            best[a], who[a] = np.take_along_axis(s, first, 1), np.take_along_axis(w, first, 1)
+            # the child that is nearer to most anchors comes last on the stack, so first
+            nearer = np.count_nonzero(floats[a] @ (tree.nodes[left][2] - tree.nodes[right][2]) > 0) * 2 > len(a)
+            todo += [(right, a), (left, a)] if nearer else [(left, a), (right, a)]
+        elif len(a := a[seen[a] != node]):
+            scored += len(a) * (end - at)
+            score(node, a)
     return best, who, scored
 
 
