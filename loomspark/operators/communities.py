@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import entity_line, relation_line
+from loomspark.functions.text import entity_line, relation_line, strip_think
 from loomspark.operators.components import components
 from loomspark.operators.graph import Graph, degrees, undirected
 from loomspark.storage import written
@@ -330,16 +330,29 @@ def contexts(graph: Graph, members: DataFrame, max_entities: int = 30, max_edges
     return titles(graph, members).drop("n").join(ents, key).join(rels, key, "left").select(*key, "title", "n", F.concat(head, "entities", F.lit("\n\nRELATIONSHIPS:\n"), F.coalesce("relations", F.lit(""))).alias("context"))
 
 
-def summaries(context: DataFrame, summarise, cache: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
-    """context with column summary: from the cache by hash of the context, else by the provider (a Column -> Column)."""
+def summaries(context: DataFrame, summarise, cache: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """context(level, community, context) with summary and context_hash: from the cache by hash of the context, else by the provider (a Column -> Column).
+
+    Where the provider gives null and members(level, community, node_id) is given, the summary names the community's first
+    five members; ``failed`` marks these, which no cache should keep.
+    """
     hashed = context.withColumn("context_hash", F.sha2("context", 256))
     if cache is None:
         hits, misses = None, hashed
     else:  # the provider runs over misses only, whatever it costs
         known = cache.groupBy("context_hash").agg(F.min("summary").alias("summary"))
         hits, misses = hashed.join(known, "context_hash"), hashed.join(known, "context_hash", "left_anti")
-    said = misses.withColumn("summary", F.regexp_replace(summarise(F.col("context")), r"^SUMMARY:\s*", ""))
-    return said if hits is None else said.unionByName(hits.select(said.columns))
+    said = misses.withColumn("summary", F.regexp_replace(strip_think(summarise(F.col("context"))), r"^SUMMARY:\s*", ""))
+    said = said if hits is None else said.unionByName(hits.select(said.columns))
+    if members is None:
+        return said
+    key = ["level", "community"]
+    said = written(said, "summaries-said")  # the provider is asked once
+    lost = said.filter("summary is null").select(*key)
+    r = F.row_number().over(Window.partitionBy(*key).orderBy("node_id"))
+    few = members.join(lost, key, "left_semi").withColumn("r", r).filter("r <= 5").groupBy(*key).agg(F.array_sort(F.collect_list("node_id")).alias("few"))
+    named = F.concat(F.lit("Community containing: "), F.array_join(F.coalesce("few", F.array().cast("array<string>")), ", "))
+    return said.withColumn("failed", F.col("summary").isNull()).join(few, key, "left").withColumn("summary", F.coalesce("summary", named)).drop("few")
 
 
 def intra_edges(edges: DataFrame, members: DataFrame) -> DataFrame:

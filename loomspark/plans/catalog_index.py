@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.operators.delta import GraphState, changed_state, first_state
+from loomspark.operators.graph import Graph
 from loomspark.operators.retrieval import nearest
 from loomspark.operators.vector_index import VectorIndex, build_vector_index, open_vector_index, recall, search_index
 from loomspark.plans import catalog_more  # noqa: F401  registers j12_nearest
-from loomspark.plans.catalog import ORACLES, query, table
-from loomspark.storage import fresh_path
+from loomspark.plans.catalog import FOLD, G, ORACLES, entities, graph, query, relations, table
+from loomspark.plans.index_build import build_all, update
+from loomspark.plans.search import Corpus, combined_searches, local_searches, raw_global_searches
+from loomspark.storage import fresh_path, written
 
 
 # --- vector index ------------------------------------------------------------------------------
@@ -41,3 +47,154 @@ def k7_recall(spark, d):  # noqa: ANN001, ANN201
     index, v, q = _indexed(spark, d)
     truth = nearest(v, q, 8).withColumnRenamed("vec_id", "id")
     return recall(search_index(index, q, 8), truth).select("queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(index.probe < len(index.parts)).alias("some_lists_only"))
+
+
+# --- searches for a table of questions ---------------------------------------------------------
+SEARCHED = f"""{G}, qs as (select s_suppkey as question_id, s_suppkey % 3 as kind, s_name, replace(p_brand, '#', '_') as brand from supplier join part on p_partkey = s_suppkey),
+ terms as (select question_id, 0 as term_pos, lower(s_name) as node_id from qs where kind < 2 union all select question_id, 1, translate(lower(brand), '_-', '  ') from qs where kind = 1),
+ hit as (select question_id, node_id, min(term_pos) as o from terms join nodes using (node_id) group by 1, 2),
+ most as (select node_id, row_number() over (order by degree desc, ord) as match_rank from deg join nodes using (node_id) qualify match_rank <= 12),
+ matched as (select question_id, node_id, row_number() over (partition by question_id order by o) as match_rank from hit union all select question_id, node_id, match_rank from qs, most where question_id not in (select question_id from hit)),
+ adj as (select src as x, dst as y from edges union select dst, src from edges), seeds as (select distinct node_id from matched),
+ h1 as (select distinct s.node_id as seed, y as node_id from seeds s join adj on x = s.node_id where y <> s.node_id), h2 as (select distinct seed, y as node_id from h1 join adj on x = h1.node_id where y <> seed),
+ reach as (select seed, node_id, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) group by 1, 2),
+ near as (select seed, node_id from reach join deg using (node_id) join nodes using (node_id) qualify row_number() over (partition by seed order by hop, degree desc, ord) <= 25),
+ mixed as (select question_id, node_id, max(hit) as hit from (select question_id, node_id, 1 as hit from matched union all select question_id, n.node_id, 0 from matched m join near n on n.seed = m.node_id) group by 1, 2),
+ chosen as (select question_id, node_id, hit from mixed join deg using (node_id) join nodes using (node_id) qualify row_number() over (partition by question_id order by hit desc, degree desc, ord) <= 25),
+ sub as (select p.question_id, e.* from edges e join chosen p on e.src = p.node_id join chosen q on e.dst = q.node_id and p.question_id = q.question_id),
+ sund as (select distinct question_id, least(src, dst) as a, greatest(src, dst) as b from sub), sdeg as (select question_id, node_id, count(*) as d from (select question_id, unnest([a, b]) as node_id from sund) group by 1, 2),
+ ents as (select question_id, count(*) as n, string_agg('- ' || name || ' (' || type || '): ' || description[:200], chr(10) order by coalesce(d, 0) desc, ord) as e from chosen join nodes using (node_id) left join sdeg using (question_id, node_id) group by 1),
+ rels as (select question_id, string_agg('- (' || s || ') --[' || relation_type || ']--> (' || t || ')' || case when description <> '' then ': ' || description else '' end, chr(10) order by weight desc, ord) as r
+   from (select sub.*, a.name as s, b.name as t from sub join nodes a on src = a.node_id join nodes b on dst = b.node_id qualify row_number() over (partition by question_id order by weight desc, sub.ord) <= 50) group by 1),
+ ranked as (select question_id, source_chunk, struct_pack(g := 0, r := match_rank, o := ord) as o from matched join nodes using (node_id) union all select question_id, source_chunk, struct_pack(g := 1, r := 0, o := ord) from chosen c join nodes using (node_id) where not exists (select 1 from matched m where m.question_id = c.question_id and m.node_id = c.node_id)),
+ kept as (select question_id, source_chunk, min(o) as o from ranked where source_chunk <> '' group by 1, 2 qualify row_number() over (partition by question_id order by min(o)) <= 5),
+ srcs as (select question_id, count(*) as k, string_agg(chr(10) || '[Chunk ' || source_chunk || ']' || chr(10) || p_name || chr(10), '' order by o) as x from kept join part on source_chunk = 'p_chunk_' || p_partkey group by 1),
+ names as (select question_id, string_agg(node_id, '|' order by match_rank) as matched from matched group by 1), pairs as (select question_id, count(*) as total_edges from sund group by 1),
+ snips as (select question_id, string_agg(chr(10) || '[Community: group ' || ord % 7 || ']' || chr(10) || 'about ' || ord % 7 || '...' || chr(10), '' order by match_rank) as p from matched join nodes using (node_id) where match_rank <= 3 and ord % 7 > 0 group by 1),
+ local as (select question_id, coalesce('=== SOURCE DOCUMENTS ===' || chr(10) || x || chr(10), '') || '=== ENTITIES ===' || chr(10) || e || chr(10) || chr(10) || '=== RELATIONSHIPS ===' || chr(10) || coalesce(r, '') || coalesce(chr(10) || chr(10) || '=== COMMUNITY CONTEXT ===' || p, '') as context,
+   matched, n as total_nodes, coalesce(total_edges, 0) as total_edges, coalesce(k, 0) as source_chunks_loaded from ents join names using (question_id) left join rels using (question_id) left join srcs using (question_id) left join pairs using (question_id) left join snips using (question_id))"""
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each supplier: its name, its name and a brand, or nothing that any node is called."""
+    s = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
+    kind = F.col("s_suppkey") % 3
+    return s.select(F.col("s_suppkey").alias("question_id"), F.when(kind == 0, F.col("s_name")).when(kind == 1, F.concat("s_name", F.lit("\n"), F.replace("p_brand", F.lit("#"), F.lit("_")))).otherwise("Zz qq").alias("question"))
+
+
+def _corpus(spark: SparkSession, d: str, full: bool) -> Corpus:
+    """The graph of the catalog with seven groups by node order, one of them without a summary; full: with an index of the others."""
+    g = graph(spark, d)
+    g = Graph(*(written(x, n) for x, n in ((g.nodes, "nodes"), (g.edges, "edges"), (g.entity_map, "entity-map"))))
+    key = F.col("ord") % 7
+    m = g.nodes.select(F.lit(0).alias("level"), F.concat(F.lit("k"), key.cast("string")).alias("community"), "node_id")
+    i = F.col("id").cast("string")
+    told = spark.range(7).select(F.lit(0).alias("level"), F.concat(F.lit("k"), i).alias("community"), F.concat(F.lit("group "), i).alias("title"), F.when(F.col("id") == 0, "").otherwise(F.concat(F.lit("about "), i)).alias("summary"), (F.col("id") * 3).alias("n"))
+    index = told.filter("summary <> ''").withColumn("embedding", F.array(F.substring("summary", 7, 1).cast("double")))
+    chunks = table(spark, d, "part").select(F.concat(F.lit("p_chunk_"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.col("p_name").alias("text"))
+    return Corpus(g, chunks, m, told, index if full else index.limit(0))
+
+
+def _said(found: DataFrame) -> DataFrame:
+    return found.select("question_id", "mode", "context", F.array_join("matched_nodes", "|").alias("matched"), "total_nodes", "total_edges", "source_chunks_loaded", F.array_join("communities_searched", "|").alias("searched"), "total_communities")
+
+
+@query(f"{SEARCHED} select question_id, 'local' as mode, context, matched, total_nodes, total_edges, source_chunks_loaded, '' as searched, 0 as total_communities from local")
+def q1_question_table(spark, d):  # noqa: ANN001, ANN201
+    """Local searches for all suppliers in one plan."""
+    return _said(local_searches(_corpus(spark, d, True), _questions(spark, d), terms=lambda q: q))
+
+
+@query(f"{SEARCHED} select question_id, 'combined' as mode, context, matched, total_nodes, total_edges, source_chunks_loaded, '' as searched, 0 as total_communities from local")
+def q4_without_index(spark, d):  # noqa: ANN001, ANN201
+    """Combined searches over an empty index: the raw global part is empty and has no heading."""
+    return _said(combined_searches(_corpus(spark, d, False), _questions(spark, d), terms=lambda q: q))
+
+
+NEAR = """hits as (select s_suppkey as question_id, i, row_number() over (partition by s_suppkey order by abs(i - s_suppkey % 9), 'k' || i) as r from supplier, range(1, 7) t(i) qualify r <= 8),
+ wide as (select question_id, string_agg('=== group ' || i || ' (Level 0, ' || i * 3 || ' entities) ===' || chr(10) || 'about ' || i || chr(10), chr(10) order by r) as more, string_agg('k' || i, '|' order by r) as searched, count(*) as total_communities, sum(i * 3)::bigint as entities from hits group by 1)"""
+
+
+def _near(q: Column) -> Column:
+    """An embedding that SQL can state: the number of a supplier's name, modulo 9."""
+    return F.array((F.regexp_extract(q, r"#(\d+)", 1).cast("int") % 9).cast("double"))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("question_id"), F.col("s_name").alias("question"))
+
+
+@query(f"with {NEAR} select question_id, 'global' as mode, more as context, '' as matched, entities as total_nodes, 0 as total_edges, 0 as source_chunks_loaded, searched, total_communities from wide")
+def q2_question_table(spark, d):  # noqa: ANN001, ANN201
+    """Global searches for all suppliers in one plan."""
+    return _said(raw_global_searches(_corpus(spark, d, True), _named(spark, d), embed=_near))
+
+
+@query(f"""{SEARCHED.replace("s_suppkey % 3 as kind", "0 as kind").replace("join part on p_partkey = s_suppkey", "join part on p_partkey = 1")}, {NEAR}
+ select question_id, 'combined' as mode, context || chr(10) || chr(10) || '=== GLOBAL COMMUNITY SUMMARIES ===' || chr(10) || more as context, matched, total_nodes, total_edges, source_chunks_loaded, searched, total_communities from local join wide using (question_id)""")
+def q4_question_table(spark, d):  # noqa: ANN001, ANN201
+    return _said(combined_searches(_corpus(spark, d, True), _named(spark, d), embed=_near, terms=lambda q: q))
+
+
+# --- incremental builds ------------------------------------------------------------------------
+MERGED = f"merged as ({ORACLES['a1_merge_entities']}), told as ({ORACLES['a2_merge_relationships']}), now as (select node_id, arg_max(name, ord) as name, arg_max(type, ord) as type, arg_max(description, ord) as description, arg_max(source_chunk, ord) as source_chunk, min(ord) as ord from merged group by 1)"
+
+
+def _changed(spark: SparkSession, d: str) -> GraphState:
+    """The catalog's graph, built from rows of which every 50th chunk was another one, then brought up to date.
+
+    The earlier version has nodes that go, lacks nodes that come, and relates other ends.
+    """
+    ents, rels = written(entities(spark, d), "entities"), written(relations(spark, d), "relations")
+    number = lambda x: F.regexp_extract("source_chunk", r"(\d+)$", 1).cast("long") % 50
+    other = lambda x, c: x.withColumn(c, F.when(number(x) == 0, F.concat(F.lit("Old "), c)).otherwise(F.col(c)))
+    late = F.col("source_chunk").isin("s_chunk_1", "s_chunk_2")  # suppliers that the earlier version does not know
+    state = first_state(other(ents, "name").filter(~late), other(rels, "source"))
+    gone = ents.select("source_chunk").unionByName(rels.select("source_chunk")).filter((number(None) == 0) | late)
+    return changed_state(state, gone, ents.filter((number(None) == 0) | late), rels.filter(number(None) == 0))[0]
+
+
+@query(f"with {MERGED} select * from now")
+def t5_delta_nodes(spark, d):  # noqa: ANN001, ANN201
+    return _changed(spark, d).nodes
+
+
+@query(f"with {MERGED} select src, dst, arg_min(relation_type, ord) as relation_type, arg_min(description, ord) as description, arg_min(source_chunk, ord) as source_chunk, sum(weight) as weight, min(ord) as ord from told where src in (select node_id from now) and dst in (select node_id from now) group by 1, 2")
+def t5_delta_edges(spark, d):  # noqa: ANN001, ANN201
+    return _changed(spark, d).edges
+
+
+@query(f"with {MERGED} select node_id, arg_min(name, ord) as name, arg_min(type, ord) as type, arg_min(source_chunk, ord) as source_chunk, {FOLD} as description, min(ord) as ord from merged group by 1")
+def t5_delta_entity_map(spark, d):  # noqa: ANN001, ANN201
+    return _changed(spark, d).entity_map
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+@query("select 0 as generated, 0 as failed, 0 as summaries_made, true as chunks_cached")
+def q14_second_build(spark, d):  # noqa: ANN001, ANN201
+    """What a second build of the same documents asks of providers: nothing."""
+    caches = fresh_path(spark, "caches")
+    build_all(_documents(spark, d), caches=caches)
+    again = build_all(_documents(spark, d), caches=caches).counts
+    return again.select("generated", "failed", (F.col("summaries") - F.col("summaries_cached")).alias("summaries_made"), ((F.col("cached") == F.col("chunks")) & (F.col("chunks") > 0)).alias("chunks_cached"))
+
+
+@query("select unnest(['nodes', 'edges', 'entity_map', 'members', 'summaries', 'index', 'chunks']) as part, 0 as differ, true as filled")
+def t5_updated_index(spark, d):  # noqa: ANN001, ANN201
+    """An index of documents of which every 50th had another text or was missing, updated, against a full build: rows that differ, by table."""
+    docs, caches = _documents(spark, d), fresh_path(spark, "caches")
+    key = F.col("doc_id").cast("long")
+    before = docs.filter(key % 100 != 50).withColumn("text", F.when(key % 100 == 0, F.concat(F.lit("Alpha Board runs Beta Scheme. "), "text")).otherwise(F.col("text")))
+    extra = before.filter(key % 100 == 1).withColumn("doc_id", F.concat(F.lit("9"), "doc_id"))
+    new = update(build_all(before.unionByName(extra), caches=caches), docs, caches)
+    full = build_all(docs)
+    parts = {n: (getattr(new.state, n), getattr(full.state, n)) for n in ("nodes", "edges", "entity_map")} | {n: (getattr(new.corpus, n), getattr(full.corpus, n)) for n in ("members", "summaries", "index", "chunks")}
+    out = []
+    for name, (a, b) in parts.items():
+        b = b.select(*a.columns)
+        differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differ"))
+        out.append(differ.join(b.agg((F.count("*") > 0).alias("filled")), how="cross").select(F.lit(name).alias("part"), "differ", "filled"))  # one row each
+    return reduce(DataFrame.unionByName, out)

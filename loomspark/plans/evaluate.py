@@ -11,30 +11,28 @@ from loomspark.functions.answers import DIMENSIONS, verdict
 from loomspark.functions.text import JUDGE_PROMPT, clamp_score, overall_score, prompt
 from loomspark.operators.evaluation import entity_overlap, found_keywords, keyword_coverage
 from loomspark.plans import providers
-from loomspark.plans.search import Corpus, search
-
-ANSWER = "id string, answer string, resolved_mode string, matched_entities array<string>, matched_nodes array<string>, source_chunks_loaded long, latency_ms double, error string"
-
+from loomspark.plans.search import Corpus, searches
+from loomspark.storage import written
 
 def answer_all(corpus: Corpus, questions: DataFrame, mode: str = "combined", answer=providers.answer) -> DataFrame:  # noqa: ANN001
-    """questions(id, question) -> ANSWER: one search for each question, timed; a question that fails has an error.
+    """questions(id, question) -> (id, answer, resolved_mode, matched_entities, matched_nodes, source_chunks_loaded, latency_ms, error): all questions searched and answered in one batch of jobs, whose number does not grow with them.
 
-    The driver holds one row for each question of an evaluation set, never the corpus.
+    latency_ms is the batch's time shared out over its questions. If the search fails, all have its error; a
+    question that the provider does not answer (null) has one of its own.
     """
-    spark, rows = questions.sparkSession, []
-    for q in questions.select("id", "question").orderBy("id").collect():
-        began = time.perf_counter()
-        try:
-            found = search(corpus, q.question, mode)
-            r = found.select("mode", "matched_entities", "matched_nodes", "source_chunks_loaded", answer(F.col("context"), F.lit(q.question)).alias("answer")).first()
-            rows.append((q.id, r.answer, r.mode, r.matched_entities, r.matched_nodes, r.source_chunks_loaded, (time.perf_counter() - began) * 1000, None))
-        except Exception as e:  # noqa: BLE001  one failing question is a result, not the end of the evaluation
-            rows.append((q.id, None, "error", [], [], 0, (time.perf_counter() - began) * 1000, str(e)[:500]))
-    return spark.createDataFrame(rows, ANSWER)
+    asked, began = questions.select(F.col("id").alias("question_id"), "question"), time.perf_counter()
+    failed = lambda why: asked.select(F.col("question_id").alias("id"), F.lit(None).cast("string").alias("answer"), F.lit("error").alias("resolved_mode"), *[F.array().cast("array<string>").alias(n) for n in ("matched_entities", "matched_nodes")], F.lit(0).cast("long").alias("source_chunks_loaded"), F.lit(0.0).alias("latency_ms"), F.lit(why).alias("error"))
+    try:
+        found = searches(corpus, asked, mode).join(asked, "question_id").select(F.col("question_id").alias("id"), answer(F.col("context"), F.col("question")).alias("answer"), F.col("mode").alias("resolved_mode"), "matched_entities", "matched_nodes", "source_chunks_loaded")
+        found = written(found, "answers")
+    except Exception as e:  # noqa: BLE001  a failing search is a result, not the end of the evaluation
+        return failed(str(e)[:500])
+    each = (time.perf_counter() - began) * 1000 / max(1, found.count())
+    return found.withColumns({"latency_ms": F.lit(each), "error": F.when(F.col("answer").isNull(), "no answer")})
 
 
 def evaluate(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """questions(id, question, category, question_type, difficulty, expected_entities, answer_keywords) with answers(ANSWER) -> one result for each question.
+    """questions(id, question, category, question_type, difficulty, expected_entities, answer_keywords) with answers (see answer_all) -> one result for each question.
 
     A question without an answer, or with an error, is no success: its measures are 0 and all its keywords are missing.
     """

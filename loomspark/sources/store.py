@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import truncate
 from loomspark.functions.url import download_name, page_name
 from loomspark.operators.graph import Graph
+from loomspark.storage import written
 
 
 def save_graph(graph: Graph, path: str) -> None:
@@ -81,7 +82,8 @@ def cache_append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, or None if there is none yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -91,17 +93,23 @@ def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def cache_upsert(rows: DataFrame, path: str, key: str = "content_hash", failures: bool = True) -> None:
-    """Append rows whose key the cache at path does not hold as a success; failed ones (status ``failed``) only if failures.
+    """Append rows whose key the cache at path does not hold as a success; failed ones (status ``failed``) only if failures, and once.
 
     A success replaces a failure of the same key for readers, since cache_lookup() passes over failures.
     """
+    keep_failures = failures and "status" in rows.columns
     new = rows.dropDuplicates([key])
-    new = new if failures or "status" not in rows.columns else new.filter("status <> 'failed'")
-    held = _read_if_any(rows.sparkSession, path)
+    if "status" in rows.columns:  # of repeated rows the success counts
+        good, bad = rows.filter("status <> 'failed'").dropDuplicates([key]), rows.filter("status = 'failed'").dropDuplicates([key])
+        new = good.unionByName(bad.join(good.select(key), key, "left_anti").select(rows.columns)) if keep_failures else good
+    held = read_if_any(rows.sparkSession, path)
     if held is not None:
-        held = held.filter("status <> 'failed'") if "status" in held.columns else held
-        new = new.join(held.select(key).distinct(), key, "left_anti").select(rows.columns)
-    cache_append(new, path)
+        known = held.filter("status <> 'failed'") if "status" in held.columns else held
+        todo = new.join(known.select(key).distinct(), key, "left_anti").select(rows.columns)
+        if keep_failures:
+            todo = todo.filter("status <> 'failed'").unionByName(todo.filter("status = 'failed'").join(held.select(key).distinct(), key, "left_anti").select(rows.columns))
+        new = todo
+    cache_append(written(new, "cache-rows"), path)
 
 
 def summary_upsert(summaries: DataFrame, path: str) -> None:
@@ -124,7 +132,7 @@ def build_index(summaries: DataFrame, embed, path: str) -> None:  # noqa: ANN001
 def open_index(spark: SparkSession, path: str, summaries: DataFrame, embed) -> DataFrame:  # noqa: ANN001
     """The stored index if it holds exactly these summaries, else a new one."""
     want = summaries.filter(F.coalesce("summary", F.lit("")) != "").select(F.sha2("summary", 256).alias("fingerprint"))
-    have = _read_if_any(spark, path)
+    have = read_if_any(spark, path)
     if have is None or not (want.exceptAll(have.select("fingerprint")).isEmpty() and have.select("fingerprint").exceptAll(want).isEmpty()):
         build_index(summaries, embed, path)
     return spark.read.parquet(path)
@@ -158,7 +166,7 @@ def download(files: DataFrame, fetch: Callable[[str], bytes | None], path: str)
     Content is a binary column, so any store that Spark writes to holds it. What the table has already is not fetched again.
     """
     spark = files.sparkSession
-    held = _read_if_any(spark, path)
+    held = read_if_any(spark, path)
     todo = files if held is None else files.join(held.select("url"), "url", "left_anti")
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -140,7 +140,7 @@ def plain_split(text, size=1500, overlap=200, separators=("\n\n", "\n", " ", "")
 
 
 def test_splitter_on_documents(spark):
-    from loomspark.plans import catalog
+    from loomspark.plans import catalog, catalog_more  # noqa: F401
 
     d = "/root/testdata/sf0.001"
     want = {f"{r.doc_id}_chunk_{i}": x for r in spark.read.parquet(f"{d}/documents.parquet").collect() for i, x in enumerate(plain_split(r.text or ""))}
@@ -172,3 +172,67 @@ def test_intermediate_tables_can_be_released(spark):
     spark2 = spark.newSession()
     df = storage.written(spark2.range(3), "kept")
     assert df.count() == 3 and storage._own_dir(spark).endswith(spark.sparkContext.applicationId)
+
+
+def test_caches_of_a_build(spark, tmp_path):
+    """Providers are asked once for each content; failures stay out of the summary cache and are named by members."""
+    docs = spark.createDataFrame([("d1", TEXT), ("d2", TEXT.replace("Delta", "Omega"))], "doc_id string, text string")
+    caches = str(tmp_path / "caches")
+    silent = lambda c: F.lit(None).cast("string")
+    first = index_build.build_all(docs, summarise=silent, caches=caches)
+    lost = first.corpus.summaries.collect()
+    assert lost and all(r.summary.startswith("Community containing: ") and len(r.summary.split(", ")) <= 5 for r in lost)
+    again = index_build.build_all(docs, summarise=lambda c: F.concat(F.lit("<think>x</think>SUMMARY: told "), F.left(c, F.lit(9))), caches=caches)
+    assert again.counts.first().asDict() | {"entities": 0, "relationships": 0} == {"chunks": 2, "cached": 2, "generated": 0, "failed": 0, "entities": 0, "relationships": 0, "summaries_cached": 0, "summaries": len(lost)}
+    assert {r.summary for r in again.corpus.summaries.collect()} == {"told Community"}
+    third = index_build.build_all(docs, summarise=silent, embed=lambda c: F.lit(None).cast("array<float>"), caches=caches)
+    assert third.counts.first().summaries_cached == len(lost)
+    assert all(r.embedding for r in third.corpus.index.collect())
+
+
+def test_an_update_reads_changed_documents_only(spark, tmp_path):
+    texts = {f"d{i}": TEXT.replace("Beta", f"Beta{i % 3}") for i in range(6)}
+    frame = lambda x: spark.createDataFrame(list(x.items()), "doc_id string, text string")
+    caches = str(tmp_path / "caches")
+    built = index_build.build_all(frame(texts), caches=caches)
+    later = {k: v for k, v in texts.items() if k != "d5"} | {"d0": "Alpha Board left. New Board came.", "d9": "New Board met Alpha Board."}
+    new = index_build.update(built, frame(later), caches)
+    assert new.counts.first().chunks == 2  # d0 and d9
+    full = index_build.build_all(frame(later))
+    for name in ("nodes", "edges", "entity_map"):
+        a, b = getattr(new.state, name), getattr(full.state, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    same = index_build.update(new, frame(later), caches)
+    assert same.counts.first().chunks == 0 and same.state.nodes.count() == full.state.nodes.count()
+    assert index_build.update(same, frame(later).limit(0), caches).state.nodes.count() == 0
+
+
+def test_failed_extractions_are_cached_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("h1", "failed"), ("h1", "failed"), ("h2", "ok"), ("h2", "failed")], "content_hash string, status string")
+    for _ in range(2):
+        store.cache_upsert(rows, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("h1", "failed"), ("h2", "ok")]
+    store.cache_upsert(rows.limit(1).withColumn("status", F.lit("ok")), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("h1", "failed"), ("h1", "ok"), ("h2", "ok")]
+
+
+def test_models_get_prompts(spark):
+    from loomspark.plans import providers
+
+    echo = lambda asked: F.concat(F.lit("<think>no</think>"), asked)
+    row = spark.range(1).select(providers.model_extract(echo, ("A", "B"))(F.lit("the text")).alias("e"), providers.model_summarise(echo)(F.lit("ctx")).alias("s"), providers.model_terms(echo)(F.lit("why?")).alias("t")).first()
+    assert "A, B" in row.e and row.e.endswith("the text") and row.s.endswith("ctx") and "<think>" not in row.s and row.t.endswith("why?")
+
+
+def test_question_tables(spark):
+    """A table of questions gives what single searches give, in every mode; no questions give no rows; a search that fails has an error each."""
+    c = index_build.build(spark.createDataFrame([("d1", TEXT), ("d2", TEXT.replace("Delta", "Omega"))], "doc_id string, text string"))
+    asked = {"a": "What does Beta-Scheme pay?", "b": "zzz", "c": None, "d": "Gamma Grant or Omega Home?"}
+    q = spark.createDataFrame(list(asked.items()), "question_id string, question string")
+    for mode in ("local", "global", "combined"):
+        rows = {r.question_id: r for r in search.searches(c, q, mode).collect()}
+        assert rows.keys() == asked.keys()
+        for k in ("a", "d"):
+            assert tuple(rows[k])[1:] == tuple(search.search(c, asked[k], mode).first())
+    assert search.searches(c, q.limit(0)).count() == 0
