@@ -17,10 +17,10 @@ from loomspark.storage import written
 MIN_SIZE = 3
 #: Temperature of the draws in Leiden's refinement, in units of weight.
 RANDOMNESS = 0.01
-#: Pairs of a component that one task clusters; one with more is coarsened by all tasks first.
-TASK_PAIRS = 200_000
-#: Parts of those that join one node, whose running sums are taken apart; most rounds of coarsening.
-PARTS, MAX_ROUNDS = 256, 100
+#: Pairs of a component that one task clusters; one with more is clustered by all tasks until its sets have no more.
+TASK_PAIRS = 20_000
+#: Parts of those that join one node, whose running sums are taken apart; most rounds of coarsening, and of moves in each.
+PARTS, MAX_ROUNDS, MOVE_ROUNDS = 256, 100, 8
 
 
 def _adjacency(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[list[dict[int, float]], np.ndarray]:
@@ -171,17 +171,60 @@ def hierarchical_leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: floa
     return member
 
 
-def _joins(pairs: DataFrame, scale: float, most: int, r: int) -> DataFrame | None:
-    """(u, p): nodes of pairs that join a neighbour in round r, and those they join, by the name of the set; None: no join gains.
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(x, y, weight, x_n, y_n): pairs in both directions; a loop twice, as it counts in the degree."""
+    one = lambda x, y: pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), "weight", F.col(f"{x}_n").alias("x_n"), F.col(f"{y}_n").alias("y_n"))
+    return one("a", "b").unionByName(one("b", "a"))
+
+
+def _moves(pairs: DataFrame, part: DataFrame | None, scale: float, seed: int) -> DataFrame:
+    """(x, c): the community of each node after rounds of local moves by all tasks, from part(x, c) or each node alone.
+
+    In a round the weights from a node to the communities around it are summed, and half of the nodes, by
+    a hash that changes with the round, move to the one of the highest gain of modularity. The other
+    half stays, so that two neighbours seldom trade places. The rounds end when few still move.
+    """
+    ends = written(_ends(pairs).select("x", "y", "weight"), "moves-ends")
+    state = ends.groupBy("x").agg(F.sum("weight").alias("k"))
+    state = state.withColumn("c", F.col("x")) if part is None else state.join(part, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    state = written(state.select("x", "k", "c", F.lit(False).alias("moved")), "moves-state")
+    nodes, quiet = state.count(), 0
+    for r in range(MOVE_ROUNDS):
+        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
+        near = ends.filter("x <> y").join(state.select(F.col("x").alias("y"), "c"), "y").select("x", "c", "weight")
+        near = near.unionByName(state.select("x", "c", F.lit(0.0).alias("weight"))).groupBy("x", "c").agg(F.sum("weight").alias("w"))
+        near = near.join(state.select("x", "k", F.col("c").alias("own")), "x").join(mass, "c")
+        gain = F.col("w") - scale * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
+        near = near.withColumn("gain", gain)
+        best = near.groupBy("x", "k", "own").agg(F.max_by("c", F.struct("gain", F.xxhash64("c", F.lit(seed)))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        moves = (F.col("gain") > F.col("stay") + 1e-9 * F.col("k")) & (F.pmod(F.xxhash64("x", F.lit(seed), F.lit(r)), F.lit(2)) == 0)
+        state = written(best.select("x", "k", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "moves-state")
+        quiet = quiet + 1 if state.filter("moved").count() * 200 < nodes else 0
+        if quiet == 2:  # either half has been asked
+            break
+    return state.select("x", "c")
+
+
+def _whole_parts(pairs: DataFrame, part: DataFrame, most: int) -> DataFrame | None:
+    """(u, p): the nodes of each community of part that has several and at most ``most`` of the first nodes, as one set; None if there is none."""
+    sizes = _ends(pairs).select("x", F.col("x_n").alias("n")).distinct()
+    several = sizes.join(part, "x").groupBy("c").agg(F.count("*").alias("sets"), F.sum("n").alias("n"), F.min("x").alias("p")).filter((F.col("sets") > 1) & (F.col("n") <= most))
+    joins = written(part.join(several, "c").select(F.col("x").alias("u"), "p"), "community-joins")
+    return None if joins.isEmpty() else joins
+
+
+def _joins(pairs: DataFrame, scale: float, most: int, r: int, part: DataFrame | None = None) -> DataFrame | None:
+    """(u, p): nodes of pairs that join a neighbour in round r, of the same community of part(x, c), and those they join, by the name of the set; None: no join gains.
 
     A node picks the neighbour of the highest gain of modularity. It joins that if it is lighter than
     its pick and the pick is not, so sets are stars and each round has joins. Of those that join one
     node, each counts the mass of all before it as joined, so every join gains, however many there are.
     """
-    one = lambda x, y: pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), "weight", F.col(f"{x}_n").alias("x_n"), F.col(f"{y}_n").alias("y_n"))
-    ends = one("a", "b").unionByName(one("b", "a"))  # a loop counts twice in the degree
+    ends = _ends(pairs)
     degree = written(ends.groupBy("x").agg(F.sum("weight").alias("k")), "community-degrees")
     near = ends.filter((F.col("x") != F.col("y")) & (F.col("x_n") + F.col("y_n") <= most))
+    if part is not None:
+        near = near.join(part.withColumnRenamed("c", "x_c"), "x").join(part.withColumnsRenamed({"x": "y", "c": "y_c"}), "y").filter("x_c = y_c")
     near = near.join(degree.withColumnRenamed("k", "x_k"), "x").join(degree.withColumnsRenamed({"x": "y", "k": "y_k"}), "y")
     near = near.withColumn("gain", F.col("weight") - scale * F.col("x_k") * F.col("y_k")).filter("gain > 0")
     best = near.groupBy("x").agg(F.max_by(F.struct("y", "weight", "x_n", "y_n", "x_k", "y_k"), F.struct("gain", F.xxhash64("y", F.lit(r)))).alias("b")).select("x", "b.*")
@@ -206,11 +249,13 @@ def _joins(pairs: DataFrame, scale: float, most: int, r: int) -> DataFrame | Non
 def coarsened(keyed: DataFrame, scale: float, task_pairs: int, max_size: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """keyed(component, a, b, weight, a_n, b_n) with sets of nodes as nodes, until no component has more than task_pairs pairs or no join of two sets gains; and the joins(u, p) of each round.
 
-    Smaller components stay as they are. A set grows along edges, so it is connected; its name is its
-    smallest member, its inner weight a loop, a_n and b_n its sizes, at most max_size. Every join raises
-    the modularity.
+    Smaller components stay as they are. All tasks move the nodes to communities first; joins follow inside
+    of these only, as Leiden's refinement has it, and the sets move on from the community they are in.
+    A set grows along edges, so it is connected; its name is its smallest member, its inner weight a loop, a_n
+    and b_n its sizes, at most max_size. Where no join inside the communities gains, they become sets as they are.
     """
     maps: list[DataFrame] = []
+    part: DataFrame | None = None
     most = max_size or 1 << 62
     count = lambda x: x.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component")
     for r in range(MAX_ROUNDS):
@@ -218,10 +263,16 @@ def coarsened(keyed: DataFrame, scale: float, task_pairs: int, max_size: int | N
         if big.isEmpty():
             break
         large = written(keyed.join(big, "component", "left_semi"), "community-open")
-        joins = _joins(large, scale, most, r)
+        joins = None if part is None else _joins(large, scale, most, r, part)
+        if joins is None:  # the sets move between communities where nothing is left to join inside
+            part = _moves(large, part, scale, r)
+            joins = _joins(large, scale, most, r, part)
+        if joins is None:
+            joins = _whole_parts(large, part, most)
         if joins is None:
             break
         maps.append(joins)
+        part = written(part.join(joins, F.col("x") == F.col("u"), "left").groupBy(F.coalesce("p", "x").alias("x")).agg(F.min("c").alias("c")), "community-parts")
         to = lambda x, e: x.join(joins.withColumnsRenamed({"u": e, "p": f"{e}_p"}), e, "left").withColumn(e, F.coalesce(f"{e}_p", e)).drop(f"{e}_p")  # noqa: E731, B023
         sizes = large.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("u"), F.col("b_n").alias("n")))).alias("x")).select("x.*").distinct()
         sizes = written(sizes.join(joins, "u", "left").groupBy(F.coalesce("p", "u").alias("u")).agg(F.sum("n").alias("n")), "community-sizes")
@@ -236,8 +287,8 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     """(node_id, community): pairs(a, b, weight) clustered within each connected component, against the whole graph's weight.
 
     community is the smallest member. With max_size by hierarchical_leiden(), else by louvain().
-    One component is one task, since the algorithm is sequential in it; one of more than task_pairs pairs
-    is coarsened() first by all tasks. Where that ends above task_pairs, its sets are the communities.
+    A component of at most task_pairs pairs is clustered by one task; one of more is coarsened() first by all tasks,
+    and one task clusters the few sets that are left. Where that ends above task_pairs, its sets are the communities.
     """
     total = float(pairs.agg(F.sum("weight").cast("double")).first()[0] or 0.0)
     kind = "a string, b string, weight double, component string, a_n bigint, b_n bigint"
@@ -247,8 +298,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     keyed, maps = coarsened(keyed, resolution / (2 * max(total, 1e-9)), task_pairs, max_size)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        if max_size:  # draws depend on the order of rows
-            pdf = pdf.sort_values(["a", "b"])
+        pdf = pdf.sort_values(["a", "b"])  # moves depend on the order of rows
         names, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
         a, b, w = at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(float)
         size = np.zeros(len(names), np.int64)
@@ -271,7 +321,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     return members.join(sets.withColumnRenamed("node_id", "root"), "root").select(F.col("node").alias("node_id"), "community")
 
 
-def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: int = MIN_SIZE, algorithm: str = "louvain") -> DataFrame:
+def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: int = MIN_SIZE, algorithm: str = "leiden") -> DataFrame:
     """membership(level, community, node_id, parent): level 0 clusters of min_size or more, level 1 groups of two or more of them.
 
     Fewer nodes than min_size: one community of all. algorithm ``leiden`` is hierarchical_leiden() with clusters of at most max(n / 2, 2 min_size), where they divide, and has level 0 only.

@@ -271,7 +271,7 @@ def p18_page_data(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def a13_communities(spark, d):  # noqa: ANN001, ANN201
-    return communities.hierarchy(graph(spark, d))
+    return communities.hierarchy(graph(spark, d), algorithm="louvain")
 
 
 @query()

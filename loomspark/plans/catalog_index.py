@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.communities import detect
 from loomspark.operators.delta import GraphState, changed_state, first_state
 from loomspark.operators.graph import Graph
 from loomspark.operators.retrieval import nearest
@@ -198,3 +199,25 @@ def t5_updated_index(spark, d):  # noqa: ANN001, ANN201
         differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differ"))
         out.append(differ.join(b.agg((F.count("*") > 0).alias("filled")), how="cross").select(F.lit(name).alias("part"), "differ", "filled"))  # one row each
     return reduce(DataFrame.unionByName, out)
+
+
+# --- communities of a component that no task clusters ------------------------------------------
+PLANTED = """g as (select c_custkey as k, case when c_nationkey < 5 then 0 else c_nationkey end as g, row_number() over (partition by case when c_nationkey < 5 then 0 else c_nationkey end order by c_custkey) - 1 as i, count(*) over (partition by case when c_nationkey < 5 then 0 else c_nationkey end) as n from customer)"""
+
+
+@query(f"with {PLANTED} select 'c' || lpad(k::varchar, 9, '0') as node_id, min('c' || lpad(k::varchar, 9, '0')) over (partition by g) as community from g")
+def a14_planted_communities(spark, d):  # noqa: ANN001, ANN201
+    """Customers of a nation (the first five nations as one) linked among themselves, some across: found again by all tasks, with at most 300 pairs left to one."""
+    group = F.when(F.col("c_nationkey") < 5, 0).otherwise(F.col("c_nationkey"))
+    name = lambda c: F.concat(F.lit("c"), F.lpad(c.cast("string"), 9, "0"))
+    by = Window.partitionBy("g")
+    g = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), group.alias("g"))
+    g = written(g.withColumns({"i": F.row_number().over(by.orderBy("k")) - 1, "n": F.count("*").over(by)}), "planted")
+    # the links of i lead to a * i + b of its group, for several a and b: a graph without a seam
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 1), (2, 1), (3, 2), (5, 3), (7, 1), (11, 5))])
+    inner = g.select("k", "g", "n", "i", F.explode(steps).alias("s")).select("k", "g", ((F.col("i") * F.col("s.a") + F.col("s.b")) % F.col("n")).alias("j"))
+    inner = inner.join(g.select("g", F.col("i").alias("j"), F.col("k").alias("other")), ["g", "j"]).select("k", "other")
+    across = g.filter("k % 25 = 0").select("k", (F.col("k") + 1).alias("other")).join(g.select(F.col("k").alias("other")), "other", "left_semi").select("k", "other")
+    links = inner.unionByName(across).filter("k <> other").select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
+    pairs = written(links.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"), F.lit(1.0).alias("weight")), "planted-pairs")
+    return detect(pairs, max_size=1 << 40, task_pairs=300)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -138,11 +140,25 @@ def test_large_component_is_coarsened_by_all_tasks(spark):
 
     _, whole = checked()
     part, ours = checked(task_pairs=20)
-    assert ours > 0.97 * whole and part[name(5000)] == part[name(5002)] == name(5000)
+    assert ours > 0.99 * whole and part[name(5000)] == part[name(5002)] == name(5000)
     part, _ = checked(task_pairs=0, max_size=12)  # no task clusters, the sets are the communities
     assert max(list(part.values()).count(c) for c in set(part.values())) <= 12
 
 
+def test_unequal_communities_by_all_tasks(spark):
+    """Communities of 8 to 70 nodes with edges between them: by all tasks within 1 % of the sequential modularity."""
+    r, groups, n = random.Random(1), [], 0
+    for g in range(12):
+        size = int(5 * 1.25**g) + 3
+        groups.append(range(n, n + size))
+        n += size
+    edges = {tuple(sorted((x, r.choice(g)))) for g in groups for x in g for _ in range(5)}
+    edges |= {tuple(sorted((r.randrange(n), r.randrange(n)))) for _ in range(len(edges) // 5)}
+    pairs = spark.createDataFrame([(f"n{x:05}", f"n{y:05}", 1.0) for x, y in sorted(edges) if x != y], "a string, b string, weight double")
+    whole, ours = (communities.modularity(pairs, communities.detect(pairs, max_size=n, task_pairs=t)).first()[0] for t in (1 << 30, 150))
+    assert ours > 0.99 * whole > 0.5
+
+
 def test_leiden_communities_are_connected():
     def modularity(a, b, part):
         degree = np.bincount(a, minlength=len(part)) + np.bincount(b, minlength=len(part))
