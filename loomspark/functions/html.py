@@ -97,12 +97,18 @@ def parse(html: str) -> Node:
 
 
 def cleaned(root: Node, dropped: frozenset[str] = DROPPED, classes: re.Pattern | None = DROPPED_CLASS) -> Node:
-    stack = [root]
+    """A copy of the tree without what is dropped, so that one parse serves several forms."""
+    top = Node(root.tag, root.attrs)
+    stack = [(root, top)]
     while stack:
-        x = stack.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or not (c.tag in dropped or (classes and classes.search(c.attrs.get("class", ""))))]
-        stack.extend(c for c in x.children if isinstance(c, Node))
-    return root
+        x, copy = stack.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                copy.children.append(c)
+            elif not (c.tag in dropped or (classes and classes.search(c.attrs.get("class", "")))):
+                copy.children.append(Node(c.tag, c.attrs))
+                stack.append((c, copy.children[-1]))
+    return top
 
 
 def main_part(root: Node) -> Node:
@@ -214,9 +220,9 @@ def tidy(text: str) -> str:
     return re.sub("(?i)skip to main content|back to top", "", text).strip()
 
 
-def markdown(html: str, url: str) -> str:
+def markdown(html: str | Node, url: str) -> str:
     """The flat Markdown form: title, source, then headings, paragraphs, items and cells line by line."""
-    root = cleaned(parse(html), DROPPED_FLAT, None)
+    root = cleaned(parse(html) if isinstance(html, str) else html, DROPPED_FLAT, None)
     tests = (lambda x: x.tag == "main", lambda x: x.tag == "article", lambda x: re.search("content|main|article", x.attrs.get("class", ""), re.I), lambda x: x.tag == "body")
     part = next((x for t in tests for x in root.walk() if t(x)), root)
     title = next(iter(root.all("title")), None)
@@ -227,9 +233,9 @@ def markdown(html: str, url: str) -> str:
     return tidy("\n".join(out))
 
 
-def full_markdown(html: str, url: str) -> str | None:
+def full_markdown(html: str | Node, url: str) -> str | None:
     """The full Markdown form with its source; null if it has no more than MIN_PAGE characters."""
-    root = cleaned(parse(html), DROPPED_FULL, None)
+    root = cleaned(parse(html) if isinstance(html, str) else html, DROPPED_FULL, None)
     classes = lambda x: x.attrs.get("class", "").split()
     tests = (lambda x: x.tag == "main", lambda x: x.tag == "article", lambda x: x.tag == "div" and "content" in classes(x), lambda x: x.tag == "div" and x.attrs.get("id") == "content", lambda x: x.tag == "div" and "main-content" in classes(x), lambda x: x.tag == "body")
     part = next((x for t in tests for x in root.walk() if t(x)), root)
@@ -265,22 +271,37 @@ def _converted(x: Node, depth: int) -> str:
     return f"{mark}{text}{mark}" if mark and text else inner
 
 
-def page_data(html: str | None, url: str | None, sep: str = "") -> dict:
-    """All parts of a page. sep stands between pieces of inline markup: none, or a space for prose that reads better."""
-    html, url = html or "", url or ""
-    root = cleaned(parse(html))
-    part = main_part(root)
-    title = next((x.text() for x in root.all("title")), "") or next((x.text() for x in root.all("h1")), "")
-    pages, documents = links(root, url)
-    return {"title": title, "chunks": blocks(part, sep), "faqs": faqs(root, sep), "links": pages, "documents": documents, "markdown": markdown(html, url), "full_markdown": full_markdown(html, url)}
+FIELDS = ("title", "chunks", "faqs", "links", "documents", "markdown", "full_markdown")
+
+
+def page_data(html: str | None, url: str | None, sep: str = "", fields: tuple[str, ...] = FIELDS) -> dict:
+    """Parts of a page, from one parse. sep stands between pieces of inline markup: none, or a space for prose that reads better."""
+    tree, url, out = parse(html or ""), url or "", {}
+    if {"title", "chunks", "faqs", "links", "documents"} & {*fields}:
+        root = cleaned(tree)
+        if "title" in fields:
+            out["title"] = next((x.text() for x in root.all("title")), "") or next((x.text() for x in root.all("h1")), "")
+        if "chunks" in fields:
+            out["chunks"] = blocks(main_part(root), sep)
+        if "faqs" in fields:
+            out["faqs"] = faqs(root, sep)
+        if {"links", "documents"} & {*fields}:
+            out |= dict(zip(("links", "documents"), links(root, url), strict=True))
+    if "markdown" in fields:
+        out["markdown"] = markdown(tree, url)
+    if "full_markdown" in fields:
+        out["full_markdown"] = full_markdown(tree, url)
+    return out
 
 
-def page(html_col: Column | str, url: Column | str, sep: str = "") -> Column:
-    """(html, url) -> structured page."""
+def page(html_col: Column | str, url: Column | str, sep: str = "", fields: tuple[str, ...] = FIELDS) -> Column:
+    """(html, url) -> structured page with these of its FIELDS; what is not asked for is not made."""
+    kinds = dict(x.split(":", 1) for x in re.sub(r"^struct<|>$", "", PAGE).replace(",answer", ";answer").split(","))
+    kind = "struct<" + ",".join(f"{f}:{kinds[f].replace(';', ',')}" for f in fields) + ">"
 
-    @F.pandas_udf(PAGE)
+    @F.pandas_udf(kind)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for html, url in batches:
-            yield pd.DataFrame([page_data(h, u, sep) for h, u in zip(html, url, strict=True)], columns=["title", "chunks", "faqs", "links", "documents", "markdown", "full_markdown"])
+            yield pd.DataFrame([page_data(h, u, sep, fields) for h, u in zip(html, url, strict=True)], columns=list(fields))
 
     return run(html_col, url)

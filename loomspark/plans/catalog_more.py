@@ -167,7 +167,7 @@ def k7_vector_index(spark, d):  # noqa: ANN001, ANN201
 
 
 # --- searches ----------------------------------------------------------------------------------
-ADJ = "adj as (select src as x, dst as y from edges union select dst, src from edges), seeds as (select node_id from nodes where ord <= 2), h1 as (select distinct s.node_id as seed, y as node_id from seeds s join adj on x = s.node_id where y <> s.node_id), h2 as (select distinct seed, y as node_id from h1 join adj on x = h1.node_id where y <> seed), hops as (select seed, node_id, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) group by 1, 2), near as (select seed, node_id, hop from (select *, row_number() over (partition by seed order by hop, degree desc, ord) as r from hops join deg using (node_id) join nodes using (node_id)) where r <= 25)"
+ADJ = "adj as (select src as x, dst as y from edges union select dst, src from edges), seeds as (select node_id from nodes where ord % 50 = 0), h1 as (select distinct s.node_id as seed, y as node_id from seeds s join adj on x = s.node_id where y <> s.node_id), h2 as (select distinct seed, y as node_id from h1 join adj on x = h1.node_id where y <> seed), hops as (select seed, node_id, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) group by 1, 2), near as (select seed, node_id, hop from (select *, row_number() over (partition by seed order by hop, degree desc, ord) as r from hops join deg using (node_id) join nodes using (node_id)) where r <= 25)"
 
 
 def _degrees(g: Graph) -> DataFrame:
@@ -182,13 +182,13 @@ def l4_most_connected(spark, d):  # noqa: ANN001, ANN201
 @query(f"{G}, {ADJ} select * from near")
 def l6_nearest_neighbours(spark, d):  # noqa: ANN001, ANN201
     g = graph(spark, d)
-    return nearest_neighbours(neighbours(g.edges, g.nodes.filter("ord <= 2"), 2), _degrees(g), 25)
+    return nearest_neighbours(neighbours(g.edges, g.nodes.filter("ord % 50 = 0"), 2), _degrees(g), 25)
 
 
 @query(f"{G}, {ADJ}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near) select node_id, max(hit) as hit, any_value(degree) as degree from mixed join deg using (node_id) join nodes using (node_id) group by 1 order by hit desc, degree desc, any_value(ord) limit 25")
 def l5_relevant_nodes(spark, d):  # noqa: ANN001, ANN201
     g = graph(spark, d)
-    deg, seeds = _degrees(g), g.nodes.filter("ord <= 2")
+    deg, seeds = _degrees(g), g.nodes.filter("ord % 50 = 0")
     near = nearest_neighbours(neighbours(g.edges, seeds, 2), deg, 25)
     return relevant_nodes(seeds, near, deg, 25).select("node_id", "hit", "degree")
 
@@ -208,7 +208,7 @@ def a25_global_context(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(
-    f"""{G}, {ADJ.replace("select node_id from nodes where ord <= 2", "select node_id from deg join nodes using (node_id) order by degree desc, ord limit 12")}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near),
+    f"""{G}, {ADJ.replace("select node_id from nodes where ord % 50 = 0", "select node_id from deg join nodes using (node_id) order by degree desc, ord limit 12")}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near),
  chosen as (select node_id, max(hit) as hit, any_value(degree) as degree from mixed join deg using (node_id) join nodes using (node_id) group by 1 order by hit desc, degree desc, any_value(ord) limit 25)
  select 'local' as mode, (select count(*) from chosen) as total_nodes, (select count(*) from und where a in (select node_id from chosen) and b in (select node_id from chosen)) as total_edges, (select string_agg(node_id, '|' order by degree desc, ord) from seeds join deg using (node_id) join nodes using (node_id)) as matched, 0::bigint as source_chunks_loaded"""
 )
@@ -401,11 +401,12 @@ def a27_scrape_counts(spark, d):  # noqa: ANN001, ANN201
     return scrape_counts(_listed(spark, d))
 
 
-@query("select url, case when page_id % 4 = 0 then null else 'got ' || url end as html from pages")
+@query("select url || '#' || page_id as url, case when page_id % 4 = 0 then null else 'got ' || url || '#' || page_id end as html from pages")
 def t2_rate_limited_fetch(spark, d):  # noqa: ANN001, ANN201
-    p = table(spark, d, "pages")
-    missing = {r.url for r in p.filter("page_id % 4 = 0").select("url").collect()}
-    return rate_limited(p.select("url", authority(F.col("url")).alias("domain")), lambda u: None if u in missing else f"got {u}", delay=0.0)
+    """A fetcher that knows from the address alone which pages are missing."""
+    url = F.concat("url", F.lit("#"), F.col("page_id").cast("string"))
+    p = table(spark, d, "pages").select(url.alias("url"), authority(F.col("url")).alias("domain"))
+    return rate_limited(p, lambda u: None if int(u.rpartition("#")[2]) % 4 == 0 else f"got {u}", delay=0.0)
 
 
 # --- texts -------------------------------------------------------------------------------------

@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "loomspark", cores: int | str | None = None, partitions: int | None = None) -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster the launcher's settings win."""
+    """A local session for tests and benchmarks; a process that a launcher started (spark-submit) gets a session with the launcher's settings."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        return SparkSession.builder.appName(app).getOrCreate()
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -81,7 +81,7 @@ def crawl(spark: SparkSession, start: list[str], pages: DataFrame, domain: str,
     documents = seeds.filter(is_document(F.col("url"))).select(F.col("url").alias("document"))
     seen, kept, budget = frontier, None, max_pages
     for depth in range(max_depth + 1):
-        got = written(web.join(frontier, "key", "left_semi").withColumn("page", page("html", "url")), "crawl")
+        got = written(web.join(frontier, "key", "left_semi").withColumn("page", page("html", "url", fields=("title", "chunks", "faqs", "links", "documents"))), "crawl")
         good = got.filter((F.size("page.chunks") >= 3) | (F.size("page.faqs") >= 1)).orderBy("key").limit(budget).select("url", F.lit(depth).alias("depth"), "page")
         good = written(good, "crawl-kept")
         kept = good if kept is None else kept.unionByName(good)
@@ -114,7 +114,8 @@ def scrape_list(catalogue: DataFrame, web: DataFrame, done: DataFrame | None = N
     known = catalogue if done is None else catalogue.join(done.select(*key).distinct().withColumn("held", F.lit(True)), key, "left")
     held = F.lit(False) if done is None else F.coalesce("held", F.lit(False))
     pages = known.withColumn("exists", held).join(web.select("url", "html"), "url", "left").withColumn("html", F.when(~F.col("exists"), F.col("html")))
-    form = page("html", "url")["full_markdown" if full else "markdown"]
+    name = "full_markdown" if full else "markdown"
+    form = page("html", "url", fields=(name,))[name]
     text = F.when(F.col("html").isNotNull(), form)
     status = F.when(F.col("exists"), "exists").when(F.col("html").isNull(), "failed").when(F.col("markdown").isNull(), "skipped").otherwise("saved")
     return pages.withColumn("markdown", text).select(*key, "url", status.alias("status"), "markdown")

@@ -51,6 +51,8 @@ def test_answers():
     assert mended["entities"][0] == {"name": "A", "type": "T", "description": None} and mended["status"] == "repaired"
     cut = answers.parse_extraction('{"entities":[{"name":"A"},{"name":"B"}],"relationships":[{"source":"A"')
     assert [e["name"] for e in cut["entities"]] == ["A", "B"]
+    nested = answers.parse_extraction('{"entities": [{"name": "A ] b", "attributes": {"k": [1]}}, {"name": "B"}, oops ], "relationships": [{"source": "A", "x": {"y": 1}, "target": "B"} {')
+    assert [e["name"] for e in nested["entities"]] == ["A ] b", "B"] and nested["relationships"][0]["target"] == "B" and nested["status"] == "partial"
     assert answers.parse_extraction("no json") == {"entities": [], "relationships": [], "status": "failed"}
     assert answers.parse_extraction(None)["status"] == "failed"
     assert answers.parse_verdict('{"relevance":{"score":7},"clarity":2}')["relevance"] == 7.0
