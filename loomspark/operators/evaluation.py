@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.answers import DIMENSIONS
 from loomspark.functions.text import normalize_name
+from loomspark.operators.quantiles import exact_quantiles
+from loomspark.storage import written
 
 
 def _words(c: Column) -> Column:
@@ -35,22 +37,22 @@ def keyword_coverage(answer: Column, keywords: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(found_keywords(answer, keywords)).cast("double"), F.size(keywords)), F.lit(0.0))
 
 
-def p95(column: str, n: int) -> Column:
-    """The element at index int(0.95 n) of n sorted values (null of none): an aggregate that holds distinct values, not all."""
-    at = min(int(0.95 * n), max(n - 1, 0))
-    return F.expr(f"percentile_disc({(at + 0.5) / max(n, 1):.17g}) within group (order by {column})")
+def _with_quantiles(row: DataFrame, rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """row with exact_quantiles() of rows as columns."""
+    rows = written(rows.select(*{c: None for c, _ in wanted.values()}), "measures")
+    return row.withColumns({name: F.lit(v).cast("double") for name, v in exact_quantiles(rows, wanted).items()})
 
 
 def aggregate(results: DataFrame) -> DataFrame:
     """One row over results(success, precision, recall, f1, coverage, latency_ms, judge); only successes count."""
     ok = results.filter("success")
-    timed = ok.filter("latency_ms is not null").count()
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     a = ok.agg(
-        F.count("*").alias("successes"), F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"), F.avg("f1").alias("f1_mean"), F.expr("percentile(recall, 0.5)").alias("recall_median"), sd("recall").alias("recall_std"),
-        F.avg("coverage").alias("coverage_mean"), F.expr("percentile(coverage, 0.5)").alias("coverage_median"), sd("coverage").alias("coverage_std"), F.avg("latency_ms").alias("latency_mean"), F.expr("percentile(latency_ms, 0.5)").alias("latency_median"),
-        p95("latency_ms", timed).alias("latency_p95"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"), F.count("judge").alias("judged"), F.avg("judge").alias("judge_mean"),
+        F.count("*").alias("successes"), F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"), F.avg("f1").alias("f1_mean"), sd("recall").alias("recall_std"),
+        F.avg("coverage").alias("coverage_mean"), sd("coverage").alias("coverage_std"), F.avg("latency_ms").alias("latency_mean"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"),
+        F.count("judge").alias("judged"), F.avg("judge").alias("judge_mean"),
     )
+    a = _with_quantiles(a, ok, {"recall_median": ("recall", "median"), "coverage_median": ("coverage", "median"), "latency_median": ("latency_ms", "median"), "latency_p95": ("latency_ms", "p95")})
     return a.join(results.agg(F.count("*").alias("total"), F.avg(F.col("success").cast("double")).alias("success_rate")), how="cross")  # one row each
 
 
@@ -67,7 +69,8 @@ def breakdowns(results: DataFrame, by: tuple[str, ...] = ("category", "difficult
 def judge_summary(verdicts: DataFrame) -> DataFrame:
     """One row over verdicts(overall, four dimensions): how many have an overall score, its mean and median, mean of each dimension among them."""
     judged = verdicts.filter("overall is not null")
-    return judged.agg(F.count("*").alias("judged"), F.avg("overall").alias("overall_mean"), F.expr("percentile(overall, 0.5)").alias("overall_median"), *[F.avg(d).alias(f"{d}_mean") for d in DIMENSIONS])
+    row = judged.agg(F.count("*").alias("judged"), F.avg("overall").alias("overall_mean"), *[F.avg(d).alias(f"{d}_mean") for d in DIMENSIONS])
+    return _with_quantiles(row, judged, {"overall_median": ("overall", "median")})
 
 
 def dataset_summary(questions: DataFrame, values: dict[str, list[str]]) -> DataFrame:

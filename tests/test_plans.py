@@ -1,8 +1,11 @@
 import json
+import math
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import evaluation
+from loomspark.operators import evaluation, quantiles
 from loomspark.plans import chat, index_build, search
 from loomspark.sources import corpus, store
 from loomspark.streaming import sessions
@@ -48,9 +51,19 @@ def test_evaluation(spark):
     df = spark.createDataFrame([(["cpf_contribution", "employee"], ["CPF Contribution rate", "x"], "20% for the employer", ["20%", "employer the", "zz"])], "e array<string>, r array<string>, a string, k array<string>")
     x = df.select(evaluation.entity_overlap(F.col("e"), F.col("r")).alias("o"), evaluation.keyword_coverage(F.col("a"), F.col("k")).alias("c")).first()
     assert (x.o.matched, x.o.precision, x.o.recall) == (1, 0.5, 0.5) and abs(x.c - 2 / 3) < 1e-9
-    for n in (0, 1, 19, 20, 21, 40, 100):
-        want = sorted(range(n))[min(int(0.95 * n), n - 1)] if n else None
-        assert spark.range(n).agg(evaluation.p95("id", n).alias("p")).first().p == want
+    for n in (0, 1, 20, 21, 100):
+        want = float(sorted(range(n))[min(int(0.95 * n), n - 1)]) if n else None
+        assert quantiles.exact_quantiles(spark.range(n), {"p": ("id", "p95")}) == {"p": want}
+
+
+def test_exact_quantiles_of_skewed_values(spark):
+    """Many equal values, huge and tiny ones, nulls and NaN: the same as sorting."""
+    r = random.Random(6)
+    values = [3.0] * 400 + [r.lognormvariate(0, 30) * r.choice((-1, 1)) for _ in range(301)] + [1e308, -1e308, 1e-300, math.nan, None]
+    df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "v double, w int")
+    real = sorted(v for v in values if v is not None and v == v)
+    got = quantiles.exact_quantiles(df, {"m": ("v", "median"), "p": ("v", "p95"), "w": ("w", "median")})
+    assert got == {"m": statistics.median(real), "p": real[int(0.95 * len(real))], "w": statistics.median(i % 7 for i in range(len(values)))}
 
 
 def test_caches(spark, tmp_path):
