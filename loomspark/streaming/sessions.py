@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,24 +16,44 @@ from loomspark.functions.url import is_document, is_page, normalize_url, should_
 from loomspark.storage import written
 
 
-def running_history(messages: DataFrame, n: int = 10) -> DataFrame:
-    """A stream of (session_id, turn, role, content) -> (session_id, turn, history): what came before each message.
+def running_history(messages: DataFrame, n: int = 10, idle_ms: int | None = None) -> DataFrame:
+    """A stream of (session_id, turn, role, content) -> (session_id, turn, history): the n messages before each one, by turn.
 
-    State is the last n messages of a session, in order of arrival.
+    State is a session's last n messages and the turn of its last ``cleared`` event. A message that comes late takes its
+    place by turn, as far as the state still reaches; one that repeats a turn in the state, or has the turn of a clear
+    event that is known or an earlier one, gives no row. Events of a batch count in order of turns, a clear event
+    before a message of the same turn; it gives no row, and takes out what came before it. With
+    idle_ms a session without messages for that long is forgotten; state never holds more than n messages.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lines = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("turn").itertuples():
-                out.append((key[0], r.turn, "\n".join(lines[-n:]) or "(No previous conversation)"))
-                lines.append(("User: " if r.role == "user" else "Assistant: ") + (r.content or ""))
-                lines = lines[-n:]
-            yield pd.DataFrame(out, columns=["session_id", "turn", "history"])
-        state.update((lines,))
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, "session_id string, turn long, history string", "lines array<string>", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turns, lines, cut = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], None)
+        out = []
+        rows = pd.concat(list(batches))
+        for r in rows.assign(said=rows["role"] != "cleared").sort_values(["turn", "said"], kind="stable").itertuples():
+            turn = int(r.turn)
+            if r.role == "cleared":
+                cut = turn if cut is None else max(cut, turn)
+                first = bisect_right(turns, cut)
+                del turns[:first], lines[:first]
+                continue
+            at = bisect_left(turns, turn)
+            if (cut is not None and turn <= cut) or turns[at : at + 1] == [turn]:
+                continue
+            out.append((key[0], turn, "\n".join(lines[max(0, at - n) : at]) or "(No previous conversation)"))
+            turns.insert(at, turn)
+            lines.insert(at, ("User: " if r.role == "user" else "Assistant: ") + (r.content or ""))
+            del turns[:-n], lines[:-n]
+        state.update((turns, lines, cut))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["session_id", "turn", "history"])
+
+    kept = messages.filter("session_id is not null and turn is not null")
+    return kept.groupBy("session_id").applyInPandasWithState(step, "session_id string, turn long, history string", "turns array<long>, lines array<string>, cut long", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def incremental_extraction(chunks: DataFrame, extract_batch: Callable[[DataFrame], DataFrame], cache_path: str, checkpoint: str):  # noqa: ANN201

@@ -3,6 +3,7 @@ import math
 import random
 import statistics
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomspark.operators import evaluation, quantiles
@@ -87,6 +88,39 @@ def test_streaming_history(spark, tmp_path):
     assert got[0] == "(No previous conversation)" and got[3] == "User: m1\nUser: m2"
 
 
+def test_history_of_late_repeated_and_cleared_messages():
+    """The state step itself: order by turn, repeats, clear events, expiry."""
+
+    class State:
+        def __init__(self):
+            self.value, self.hasTimedOut, self.timeout = None, False, None
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+        update = lambda self, v: setattr(self, "value", v)
+        remove = lambda self: setattr(self, "value", None)
+        setTimeoutDuration = lambda self, ms: setattr(self, "timeout", ms)  # noqa: E731, N815
+
+    held = {}
+
+    class Messages:
+        filter = groupBy = lambda self, _: self
+        applyInPandasWithState = lambda self, step, *_: held.update(step=step)  # noqa: E731, N815
+
+    sessions.running_history(Messages(), 2, idle_ms=5)
+    state = State()
+    say = lambda *rows: [tuple(r)[1:] for p in held["step"](("s",), iter([pd.DataFrame(rows, columns=["session_id", "turn", "role", "content"])]), state) for r in p.itertuples(index=False)]
+    m = lambda t: ("s", t, "user", f"m{t}")
+    none = "(No previous conversation)"
+    assert say(m(5), m(1)) == [(1, none), (5, "User: m1")]
+    assert say(m(3), m(5), m(3)) == [(3, "User: m1")] and state.timeout == 5
+    assert say(m(6)) == [(6, "User: m3\nUser: m5")]
+    assert say(("s", 6, "cleared", ""), m(6), m(7)) == [(7, none)]
+    assert say(m(2), m(8)) == [(8, "User: m7")]
+    state.hasTimedOut = True
+    assert say() == [] and state.value is None
+
+
 def test_incremental_extraction(spark, tmp_path):
     src, cache = str(tmp_path / "chunks"), str(tmp_path / "cache")
     schema = "chunk_id string, text string"
