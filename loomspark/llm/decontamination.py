@@ -5,7 +5,8 @@ shingles say exactly where windows of that item's size can matter: every start w
 enough of them, in any order, as disjoint ranges of starts. All these windows get a SimHash.
 Fingerprints are cut in one block more than the radius: two within the radius agree in a block, so
 equality of a block of the item finds every pair within it, and an exact weighted-shingle similarity
-verifies the pairs. Windows keep the item they were enumerated for and are compared with no other.
+verifies the pairs. Windows keep the item they were enumerated for and are compared with no other, so
+the positions select the pairs; at so wide a radius blocks agree for nearly all unrelated pairs too.
 """
 
 from __future__ import annotations

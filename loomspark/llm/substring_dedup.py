@@ -1,8 +1,8 @@
 """Substring deduplication: removes bytes of long strings that an earlier document also has.
 
-Ranks of positions grow in length, and positions leave as soon as they are settled, as in prefix
-doubling. To keep the first ranking small, positions are sampled: every string of ``length`` bytes has
-one anchor, the GRAM bytes of the least hash inside it, so equal strings meet under equal anchors.
+Positions are ranked twice, and leave as soon as they are settled. To keep the first ranking small,
+positions are sampled: every string of ``length`` bytes has one anchor, the GRAM bytes of the least
+hash inside it, so equal strings meet under equal anchors.
 
 1. Strings that follow each other and share their anchor form a run. Runs are sorted by (anchor,
    content). Equal runs settle all their strings at once: only the smallest document keeps them.
