@@ -7,10 +7,12 @@ order, so that stars to a small node collapse at once and ordered paths shrink g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.storage import written
+from loomspark.storage import fresh_path, written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -41,3 +43,50 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     out = written(out, "components-roots")
     least = out.groupBy("root").agg(F.min("node").alias("component"))
     return out.join(least, "root").select("node", "component")
+
+
+@dataclass(frozen=True)
+class GrowingComponents:
+    """Components of a graph to which edges are added: members(node, root) at path, written once for each node when it is first
+    seen, and moves(root, component) of the roots that have joined another one since."""
+
+    path: str
+    moves: DataFrame | None = None
+
+    def members(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+    def components(self, spark: SparkSession) -> DataFrame:
+        """(node, component), the component being its smallest node."""
+        m = self.members(spark)
+        if self.moves is None:
+            return m.withColumnRenamed("root", "component")
+        return m.join(self.moves, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+
+
+def grown(edges: DataFrame, src: str = "src", dst: str = "dst", before: GrowingComponents | None = None) -> GrowingComponents:
+    """The components with these edges too. Edges are contracted to the components of their ends, so that a batch costs what it and the
+    components it touches cost: nodes that are new are appended, and only the moves of roots are written again.
+
+    Edges with a null end are ignored; edges that are known change nothing. A batch that fails can be given again.
+    """
+    spark = edges.sparkSession
+    pairs = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null").distinct(), "grown-edges")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if before is None:
+        path = fresh_path(spark, "grown-members")
+        components(pairs, "a", "b").withColumnRenamed("component", "root").write.parquet(path)
+        return GrowingComponents(path)
+    # of the nodes known so far only those of the batch are looked up
+    known = written(before.components(spark).join(ends, "node", "left_semi"), "grown-known")
+    of = lambda x, e: x.join(known.withColumnsRenamed({"node": e, "component": f"{e}_c"}), e, "left").withColumn(e, F.coalesce(f"{e}_c", e)).drop(f"{e}_c")
+    joined = written(components(of(of(pairs, "a"), "b"), "a", "b").withColumnRenamed("node", "root"), "grown-joined")
+    moved = joined.filter("root <> component")
+    if before.moves is not None:
+        old = before.moves.join(joined.select(F.col("root").alias("component"), F.col("component").alias("to")), "component", "left").select("root", F.coalesce("to", "component").alias("component"))
+        moved = old.unionByName(moved.join(before.moves.select("root"), "root", "left_anti"))
+    moves = written(moved, "grown-moves")
+    new = written(ends.join(known.select("node"), "node", "left_anti"), "grown-nodes")
+    # a new node is its own root: where the batch joined it to another, moves says so
+    new.select("node", F.col("node").alias("root")).write.mode("append").parquet(before.path)
+    return GrowingComponents(before.path, moves)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.communities import detect
+from loomspark.operators.components import grown
 from loomspark.operators.delta import GraphState, changed_state, first_state
 from loomspark.operators.graph import Graph
 from loomspark.operators.retrieval import nearest
@@ -261,3 +262,14 @@ def t1_late_and_cleared(spark, d):  # noqa: ANN001, ANN201
         told = running_history(spark.readStream.schema("session_id string, turn long, role string, content string").parquet(src), 1000)
         told.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(told.schema).parquet(out)
+
+
+# --- components of a growing graph -------------------------------------------------------------
+@query(ORACLES["a12_components"])
+def a12_growing_components(spark, d):  # noqa: ANN001, ANN201
+    """Components of all orders, added in three batches; the second and third join components of those before."""
+    o = written(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst")), "orders")
+    state = None
+    for i in range(3):
+        state = grown(o.filter(F.pmod(F.xxhash64("dst"), F.lit(3)) == i), before=state)
+    return state.components(spark)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomspark.operators import communities, graph, merge, retrieval
-from loomspark.operators.components import components
+from loomspark.operators.components import components, grown
 
 ENTITY = "name string, type string, description string, source_chunk string, ord long"
 RELATION = "source string, target string, relation_type string, description string, weight double, source_chunk string, ord long"
@@ -105,6 +105,18 @@ def test_louvain_beats_label_free_split(spark):
     assert len(set(member[:3])) == 1 and len(set(member[3:])) == 1 and member[0] != member[3]
 
 
+def test_components_of_a_growing_graph(spark):
+    """After each of several batches the same as a full run; a batch given twice changes nothing."""
+    r, edges, state = random.Random(3), [], None
+    for i in range(4):
+        batch = [(r.randrange(80), r.randrange(80)) for _ in range(14)] + [(None, 1), (5, None), (7, 7)]
+        edges += batch
+        for _ in range(1 + (i == 2)):
+            state = grown(spark.createDataFrame(batch, "src long, dst long"), before=state)
+        full = components(spark.createDataFrame(edges, "src long, dst long"))
+        assert sorted(map(tuple, state.components(spark).collect())) == sorted(map(tuple, full.collect()))
+
+
 def test_hierarchy(spark):
     g = path(spark)
     m = communities.hierarchy(g, min_size=2)
