@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from loomspark.functions.html import page
 from loomspark.functions.url import is_document, is_page, normalize_url, should_visit, visit_key
+from loomspark.operators.visited import Visited
 from loomspark.storage import written
 
 
@@ -100,7 +101,8 @@ def crawl(spark: SparkSession, start: list[str], pages: DataFrame, domain: str,
     seeds = spark.createDataFrame([(u,) for u in start], "url string")
     frontier = seeds.filter(should_visit(F.col("url"), F.lit(domain))).select(visit_key(F.col("url")).alias("key")).distinct()
     documents = seeds.filter(is_document(F.col("url"))).select(F.col("url").alias("document"))
-    seen, kept, budget = frontier, None, max_pages
+    seen, kept, budget = Visited(spark), None, max_pages
+    frontier = written(frontier, "crawl-frontier")
     for depth in range(max_depth + 1):
         got = written(web.join(frontier, "key", "left_semi").withColumn("page", page("html", "url", fields=("title", "chunks", "faqs", "links", "documents"))), "crawl")
         good = got.filter((F.size("page.chunks") >= 3) | (F.size("page.faqs") >= 1)).orderBy("key").limit(budget).select("url", F.lit(depth).alias("depth"), "page")
@@ -111,11 +113,12 @@ def crawl(spark: SparkSession, start: list[str], pages: DataFrame, domain: str,
         budget -= good.count()
         if budget <= 0 or depth == max_depth:
             break
+        seen.add(frontier)
         found = got.select(F.explode("page.links").alias("url")).filter(should_visit(F.col("url"), F.lit(domain)))
-        frontier = written(found.select(visit_key(normalize_url(F.col("url"))).alias("key")).distinct().join(seen, "key", "left_anti"), "crawl-frontier")
+        frontier = written(seen.unseen(found.select(visit_key(normalize_url(F.col("url"))).alias("key"))), "crawl-frontier")
         if frontier.isEmpty():
             break
-        seen = written(seen.union(frontier), "crawl-seen")
+    seen.close()
     return kept, documents
 
 

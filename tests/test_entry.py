@@ -3,7 +3,7 @@ import importlib
 import duckdb
 import pytest
 
-from loomspark.plans import catalog, catalog_index, catalog_more  # noqa: F401
+from loomspark.plans import catalog, catalog_crawl, catalog_index, catalog_more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 D = "/root/testdata/sf0.001"
