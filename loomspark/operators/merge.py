@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import normalize_name, strip
 
+#: Descriptions of a key that are folded by plain search; characters of a block of the text, the first that fits; places from which on plain search is as good.
+FEW, SIZES, MANY_PLACES = 200, (16, 4), 1000
+
 
 def entity_rows(parsed: DataFrame) -> DataFrame:
     """(chunk_id, parsed) -> name, type, description, source_chunk, item: stripped; no type: Concept; empty names go."""
@@ -25,10 +29,54 @@ def relationship_rows(parsed: DataFrame) -> DataFrame:
     return kept.select(source.alias("source"), target.alias("target"), kind.alias("relation_type"), strip(F.coalesce("r.description", F.lit(""))).alias("description"), F.lit(1.0).alias("weight"), F.col("chunk_id").alias("source_chunk"), "item")
 
 
+def _within(text: str, part: str, blocks: dict[int, dict[str, list[int]]]) -> bool:
+    """Whether the text, which grows from call to call, contains the part, by blocks of its characters.
+
+    The text is cut every g characters. Where the part occurs, those of its pieces of g characters that lie on cuts
+    are blocks of the text; the rarest of them gives the few places to compare.
+    """
+    g = next((g for g in SIZES if len(part) >= 2 * g - 1), 0)
+    if not g:
+        return part in text
+    index = blocks.setdefault(g, {})
+    for at in range(blocks.setdefault(-g, {}).get("end", 0), len(text) - g + 1, g):
+        index.setdefault(text[at : at + g], []).append(at)
+    blocks[-g]["end"] = len(text) // g * g
+    for shift in range(g):
+        found = [(len(index.get(part[at : at + g], ())), at) for at in range(shift, len(part) - g + 1, g)]
+        count, at = min(found)
+        if count > MANY_PLACES:
+            return part in text
+        if any(place >= at and text.startswith(part, place - at) for place in index.get(part[at : at + g], ())):
+            return True
+    return False
+
+
+def fold_many(descriptions: list[str]) -> str:
+    """The fold of folded() for many descriptions."""
+    acc, blocks = "", {}
+    for d in descriptions:
+        if d and not _within(acc, d, blocks):
+            acc += " " + d
+            acc = acc.strip(" ")
+    return acc
+
+
 def folded(description: Column, order: Column) -> Column:
-    """Descriptions in order, each appended with a space unless empty or part of what is there."""
+    """Descriptions in order, each appended with a space unless empty or part of what is there.
+
+    More than FEW descriptions of one key are folded with an index of the text so far, so that the time grows with
+    their length, not with its square. The result is one text, so a key's distinct descriptions are held in one row.
+    """
     found = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.coalesce(description, F.lit("")).alias("d"))))
-    return F.aggregate(found, F.lit(""), lambda acc, x: F.when((x["d"] == "") | F.contains(acc, x["d"]), acc).otherwise(F.trim(F.concat(acc, F.lit(" "), x["d"]))))
+    few = F.size(found) <= FEW
+
+    @F.pandas_udf("string")
+    def many(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fold_many(list(x)) for x in rows], dtype=object)
+
+    plain = F.aggregate(F.when(few, found), F.lit(""), lambda acc, x: F.when((x["d"] == "") | F.contains(acc, x["d"]), acc).otherwise(F.trim(F.concat(acc, F.lit(" "), x["d"]))))
+    return F.coalesce(plain, many(F.when(~few, F.transform(found, lambda x: x["d"]))))
 
 
 def told_once(rows: DataFrame, key: list[str], order: str, firsts: list[str], sums: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import normalize_name
+from loomspark.storage import written
 
 #: Rows of a block of vectors or queries in a search for many.
 BLOCK = 4096
+#: Nodes of a word from which on it is frequent.
+FREQUENT = 256
 
 
 def _tokens(c: Column) -> Column:
@@ -22,22 +25,53 @@ def node_tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", "ord", F.size(_tokens(F.col("node_id"))).alias("n_words"), F.explode(_tokens(F.col("node_id"))).alias("token"))
 
 
-def match_terms(terms: DataFrame, nodes: DataFrame, top: int = 5) -> DataFrame:
+def match_terms(terms: DataFrame, nodes: DataFrame, top: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """terms(term_pos, term) -> term_pos, term, node_id, overlap, score, rank.
 
     A term that is a node matches it alone; otherwise nodes that share words of more than two letters, by
-    (shared words, share of the node's words, order), the top of them.
+    (shared words, share of the node's words, order), the top of them. A word that more than ``frequent`` nodes have
+    does not bring all of them to every term: see _frequent_hits().
     """
     named = terms.withColumn("key", normalize_name(F.col("term")))
     exact = named.join(nodes.select("node_id", "ord"), F.col("key") == F.col("node_id")).select("term_pos", "term", "node_id", F.size(_tokens(F.col("key"))).alias("overlap"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     rest = named.join(exact.select("term_pos"), "term_pos", "left_anti")
     words = rest.select("term_pos", "term", F.explode(F.filter(_tokens(F.col("key")), lambda w: F.length(w) > 2)).alias("token"))
-    hits = words.join(node_tokens(nodes), "token").groupBy("term_pos", "term", "node_id", "n_words", "ord").agg(F.count("*").cast("int").alias("overlap"))
+    postings = node_tokens(nodes)
+    counts = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    often = written(counts.filter(F.col("count") > frequent).select("token"), "frequent-words")
+    key = ["term_pos", "term", "node_id", "n_words", "ord"]
+    if often.isEmpty():
+        hits = words.join(postings, "token").groupBy(*key).agg(F.count("*").cast("int").alias("overlap"))
+    else:
+        hits = _frequent_hits(words, postings, often, key, top)
     scored = hits.withColumn("score", F.col("overlap") / F.greatest("n_words", F.lit(1)))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("term_pos").orderBy(F.desc("overlap"), F.desc("score"), "ord")))
     return exact.unionByName(ranked.filter(F.col("rank") <= top).select(exact.columns))
 
 
+def _frequent_hits(words: DataFrame, postings: DataFrame, often: DataFrame, key: list[str], top: int) -> DataFrame:
+    """The nodes that may be among a term's top, with the number of shared words, without the long lists of frequent words.
+
+    Nodes are put into kinds by the frequent words they have. Of those that share no rare word with a term, all of
+    one kind share equally many words with it, so that the first of each kind, by words and order, hold every one that can
+    be among the top. A kind's first are found once, whatever the number of terms. Nodes that share a rare word come from its
+    short list, and count the frequent words of their kind.
+    """
+    kind = postings.join(often, "token", "left_semi").groupBy("node_id", "n_words", "ord").agg(F.array_sort(F.collect_set("token")).alias("kind"))
+    kind = written(kind, "node-kinds")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("n_words", "ord"))
+    first = kind.withColumn("place", place).filter(F.col("place") <= top).groupBy("kind").agg(F.collect_list(F.struct("node_id", "n_words", "ord")).alias("nodes"))
+    asked = written(words.join(often, "token", "left_semi"), "frequent-asked")
+    by_kind = asked.join(first.withColumn("token", F.explode("kind")), "token").groupBy("term_pos", "term", "kind").agg(F.count("*").cast("int").alias("overlap"), F.first("nodes").alias("nodes"))
+    heads = by_kind.select("term_pos", "term", "overlap", F.inline("nodes"))
+    rare = words.join(often, "token", "left_anti").join(postings, "token").groupBy(*key).agg(F.count("*").cast("int").alias("rare"))
+    common = asked.groupBy("term_pos").agg(F.collect_set("token").alias("common"))
+    both = rare.join(common, "term_pos", "left").join(kind.select("node_id", "kind"), "node_id", "left")
+    shared = F.coalesce(F.size(F.array_intersect("kind", "common")), F.lit(0))
+    full = both.select(*key, (F.col("rare") + F.greatest(shared, F.lit(0))).alias("overlap"))
+    return heads.select(*key, "overlap").unionByName(full).groupBy(*key).agg(F.max("overlap").alias("overlap"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x)

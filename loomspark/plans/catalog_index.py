@@ -11,7 +11,8 @@ from loomspark.operators.communities import detect
 from loomspark.operators.components import grown
 from loomspark.operators.delta import GraphState, changed_state, first_state
 from loomspark.operators.graph import Graph
-from loomspark.operators.retrieval import nearest
+from loomspark.operators.merge import merge_entities
+from loomspark.operators.retrieval import match_terms, nearest
 from loomspark.operators.vector_index import VectorIndex, build_vector_index, open_vector_index, recall, search_index
 from loomspark.plans import catalog_more  # noqa: F401  registers j12_nearest
 from loomspark.plans.catalog import FOLD, G, ORACLES, entities, graph, messages, query, relations, table
@@ -273,3 +274,35 @@ def a12_growing_components(spark, d):  # noqa: ANN001, ANN201
     for i in range(3):
         state = grown(o.filter(F.pmod(F.xxhash64("dst"), F.lit(3)) == i), before=state)
     return state.components(spark)
+
+
+# --- hot keys ----------------------------------------------------------------------------------
+TOLD = (
+    "told as (select case when c_custkey % 2 = 0 then 'all' else 'nation ' || c_nationkey end as node_id, case c_custkey % 3 when 0 then c_name || ' of ' || c_mktsegment when 1 then right(c_name, 5) || ' of' else left(c_name, 9) || c_custkey % 1000 || ' ' end as description, c_custkey as ord from customer)"
+)
+
+
+@query(f"with {TOLD} select node_id, {FOLD} as description, min(ord) as ord from told group by 1")
+def a1_hot_name(spark, d):  # noqa: ANN001, ANN201
+    """One name has half of all rows, most with a description of their own, some of them part of what was told before."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat("c_name", F.lit(" of "), "c_mktsegment")).when(k % 3 == 1, F.concat(F.right("c_name", F.lit(5)), F.lit(" of"))).otherwise(F.concat(F.left("c_name", F.lit(9)), (k % 1000).cast("string"), F.lit(" ")))
+    name = F.when(k % 2 == 0, "all").otherwise(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")))
+    rows = table(spark, d, "customer").select(name.alias("name"), F.lit("T").alias("type"), text.alias("description"), F.lit("c").alias("source_chunk"), k.alias("ord"))
+    return merge_entities(rows).select("node_id", "description", "ord")
+
+
+@query(
+    """with nodes as (select p_name || ' ' || lower(p_type) || ' n' || lpad(p_partkey::varchar, 8, '0') as node_id, p_partkey as ord from part),
+ tok as (select node_id, ord, len(list_distinct(string_split(node_id, ' '))) as n_words, unnest(list_distinct(string_split(node_id, ' '))) as token from nodes),
+ asked as (select ord as term_pos, token from tok where token not like 'n0%' or ord % 3 <> 0), hits as (select term_pos, node_id, n_words, ord, count(*) as overlap from asked join tok using (token) where length(token) > 2 group by all),
+ ranked as (select *, row_number() over (partition by term_pos order by overlap desc, overlap / n_words desc, ord) as rank from hits)
+ select term_pos, node_id, overlap, overlap / n_words as score, rank from ranked where rank <= 5"""
+)
+def j7_every_name(spark, d):  # noqa: ANN001, ANN201
+    """The words of every node as a term, every third without its own number: all other words are those of many nodes."""
+    k = F.col("p_partkey")
+    name, number = F.concat_ws(" ", "p_name", F.lower("p_type")), F.concat(F.lit("n"), F.lpad(k.cast("string"), 8, "0"))
+    nodes = table(spark, d, "part").select(F.concat_ws(" ", name, number).alias("node_id"), k.alias("ord"))
+    terms = table(spark, d, "part").select(k.alias("term_pos"), F.when(k % 3 == 0, F.concat(F.lit("about "), name)).otherwise(F.concat_ws(" ", F.lit("about"), name, number)).alias("term"))
+    return match_terms(terms, nodes, frequent=20).drop("term")

@@ -222,6 +222,38 @@ def test_descriptions_with_outer_spaces_fold_as_they_come(spark):
     assert got == want
 
 
+def test_folds_of_many_descriptions(spark):
+    """A hot key by its index, others by plain search: both as a loop over the definition."""
+    r = random.Random(3)
+    words = ["alpha", "be", "gamma delta", "epsilon", " z", "é"]
+    rows, want = [], {}
+    for i in range(1500):
+        name = "hot" if i % 5 else f"n{i % 7}"
+        acc = want.get(name, "")
+        at, n = r.randrange(max(1, len(acc))), r.choice((1, 5, 8, 20, 40))
+        d = None if i % 97 == 0 else acc[at : at + n] if r.random() < 0.4 else " ".join(r.choices(words, k=r.randrange(9))) + r.choice(("", str(i)))
+        rows.append((name, "T", d, f"c{i}", i))
+        want[name] = acc if not d or d in acc else (acc + " " + d).strip(" ")
+    got = {x.node_id: x.description for x in merge.merge_entities(spark.createDataFrame(rows, ENTITY).repartition(5)).collect()}
+    assert got == want
+    assert len({d for n, _, d, _, _ in rows if n == "hot"}) > merge.FEW
+    assert merge.merge_entities(spark.createDataFrame([], ENTITY)).count() == 0
+
+
+def test_terms_of_frequent_words(spark):
+    """With any bound of frequent words the result is the one of all lists."""
+    r = random.Random(4)
+    words = ["big", "red", "ring", "box", "of", "x1y", "blue", *(f"rare{i}" for i in range(40))]
+    weights = [20, 15, 12, 10, 9, 6, 5, *([1] * 40)]
+    name = lambda: " ".join(r.choices(words, weights, k=r.randrange(1, 6)))
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(name() for _ in range(300)))], "node_id string, ord long")
+    terms = spark.createDataFrame([(i, None if i == 7 else "" if i == 8 else "none " + name()) for i in range(60)], "term_pos int, term string")
+    rows = lambda frequent: sorted(map(tuple, retrieval.match_terms(terms, nodes, frequent=frequent).collect()))
+    want = rows(10**6)
+    assert rows(15) == want and rows(0) == want and len(want) > 200
+    assert retrieval.match_terms(terms.limit(0), nodes, frequent=0).count() == 0 == retrieval.match_terms(terms, nodes.limit(0)).count()
+
+
 def test_dedup_by_order(spark):
     from loomspark.operators.dedup import first_of_each, without_repeats
 
