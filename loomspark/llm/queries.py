@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontamination
+from loomspark.llm import decontamination, url_filter
 from loomspark.llm.erasure import cascade, digests, erased_tables
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.hard_negatives import mine, prepared
@@ -19,7 +19,7 @@ from loomspark.llm.pii import KINDS, find_pii
 from loomspark.llm.quality import fit, score
 from loomspark.llm.secret_scan import find_secrets
 from loomspark.llm.substring_dedup import repeated_spans
-from loomspark.llm.url_filter import JUNK, PATTERN_RULES, host_path_rule, judge_urls
+from loomspark.llm.url_filter import PATTERN_RULES, host_path_rule, judge_urls
 
 URL_RULES = tuple(host_path_rule(t, a) for t, a in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
 
@@ -41,13 +41,15 @@ with u as (select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://(
  r(rule, h, p, verdict) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
  f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
 select page_id, host, path, rule, coalesce(verdict, case when
-  regexp_matches(l, '(?s)^([^#]*[.-])?(JUNK)[0-9]*([.-][^#]*)?#') or regexp_matches(l, '(?s)#(.*[/._-])?(JUNK)([/._-].*)?$')
+  regexp_matches(l, '(?s)^([^#]*[.-])?((JUNK)[0-9]|(JUNK)-?(LURES)|(LURES)-?(JUNK))[0-9]*([.-][^#]*)?#') or regexp_matches(l, '(?s)^([^#]*[.-])?(JUNK)([.-][^#]*)?#/(.*/)?(ACTS)([/._-].*)?$')
+  or regexp_matches(l, '(?s)#(.*/)?(PUSHES)[-_](LURES)[-_](JUNK)([/._-].*)?$') or regexp_matches(l, '(?s)^([^#]*[.])?(AD_HOSTS)[0-9]*[.][^#]*#/(.*/)?(AD_PATHS)([/._-].*)?$')
   or regexp_matches(l, '(?s)#.*/wp-(admin|login|json|cron)([/.].*)?$') or regexp_matches(l, '(?s)#(.*/)?cgi-bin/') or regexp_matches(l, '(?s)#(.*/)?calendar/[0-9]{4}([/-][0-9]{1,2}){1,2}/?$')
-  or regexp_matches(l, '(?s)#(.*/)?page/[0-9]{3,}/?$') or regexp_matches(l, '(?s)#.*;jsessionid=[0-9a-f]+') or regexp_matches(l, '(?s)#(.*/)?(feed|rss|atom)([.]xml)?/?$')
-  or regexp_matches(l, '(?s)#(.*/)?tag/[^/]+/page/[0-9]+/?$') or regexp_matches(l, '(?s)#(.*/)?(cart|checkout|basket)/(add|item|step)([^a-z].*)?$')
-  or regexp_matches(l, '(?s)^([^#]*[.])?(ads?|track|trk|click|redirect)[0-9]*[.][^#]*#') or regexp_matches(l, '^[0-9]+([.][0-9]+){3}(:[0-9]+)?#')
+  or regexp_matches(l, '(?s)#(.*/)?page/[0-9]{3,}/?$') or regexp_matches(l, '(?s)#.*;jsessionid=[0-9a-f]+') or regexp_matches(l, '(?s)#(.*/)?((feed|rss|atom)[.]xml|(blog|comments|posts)/feed/?)$')
+  or regexp_matches(l, '(?s)#(.*/)?tag/[^/]+/page/[0-9]+/?$') or regexp_matches(l, '(?s)#(.*/)?(cart|checkout|basket)/(add|item|step)([^a-z].*)?$') or regexp_matches(l, '^[0-9]+([.][0-9]+){3}(:[0-9]+)?#')
   then 'block' else 'allow' end) as verdict
-from (select *, host || '#' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from u) left join f using (page_id)""".replace("JUNK", "|".join(JUNK))
+from (select *, host || '#' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from u) left join f using (page_id)"""
+for _name in ("AD_HOSTS", "AD_PATHS", "JUNK", "LURES", "ACTS", "PUSHES"):
+    ORACLES["op4_url_filter"] = ORACLES["op4_url_filter"].replace(f"({_name})", f"({'|'.join(getattr(url_filter, _name))})")
 ORACLES["op5_ngram_join"] = rf"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
  s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) when len(w) > 0 then [list_aggregate(w, 'string_agg', ' ')] else [] end) as s from w),

@@ -60,15 +60,41 @@ def lowered(text: str) -> str:
     return text.translate(_FOLD)
 
 
-#: Words that name junk sites, and where a URL has to hold one: as a part of the host or as a part of
-#: the path between separators, with digits after it or without.
+#: Words of the trades of junk sites. Alone they block nothing: pages about these things have them too.
 JUNK = (
     "adult", "bet", "betting", "bingo", "camgirls", "casino", "cheapmeds", "clickbait", "crack", "dating", "escort", "essaymill", "exploit", "fakenews", "forex", "freemoney", "gambling", "hentai", "hookup", "jackpot",
     "keygen", "linkfarm", "loans", "lottery", "malware", "nulled", "payday", "pharmacy", "phishing", "pills", "poker", "porn", "replica", "roulette", "scam", "serials", "sex", "slots", "spam", "spyware",
     "streamfree", "sweepstakes", "torrent", "torrents", "viagra", "warez", "webcam", "xxx",
 )
-#: {0}: the word. Hosts end at #, paths start with / and end with the URL.
-SHAPES = (r"\A(?:[^#]*[.-])?{0}[0-9]*(?:[.-][^#]*)?#", r"#(?:.*[/._-])?{0}(?:[/._-].*)?\Z")
+#: Words that such sites put beside them in a host; what their paths ask for; what opens the names of their pages.
+LURES = (
+    "best", "big", "bonus", "buy", "cheap", "club", "discount", "download", "easy", "farm", "fast", "free", "hot", "instant", "live", "lucky", "mega", "now", "online", "play", "pro", "real", "royal", "sale", "shop", "site",
+    "top", "vip", "win", "zone",
+)
+ACTS = ("affiliate", "bonus", "coupon", "deposit", "freespins", "invite", "jackpot", "promo", "signup", "spin")
+PUSHES = ("buy", "get", "order", "play", "watch")
+#: Hosts of advertisements, and what their paths do.
+AD_HOSTS, AD_PATHS = ("ad", "ads", "track", "trk", "click", "redirect"), ("click", "go", "imp", "out", "pixel", "redir", "redirect", "serve", "track")
+
+
+def junk_shapes() -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(pattern, literal tokens) of families that take several words, or a word and digits, in certain places. Hosts end at #."""
+    host, end = r"\A(?:[^#]*[.-])?", r"(?:[.-][^#]*)?#"
+    for junk in JUNK:
+        yield f"{host}{junk}[0-9]+{end}", (junk,)
+        for lure in LURES:
+            for x, y in ((junk, lure), (lure, junk)):
+                yield f"{host}{x}-{y}[0-9]*{end}", (x, y)
+                yield f"{host}{x}{y}[0-9]*{end}", (x + y,)
+            for push in PUSHES:
+                yield rf"#(?:.*/)?{push}[-_]{lure}[-_]{junk}(?:[/._-].*)?\Z", (push, lure, junk)
+        for act in ACTS:
+            yield rf"{host}{junk}{end}/(?:.*/)?{act}(?:[/._-].*)?\Z", (junk, act)
+    for x in AD_HOSTS:
+        for act in AD_PATHS:
+            yield rf"\A(?:[^#]*\.)?{x}[0-9]*\.[^#]*#/(?:.*/)?{act}(?:[/._-].*)?\Z", (x, act)
+
+
 #: Pages that hold no text of their own, by (pattern, literal tokens that fitting URLs have).
 PAGE_SHAPES = (
     *((rf"#.*/wp-{x}(?:[/.].*)?\Z", ("wp", x)) for x in ("admin", "login", "json", "cron")),
@@ -76,14 +102,14 @@ PAGE_SHAPES = (
     (r"#(?:.*/)?calendar/[0-9]{4}(?:[/-][0-9]{1,2}){1,2}/?\Z", ("calendar",)),
     (r"#(?:.*/)?page/[0-9]{3,}/?\Z", ("page",)),
     (r"#.*;jsessionid=[0-9a-f]+", ("jsessionid",)),
-    *((rf"#(?:.*/)?{x}(?:\.xml)?/?\Z", (x,)) for x in ("feed", "rss", "atom")),
+    *((rf"#(?:.*/)?{x}\.xml\Z", (x, "xml")) for x in ("feed", "rss", "atom")),
+    *((rf"#(?:.*/)?{x}/feed/?\Z", (x, "feed")) for x in ("blog", "comments", "posts")),
     (r"#(?:.*/)?tag/[^/]+/page/[0-9]+/?\Z", ("tag", "page")),
     *((rf"#(?:.*/)?{x}/(?:add|item|step)(?:[^a-z].*)?\Z", (x,)) for x in ("cart", "checkout", "basket")),
-    *((rf"\A(?:[^#]*\.)?{x}[0-9]*\.[^#]*#", (x,)) for x in ("ad", "ads", "track", "trk", "click", "redirect")),
     (r"\A[0-9]+(?:\.[0-9]+){3}(?::[0-9]+)?#", ()),
 )
-#: The method's own verdicts where no given rule fits.
-PATTERN_RULES = tuple(Rule(None, "block", pattern, tokens, 0, True) for pattern, tokens in (*((shape.format(w), (w,)) for w in JUNK for shape in SHAPES), *PAGE_SHAPES))
+#: The method's own verdicts where no given rule fits: some 13,000 rules.
+PATTERN_RULES = tuple(Rule(None, "block", pattern, tokens, 0, True) for pattern, tokens in (*junk_shapes(), *PAGE_SHAPES))
 
 
 def host_of(url: Column) -> Column:
@@ -125,8 +151,15 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
 
     @F.pandas_udf("rule string, verdict string")
     def judged(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        ready = {t: [(r.length, r.action == "block", r.name or "", r, re.compile(r.pattern, re.S)) for r in found] for t, found in index.items()}
+        ready = {t: [(r.length, r.action == "block", r.name or "", r) for r in found] for t, found in index.items()}
         always = ready.get("", [])
+        compiled: dict[str, re.Pattern] = {}  # of rules that were fetched; most never are
+
+        def fits(rule: Rule, url: str) -> bool:
+            if rule.pattern not in compiled:
+                compiled[rule.pattern] = re.compile(rule.pattern, re.S)
+            return compiled[rule.pattern].search(url) is not None
+
         for hosts, paths in series:
             out = []
             for host, path in zip(hosts, paths, strict=True):
@@ -135,7 +168,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
                 best = None
                 candidates = always + [c for t in set(TOKEN.findall(low)) for c in ready.get(t, ())]
                 for c in candidates:
-                    if (best is None or c[:3] > best[:3]) and c[4].search(low if c[3].fold else url):
+                    if (best is None or c[:3] > best[:3]) and fits(c[3], low if c[3].fold else url):
                         best = c
                 out.append((None, default) if best is None else (best[3].name, best[3].action))
             yield pd.DataFrame(out, columns=["rule", "verdict"])
