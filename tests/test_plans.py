@@ -28,6 +28,11 @@ def test_corpus_sources(spark, tmp_path):
     assert corpus.json_text('{"text_chunks": ["a", "b"], "faqs": null}') == "a\n\nb" and corpus.json_text("[1, 2]") == "1\n\n2" and corpus.json_text("{") == ""
     maps = spark.createDataFrame([("i", "<sitemapindex><loc>m</loc></sitemapindex>"), ("m", "<urlset><loc> u1 </loc><loc>u2</loc></urlset>")], "url string, xml string")
     assert {tuple(r) for r in corpus.read_sitemaps(maps).collect()} == {("i", "u1"), ("i", "u2")}
+    index = lambda *xs: "<sitemapindex>" + "".join(f"<loc>{x}</loc>" for x in xs) + "</sitemapindex>"
+    page = lambda x: f"<urlset><loc>{x}</loc></urlset>"
+    nested = [("top", index("a", "missing", "mid", "cut")), ("a", page("pa")), ("mid", index("in", "mid", "x1", "x2")), ("in", index("deep")), ("deep", page("pd")), ("x1", page("p1")), ("x2", page("p2")), ("own", page("po")), ("none", None)]
+    got = {tuple(r) for r in corpus.read_sitemaps(spark.createDataFrame(nested, "url string, xml string"), max_children=3).collect()}
+    assert got == {("top", "pa"), ("top", "pd"), ("top", "p1"), ("x2", "p2"), ("own", "po")}
 
 
 def test_index_and_search(spark):
