@@ -54,22 +54,27 @@ def _frequent_hits(words: DataFrame, postings: DataFrame, often: DataFrame, key:
 
     Nodes are put into kinds by the frequent words they have. Of those that share no rare word with a term, all of
     one kind share equally many words with it, so that the first of each kind, by words and order, hold every one that can
-    be among the top. A kind's first are found once, whatever the number of terms. Nodes that share a rare word come from its
-    short list, and count the frequent words of their kind.
+    be among the top. A kind's first are found once, whatever the number of terms. So are the kinds of terms that ask for the
+    same frequent words: only the kinds whose first node is among the top can hold another of these. Nodes that share
+    a rare word come from its short list, and count the frequent words of their kind.
     """
     kind = postings.join(often, "token", "left_semi").groupBy("node_id", "n_words", "ord").agg(F.array_sort(F.collect_set("token")).alias("kind"))
     kind = written(kind, "node-kinds")
     place = F.row_number().over(Window.partitionBy("kind").orderBy("n_words", "ord"))
-    first = kind.withColumn("place", place).filter(F.col("place") <= top).groupBy("kind").agg(F.collect_list(F.struct("node_id", "n_words", "ord")).alias("nodes"))
-    asked = written(words.join(often, "token", "left_semi"), "frequent-asked")
-    by_kind = asked.join(first.withColumn("token", F.explode("kind")), "token").groupBy("term_pos", "term", "kind").agg(F.count("*").cast("int").alias("overlap"), F.first("nodes").alias("nodes"))
-    heads = by_kind.select("term_pos", "term", "overlap", F.inline("nodes"))
+    first = kind.withColumn("place", place).filter(F.col("place") <= top).select("kind", "place", "node_id", "n_words", "ord")
+    first = written(first, "kind-first")
+    common = written(words.join(often, "token", "left_semi").groupBy("term_pos", "term").agg(F.array_sort(F.collect_set("token")).alias("common")), "frequent-asked")
+    asked = common.select("common").distinct().select("common", F.explode("common").alias("token"))
+    heads = first.filter("place = 1").drop("place", "node_id").withColumn("token", F.explode("kind"))
+    best = lambda by: F.row_number().over(Window.partitionBy("common").orderBy(F.desc("overlap"), "n_words", "ord")) <= by
+    kinds = asked.join(heads, "token").groupBy("common", "kind", "n_words", "ord").agg(F.count("*").cast("int").alias("overlap"))
+    kinds = kinds.withColumn("in", best(top)).filter("in").select("common", "kind", "overlap")
+    tops = kinds.join(first, "kind").withColumn("in", best(top)).filter("in").select("common", "overlap", "node_id", "n_words", "ord")
     rare = words.join(often, "token", "left_anti").join(postings, "token").groupBy(*key).agg(F.count("*").cast("int").alias("rare"))
-    common = asked.groupBy("term_pos").agg(F.collect_set("token").alias("common"))
-    both = rare.join(common, "term_pos", "left").join(kind.select("node_id", "kind"), "node_id", "left")
+    both = rare.join(common.select("term_pos", "common"), "term_pos", "left").join(kind.select("node_id", "kind"), "node_id", "left")
     shared = F.coalesce(F.size(F.array_intersect("kind", "common")), F.lit(0))
     full = both.select(*key, (F.col("rare") + F.greatest(shared, F.lit(0))).alias("overlap"))
-    return heads.select(*key, "overlap").unionByName(full).groupBy(*key).agg(F.max("overlap").alias("overlap"))
+    return common.join(tops, "common").select(*key, "overlap").unionByName(full).groupBy(*key).agg(F.max("overlap").alias("overlap"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

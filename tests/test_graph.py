@@ -254,6 +254,29 @@ def test_terms_of_frequent_words(spark):
     assert retrieval.match_terms(terms.limit(0), nodes, frequent=0).count() == 0 == retrieval.match_terms(terms, nodes.limit(0)).count()
 
 
+def shuffled(spark, run):
+    """Rows that the stages of run() write to shuffles."""
+    store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def rows():
+        stages = store.stageList(None, False, False, empty, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = rows()
+    run()
+    return rows() - before
+
+
+def test_terms_of_the_same_frequent_words(spark):
+    """Terms that ask for the same frequent words do not meet every kind of node one by one."""
+    nodes = spark.range(3000).selectExpr("concat('aaa', id % 10, ' bbb', id div 10 % 10, ' ccc', id div 100 % 10) as node_id", "id as ord").groupBy("node_id").agg(F.min("ord").alias("ord"))
+    terms = spark.range(1500).selectExpr("cast(id as int) as term_pos", "concat('no aaa', id % 10, ' bbb', id div 10 % 10) as term")
+    found = []
+    rows = shuffled(spark, lambda: found.extend(retrieval.match_terms(terms, nodes, frequent=20).collect()))
+    assert len(found) == 5 * 1500 and {r.overlap for r in found} == {2}
+    assert rows < 1500 * 50  # each term meets the 190 kinds of its two words otherwise
+
+
 def test_dedup_by_order(spark):
     from loomspark.operators.dedup import first_of_each, without_repeats
 
