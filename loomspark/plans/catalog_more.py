@@ -25,7 +25,7 @@ from loomspark.plans.index_build import extraction_counts, extractions, load, st
 from loomspark.plans.search import Corpus, combined_search, global_search, local_search, most_connected, nearest_neighbours, relevant_nodes
 from loomspark.sources import store as stores
 from loomspark.sources.corpus import chunk_documents, filter_questions, json_document, read_documents, read_questions
-from loomspark.storage import fresh_path, written
+from loomspark.storage import dealt_out, fresh_path, written
 from loomspark.streaming.sessions import crawl, crawl_statistics, incremental_extraction, rate_limited, running_history, scrape_counts, scrape_list
 
 QUESTION = "What is Thnting and Eauouon?"
@@ -263,23 +263,24 @@ def _url() -> Column:
     return F.concat(F.lit("http://www.shop.example/p/"), F.col("p_partkey").cast("string"))
 
 
-def parts_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", page(_html(), _url()).alias("page"))
+def parts_as_pages(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The parts as pages, of which these fields are read."""
+    return dealt_out(table(spark, sf_dir, "part")).select("p_partkey", page(_html(), _url(), fields=fields).alias("page"))
 
 
 @query("select p_partkey, case when length(p_name) >= 15 then 'Section: ' || p_name || '|' else '' end || 'Brand' || p_brand || 'of size|Items: made of ' || p_type || ' mostly|Table data: Table columns: kind, size; kind: ' || p_type || ' | size: ' || p_size || '; alone|Definitions: What is it?: ' || p_type as chunks, p_name as title from part")
 def p19_blocks(spark, d):  # noqa: ANN001, ANN201
-    return parts_as_pages(spark, d).select("p_partkey", F.array_join("page.chunks", "|").alias("chunks"), "page.title")
+    return parts_as_pages(spark, d, "title", "chunks").select("p_partkey", F.array_join("page.chunks", "|").alias("chunks"), "page.title")
 
 
 @query("select p_partkey, 'Why ' || p_brand || '?' as question, 'Because ' || p_type || ' it is' as answer from part where length(p_type) + 14 > 20 union all select p_partkey, 'What is it?', p_type from part union all select p_partkey, 'Is it big?', 'It is ' || p_size || '. Yes. Indeed.' from part")
 def p20_faqs(spark, d):  # noqa: ANN001, ANN201
-    return parts_as_pages(spark, d).select("p_partkey", F.inline("page.faqs"))
+    return parts_as_pages(spark, d, "faqs").select("p_partkey", F.inline("page.faqs"))
 
 
 @query("select p_partkey, 'http://www.shop.example/a/' || p_partkey || ' http://shop.example/z http://www.shop.example/p/f.PDF' as links, 'http://www.shop.example/p/f.PDF' as documents from part")
 def p21_links(spark, d):  # noqa: ANN001, ANN201
-    return parts_as_pages(spark, d).select("p_partkey", F.array_join("page.links", " ").alias("links"), F.array_join("page.documents", " ").alias("documents"))
+    return parts_as_pages(spark, d, "links", "documents").select("p_partkey", F.array_join("page.links", " ").alias("links"), F.array_join("page.documents", " ").alias("documents"))
 
 
 MARKDOWN = """replace('# ' || p_name || '//Source: http://www.shop.example/p/' || p_partkey || '//# ' || p_name || '//Brand' || p_brand || 'of size/Brand' || p_brand || 'of size/- made of ' || p_type || ' mostly/- tiny/| kind /| size /| ' || p_type || ' /| ' || p_size || ' /| alone //## Is it big?//It is ' || p_size || './Yes./Indeed.//### End//Not this.', '/', chr(10))"""
@@ -287,7 +288,7 @@ MARKDOWN = """replace('# ' || p_name || '//Source: http://www.shop.example/p/' |
 
 @query(f"select p_partkey, replace({MARKDOWN}, 'http:' || chr(10) || chr(10) || 'www.shop.example' || chr(10) || 'p' || chr(10), 'http://www.shop.example/p/') as markdown from part")
 def p24_markdown(spark, d):  # noqa: ANN001, ANN201
-    return parts_as_pages(spark, d).select("p_partkey", "page.markdown")
+    return parts_as_pages(spark, d, "markdown").select("p_partkey", "page.markdown")
 
 
 @query("select p_partkey, '{\"source\":\"u' || p_partkey || '\",\"category\":\"parts\",\"title\":\"' || p_name || '\",\"scraped_at\":\"now\",\"text_chunks\":[\"' || p_type || ' is the kind of it\"],\"faqs\":null}' as json from part")

@@ -288,3 +288,27 @@ def test_question_tables(spark):
         for k in ("a", "d"):
             assert tuple(rows[k])[1:] == tuple(search.search(c, asked[k], mode).first())
     assert search.searches(c, q.limit(0)).count() == 0
+
+
+def test_pages_of_a_small_table_go_to_many_tasks(spark, tmp_path):
+    """A file of short rows is one task's; the pages made of them are read by more, scraped ones too."""
+    from loomspark.plans import catalog, catalog_more  # noqa: F401
+
+    source = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    source.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("p19_blocks", "p20_faqs", "p21_links", "p24_markdown", "k8_page_json", "s14_scrape_list"):
+        x = catalog.QUERIES[name](spark, str(tmp_path))
+        assert x.select(F.spark_partition_id().alias("p")).distinct().count() > 1, name
+
+
+def test_pages_come_in_small_batches(spark):
+    from loomspark.functions.html import page
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size, "10000")
+    try:
+        spark.conf.set(size, "10000")
+        page("html", "url")
+        assert int(spark.conf.get(size)) <= 1000
+    finally:
+        spark.conf.set(size, was)
