@@ -294,7 +294,7 @@ def p24_markdown(spark, d):  # noqa: ANN001, ANN201
 @query("select p_partkey, '{\"source\":\"u' || p_partkey || '\",\"category\":\"parts\",\"title\":\"' || p_name || '\",\"scraped_at\":\"now\",\"text_chunks\":[\"' || p_type || ' is the kind of it\"],\"faqs\":null}' as json from part")
 def k8_page_json(spark, d):  # noqa: ANN001, ANN201
     html = F.concat(F.lit("<title>"), "p_name", F.lit("</title><p>"), "p_type", F.lit(" is the kind of it</p>"))
-    x = table(spark, d, "part").select("p_partkey", page(html, F.lit("http://e.org/")).alias("page"))
+    x = dealt_out(table(spark, d, "part")).select("p_partkey", page(html, F.lit("http://e.org/"), fields=("title", "chunks", "faqs")).alias("page"))
     return x.select("p_partkey", stores.page_json(F.concat(F.lit("u"), F.col("p_partkey").cast("string")), F.lit("parts"), F.col("page"), F.lit("now")).alias("json"))
 
 
