@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState
 from loomspark.functions.html import page
 from loomspark.functions.url import is_document, is_page, normalize_url, should_visit, visit_key
 from loomspark.operators.visited import Visited
-from loomspark.storage import written
+from loomspark.storage import dealt_out, written
 
 
 def running_history(messages: DataFrame, n: int = 10, idle_ms: int | None = None) -> DataFrame:
@@ -137,7 +137,8 @@ def scrape_list(catalogue: DataFrame, web: DataFrame, done: DataFrame | None = N
     key = ["category", "subcategory", "name"]
     known = catalogue if done is None else catalogue.join(done.select(*key).distinct().withColumn("held", F.lit(True)), key, "left")
     held = F.lit(False) if done is None else F.coalesce("held", F.lit(False))
-    pages = known.withColumn("exists", held).join(web.select("url", "html"), "url", "left").withColumn("html", F.when(~F.col("exists"), F.col("html")))
+    # by number and merged: a web whose size is guessed from the table it is made of would be sent to every task, and few tasks would read it
+    pages = dealt_out(known.withColumn("exists", held), "url").join(web.select("url", "html").hint("merge"), "url", "left").withColumn("html", F.when(~F.col("exists"), F.col("html")))
     name = "full_markdown" if full else "markdown"
     form = page("html", "url", fields=(name,))[name]
     text = F.when(F.col("html").isNotNull(), form)
