@@ -76,13 +76,14 @@ def degrees(graph: Graph) -> DataFrame:
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, node_id, hop): nodes at distance 1..hops of each seed (column node_id), the seed left out.
 
-    The frontier is the small side; a visited pair is never expanded again.
+    The frontier is the small side; a visited pair is never expanded again. Seeds that have reached the same nodes
+    in a hop, as those around one hub do, are expanded once: see _expanded().
     """
     near = written(adjacency(edges), "adjacency")
     seen = written(seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("hop")).distinct(), "hop-0")
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = frontier.join(near, "node_id").select("seed", F.col("neighbour").alias("node_id")).distinct()
+        reached = frontier.join(near, "node_id").select("seed", F.col("neighbour").alias("node_id")).distinct() if hop == 1 else _expanded(frontier, near)
         # written, since each hop reads all before it: a lineage would double with every hop
         frontier = written(reached.join(seen, ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
         seen = seen.unionByName(frontier)
@@ -91,6 +92,26 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return seen.filter("hop > 0")
 
 
+def _expanded(frontier: DataFrame, near: DataFrame) -> DataFrame:
+    """(seed, node_id): what is next to the frontier(seed, node_id) of each seed.
+
+    Equal frontiers, known by their size and two hashes of 64 bits, are expanded for the first of their seeds. The paths
+    between seeds of one frontier and its neighbours are so never made, only the pairs that result.
+    """
+    spark = frontier.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node_id")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node_id")).alias("i")]
+    marks = written(frontier.groupBy("seed").agg(*mark), "frontier-marks")
+    heads = marks.groupBy("n", "h", "i").agg(F.min("seed").alias("head"))
+    same = written(marks.join(heads, ["n", "h", "i"]).select("seed", "head"), "frontier-heads")
+    one = frontier.join(same.select(F.col("head").alias("seed")).distinct(), "seed", "left_semi")
+    found = written(one.join(near, "node_id").select(F.col("seed").alias("head"), F.col("neighbour").alias("node_id")).distinct(), "frontier-expanded")
+    # a head of many seeds is many tasks', by node
+    part = F.pmod(F.xxhash64("node_id"), F.lit(tasks)).cast("int")
+    every = same.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return found.withColumn("part", part).join(every, ["head", "part"]).select("seed", "node_id")
+
+
 def induced(graph: Graph, keep: DataFrame) -> Graph:
     """The subgraph on the nodes of keep (column node_id)."""
     ids = keep.select("node_id").distinct()

@@ -277,6 +277,47 @@ def test_terms_of_the_same_frequent_words(spark):
     assert rows < 1500 * 50  # each term meets the 190 kinds of its two words otherwise
 
 
+def hubs(spark, leaves):
+    """Ten hubs, each next to all leaves but one, whose own differ; the first 100 leaves are the seeds."""
+    x = spark.range(leaves).crossJoin(spark.range(10).withColumnRenamed("id", "h")).filter("id <> h")
+    edges = x.selectExpr("concat('h', h) as src", "concat('l', lpad(id, 4, '0')) as dst")
+    return edges, spark.range(100).selectExpr("concat('l', lpad(id, 4, '0')) as node_id")
+
+
+def test_neighbours_behind_hubs(spark):
+    """Seeds that have the same hubs are expanded once, not along every path."""
+    edges, seeds = hubs(spark, 600)
+    found = []
+    rows = shuffled(spark, lambda: found.extend(graph.neighbours(edges, seeds).collect()))
+    near = graph.adjacency(edges).collect()
+    around = {}
+    for r in near:
+        around.setdefault(r.node_id, set()).add(r.neighbour)
+    want = set()
+    for s in (r.node_id for r in seeds.collect()):
+        want |= {(s, x, 1) for x in around[s]} | {(s, y, 2) for x in around[s] for y in around[x] if y != s and y not in around[s]}
+    assert {(r.seed, r.node_id, r.hop) for r in found} == want and len(found) == len(want)
+    assert rows < 40_000
+
+
+def test_nearest_neighbours_behind_hubs(spark):
+    """The first few neighbours are those of all of them, and no hub brings all it has."""
+    from pyspark.sql import Window
+
+    from loomspark.plans.search import nearest_neighbours
+
+    edges, seeds = hubs(spark, 600)
+    ends = graph.adjacency(edges).groupBy("node_id").agg(F.count("*").alias("degree"))
+    degrees = ends.withColumn("ord", F.xxhash64("node_id"))
+    r = F.row_number().over(Window.partitionBy("seed").orderBy("hop", F.desc("degree"), "ord"))
+    for n, hops in ((25, 2), (25, 3), (5, 2), (1, 1)):
+        want = graph.neighbours(edges, seeds, hops).join(degrees, "node_id").withColumn("r", r).filter(F.col("r") <= n).select("seed", "node_id", "hop")
+        found = []
+        rows = shuffled(spark, lambda: found.extend(nearest_neighbours(edges, seeds, degrees, n, hops).collect()))  # noqa: B023
+        assert sorted(map(tuple, found)) == sorted(map(tuple, want.collect())) and len(found) == 100 * n
+        assert rows < 60_000  # the pairs within two hops are more
+
+
 def test_dedup_by_order(spark):
     from loomspark.operators.dedup import first_of_each, without_repeats
 
