@@ -15,7 +15,7 @@ from loomspark.functions.url import authority, excluded, is_document, is_page, n
 from loomspark.operators import communities, evaluation
 from loomspark.operators.components import components
 from loomspark.operators.dedup import first_of_each, question_key, without_repeats
-from loomspark.operators.graph import Graph, degrees, entity, neighbours, node, undirected
+from loomspark.operators.graph import Graph, degrees, entity, node, undirected
 from loomspark.operators.merge import entity_rows, merge_entities, merge_relationships, relationship_rows
 from loomspark.operators.retrieval import nearest
 from loomspark.plans import catalog as base
@@ -182,14 +182,14 @@ def l4_most_connected(spark, d):  # noqa: ANN001, ANN201
 @query(f"{G}, {ADJ} select * from near")
 def l6_nearest_neighbours(spark, d):  # noqa: ANN001, ANN201
     g = graph(spark, d)
-    return nearest_neighbours(neighbours(g.edges, g.nodes.filter("ord % 50 = 0"), 2), _degrees(g), 25)
+    return nearest_neighbours(g.edges, g.nodes.filter("ord % 50 = 0"), _degrees(g), 25)
 
 
 @query(f"{G}, {ADJ}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near) select node_id, max(hit) as hit, any_value(degree) as degree from mixed join deg using (node_id) join nodes using (node_id) group by 1 order by hit desc, degree desc, any_value(ord) limit 25")
 def l5_relevant_nodes(spark, d):  # noqa: ANN001, ANN201
     g = graph(spark, d)
     deg, seeds = _degrees(g), g.nodes.filter("ord % 50 = 0")
-    near = nearest_neighbours(neighbours(g.edges, seeds, 2), deg, 25)
+    near = nearest_neighbours(g.edges, seeds, deg, 25)
     return relevant_nodes(seeds, near, deg, 25).select("node_id", "hit", "degree")
 
 
