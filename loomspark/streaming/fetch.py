@@ -3,7 +3,8 @@
 The slots of a domain are a window over its open requests; a task takes the requests of its domains in order of slots,
 so that it waits for one domain only while none of the others is due. What was requested, and when, is appended
 to a log after each round. A run reads from it what is open and when a domain was last asked, so a run that
-was stopped goes on where the last whole round ended.
+was stopped goes on where the last whole round ended. Rounds double, so that their number, and how often the log
+is read, grows with the logarithm of a domain's requests.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import count
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -67,7 +69,7 @@ def http_fetch(headers: dict[str, str] | None = None, timeout: float = 30.0) ->
 
 @dataclass(frozen=True)
 class Manners:
-    """Seconds between requests of a domain; attempts of an address and the first pause before another; redirects followed; requests of a domain in a round."""
+    """Seconds between requests of a domain; attempts of an address and the first pause before another; redirects followed; requests of a domain in the first round of a run."""
 
     delay: float = 2.0
     attempts: int = 3
@@ -157,19 +159,20 @@ def _asked(fetch: Callable[[str], Response | None], manners: Manners, threads: i
 def fetch_all(urls: DataFrame, fetch: Callable[[str], Response | None], path: str, manners: Manners | None = None, threads: int = 8) -> DataFrame:
     """Ask for urls(url) until all have a last answer; the log at path. Returns outcomes() of these.
 
-    Rounds of at most round_requests of each domain. A domain's requests of a round are one task's, for their times
-    depend on each other. A lost task asks again for what it had; speculative execution would ask twice. Times of different
+    The first round takes at most round_requests of each domain, each further one twice as many as the one before. A domain's requests
+    of a round are one task's, for their times depend on each other, and there are no more tasks than cores: a task in a
+    second wave would let its domains wait for those of the first. A lost task asks again for what it had; speculative execution would ask twice. Times of different
     executors are compared, so clocks should agree to less than the delay. With an empty table nothing is asked.
     """
     manners = manners or Manners()
     spark = urls.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    while True:
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    for r in count():
         log = read_if_any(spark, path)
         todo = written(open_requests(urls, log, manners), "open-requests")
         if todo.isEmpty():
             break
-        planned = slots(todo, log, manners, time.time()).repartition(tasks, "domain").sortWithinPartitions("slot")
+        planned = slots(todo, log, replace(manners, round_requests=manners.round_requests << min(r, 32)), time.time()).repartition(tasks, "domain").sortWithinPartitions("slot")
         planned.mapInPandas(_asked(fetch, manners, threads), LOG).write.mode("append").parquet(path)
     return outcomes(urls, request_log(spark, path))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators.visited import Visited
+from loomspark.streaming import fetch
 from loomspark.streaming.fetch import Manners, Response, fetch_all, http_fetch, open_requests, request_log, shortest_gaps, slots
 
 
@@ -72,6 +73,17 @@ def test_delay_is_kept_over_runs_and_a_hot_domain_blocks_no_other(spark, tmp_pat
     assert log.filter(F.col("requested_at") > last_of_rest).filter("domain = 'hot.org'").count() >= 6
 
 
+def test_rounds_grow_with_the_logarithm(spark, tmp_path, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(fetch, "slots", lambda *a: rounds.append(a[2].round_requests) or slots(*a))
+    urls = spark.createDataFrame([(f"http://a/{i}",) for i in range(30)], "url string")
+    manners = Manners(delay=0.001, attempts=2, pause=0.0, round_requests=1)
+    answer = lambda u: Response(503) if u == "http://a/0" else Response(200, u)
+    got = fetch_all(urls, answer, str(tmp_path / "log"), manners)
+    assert got.filter("status = 200 and requests = 1").count() == 29 and got.filter("status = 503 and requests = 2").count() == 1
+    assert rounds == [1, 2, 4, 8, 16]
+
+
 def test_http(spark, tmp_path):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
