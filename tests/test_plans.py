@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import evaluation, quantiles
@@ -312,3 +313,20 @@ def test_pages_come_in_small_batches(spark):
         assert int(spark.conf.get(size)) <= 1000
     finally:
         spark.conf.set(size, was)
+
+
+def test_an_embedding_reads_its_text_once(spark):
+    from loomspark.plans import providers
+
+    texts = [("one two two Three",), ("",), (None,), ("x " * 300 + "y",)]
+    x = spark.createDataFrame(texts, "text string").select("text", providers.embed(F.col("text")).alias("v"))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    words = x.select("text", F.explode(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")).alias("w"))
+    counts = words.groupBy("text", F.pmod(F.xxhash64("w"), F.lit(providers.DIMENSIONS)).alias("b")).count().collect()
+    for r in x.filter("text is not null").collect():
+        plain = [0.0] * providers.DIMENSIONS
+        for c in counts:
+            if c.text == r.text:
+                plain[c.b] = c["count"]
+        norm = max(sum(c * c for c in plain) ** 0.5, 1e-9)
+        assert r.v == pytest.approx([c / norm for c in plain], abs=1e-6)
