@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from loomspark.operators.retrieval import nearest
 from loomspark.storage import written
 
-#: Rows of the sample for each list, rounds of k-means, rows of a part of a list, queries of a task.
+#: Rows of the sample for each list, rounds of k-means, rows of a part of a list and of the lists that one task of a search ranks, queries of a task.
 SAMPLE_PER_LIST, ROUNDS, PART_ROWS, QUERY_ROWS = 256, 8, 50_000, 4096
 #: Share of the true neighbours that the probed lists of a sample of vectors hold, its size; candidates that are ranked exactly, for each result asked for.
 RECALL, MEASURED, CANDIDATES = 0.95, 200, 8
+#: Distances that a task holds at once, candidates that it gathers before it keeps the best of each query.
+HELD = 4_000_000
 #: Most lists: centroids travel to every task, and lists are folders.
 MOST_LISTS = 16_384
 
@@ -154,7 +156,7 @@ def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def probes(index: VectorIndex, queries: DataFrame, probe: int) -> DataFrame:
-    """queries(query_id, query) -> (query_id, query, list, part) for every part of the nearest lists that have rows."""
+    """queries(query_id, query) -> (query_id, list, part) for every part of the nearest lists that have rows."""
     filled = np.array(sorted(index.parts))
     centroids = index.centroids[filled]
 
@@ -162,18 +164,93 @@ def probes(index: VectorIndex, queries: DataFrame, probe: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 lists = filled[_nearest_lists(_matrix(b.column("query")), centroids, min(probe, len(filled)))]
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("query"), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "query", "lists"])
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "lists"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = queries.mapInArrow(near, f"query_id {kind}, query array<double>, lists array<int>").select("query_id", "query", F.explode("lists").alias("list"))
+    found = queries.mapInArrow(near, f"query_id {kind}, lists array<int>").select("query_id", F.explode("lists").alias("list"))
     known = F.broadcast(queries.sparkSession.createDataFrame(list(index.parts.items()), "list int, parts int"))
-    return found.join(known, "list").select("query_id", "query", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return found.join(known, "list").select("query_id", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
 def exact_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _best(asking: np.ndarray, row: np.ndarray, rough: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """Which entries are among the first ``most`` of their query (asking), by rough distance, ties by place of the row's id."""
+    order = np.lexsort((place[row], rough, asking))
+    first = np.r_[True, np.diff(asking[order]) != 0] if len(order) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < most]
+
+
+def _ranked(centroids: np.ndarray, most: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The work of a task: of the codes of several lists the best for each query, which looks into some of these lists."""
+
+    def rank(codes: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.zeros(0))]
+        if not len(codes) or not len(asking):
+            return pd.DataFrame({"query_id": [], "list": [], "part": [], "id": [], "rough": []})
+        codes = codes.sort_values(["place", "id"], ignore_index=True)
+        place = np.empty(len(codes), np.int64)
+        place[np.argsort(codes["id"].to_numpy(), kind="stable")] = np.arange(len(codes))
+        places, starts = np.unique(codes["place"].to_numpy(), return_index=True)
+        ends = np.r_[starts[1:], len(codes)]
+        q = np.stack(asking["query"].to_list())
+        own = (q**2).sum(1)
+        who, where = np.repeat(np.arange(len(asking)), asking["places"].map(len)), np.concatenate(asking["places"].to_list())
+        who = who[np.argsort(where, kind="stable")]
+        where = np.sort(where, kind="stable")
+        gathered = 0
+        for at, lo, hi in zip(places, starts, ends, strict=True):
+            askers = who[np.searchsorted(where, at) : np.searchsorted(where, at, "right")]
+            if not len(askers):
+                continue
+            some = codes.iloc[lo:hi]
+            x = np.frombuffer(b"".join(some["code"]), np.int8).reshape(hi - lo, -1) * some["scale"].to_numpy()[:, None] + centroids[int(some["list"].iloc[0])]
+            norm, step = (x**2).sum(1), max(1, HELD // (hi - lo))
+            for i in range(0, len(askers), step):
+                these = askers[i : i + step]
+                d = norm[None, :] - 2 * q[these] @ x.T + own[these][:, None]
+                if most < hi - lo:
+                    r, c = np.nonzero(d <= np.partition(d, most - 1, 1)[:, most - 1 : most])
+                else:
+                    r, c = (m.ravel() for m in np.indices(d.shape))
+                found = these[r], lo + c, d[r, c]
+                if len(r) > most * len(these):  # equal distances
+                    kept = _best(*found, place, most)
+                    found = tuple(f[kept] for f in found)
+                pool.append(found)
+                gathered += len(found[0])
+                if gathered > HELD:
+                    every = tuple(np.concatenate(f) for f in zip(*pool, strict=True))
+                    kept = _best(*every, place, most)
+                    pool, gathered = [tuple(f[kept] for f in every)], 0
+        asked, row, rough = (np.concatenate(f) for f in zip(*pool, strict=True))
+        kept = _best(asked, row, rough, place, most)
+        out = codes[["list", "part", "id"]].iloc[row[kept]].reset_index(drop=True)
+        return out.assign(query_id=asking["query_id"].to_numpy()[asked[kept]], rough=rough[kept])[["query_id", "list", "part", "id", "rough"]]
+
+    return rank
+
+
+def shortlists(index: VectorIndex, stored: DataFrame, asked: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, list, part, id, rough): of the lists asked(query_id, list, part) the ``most`` nearest codes of each group of lists.
+
+    A group has about PART_ROWS rows, and is one task's for each block of queries: what a query brings grows with the groups, not the lists.
+    """
+    groups, blocks = (max(1, -(-x.count() // n)) for x, n in ((stored, PART_ROWS), (queries, QUERY_ROWS)))
+    group = F.pmod(F.xxhash64("list", "part"), F.lit(groups)).cast("int").alias("group")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    place = F.shiftleft(F.col("list").cast("long"), 32) + F.col("part")
+    left = stored.select("list", "part", "id", "code", "scale", group, place.alias("place"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.groupBy("query_id", group).agg(F.collect_list(place).alias("places")).join(queries, "query_id").select("*", block)
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (stored, "id"))]
+    keys = ["group", "block"]
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_ranked(index.centroids, most), f"query_id {kinds[0]}, list int, part int, id {kinds[1]}, rough double")
+
+
 def search_index(index: VectorIndex, queries: DataFrame, k: int = 8, probe: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
     """queries(query_id, query), unique ids -> (query_id, id, distance, rank) of the k nearest found; probe: lists a query looks into."""
     spark = queries.sparkSession
@@ -184,32 +261,8 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = 8, probe: int
     asked = written(probes(index, usable_queries, probe or index.probe), "probes")
     lists = [r["list"] for r in asked.select("list").distinct().collect()]  # at most one row a list
     wanted = stored if len(lists) == len(index.parts) else stored.filter(F.col("list").isin(lists))
-    centroids, most = index.centroids, k * candidates
-
-    def rank(codes: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "list": [], "part": [], "id": [], "rough": []}
-        if len(codes) and len(asking):
-            codes = codes.sort_values("id", ignore_index=True)
-            where = int(codes["list"].iloc[0])
-            x = np.frombuffer(b"".join(codes["code"]), np.int8).reshape(len(codes), -1) * codes["scale"].to_numpy()[:, None] + centroids[where]
-            own = (x**2).sum(1)
-            for name, q in zip(asking["query_id"], np.stack(asking["query"].to_list()), strict=True):
-                d = own - 2 * (x @ q) + q @ q
-                near = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if most < len(d) else np.arange(len(d))
-                near = near[np.argsort(d[near], kind="stable")][:most]
-                out["query_id"] += [name] * len(near)
-                out["list"] += [where] * len(near)
-                out["part"] += codes["part"].iloc[near].to_list()
-                out["id"] += codes["id"].iloc[near].to_list()
-                out["rough"] += d[near].tolist()
-        return pd.DataFrame(out)
-
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (wanted, "id"))]
-    blocks = max(1, -(-usable_queries.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    left = wanted.select("list", "part", "id", "code", "scale", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["list", "part", "block"]
-    rough = left.groupBy(keys).cogroup(asked.withColumn("block", block).groupBy(keys)).applyInPandas(rank, f"query_id {kinds[0]}, list int, part int, id {kinds[1]}, rough double")
+    most = k * candidates
+    rough = shortlists(index, wanted, asked, usable_queries, most)
     by = Window.partitionBy("query_id")
     short = rough.withColumn("r", F.row_number().over(by.orderBy("rough", "id"))).filter(F.col("r") <= most).select("query_id", "list", "part", "id")
     exact = wanted.select("list", "part", "id", "vector").join(short, ["list", "part", "id"]).join(usable_queries, "query_id").withColumn("distance", exact_distance(F.col("vector"), F.col("query")))

@@ -35,6 +35,19 @@ def test_probed_lists_hold_the_neighbours(spark, clustered, tmp_path, monkeypatc
     assert {(r.query_id, r.id, round(r.distance, 9), r["rank"]) for r in every.collect()} == {(r.query_id, r.id, round(r.distance, 9), r["rank"]) for r in truth.collect()}
 
 
+@pytest.mark.parametrize("held", [vi.HELD, 50])
+def test_a_query_brings_candidates_of_groups_not_of_lists(spark, clustered, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(vi, "PART_ROWS", 300)
+    index = vi.build_vector_index(clustered, str(tmp_path / "ix"))
+    q = clustered.filter("vec_id % 50 = 0 and vec_id < 900").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = vi.probes(index, q, len(index.parts))
+    monkeypatch.setattr(vi, "HELD", held)
+    rough = vi.shortlists(index, index.read(spark), asked, q, 4).collect()
+    assert asked.count() >= 18 * 20 and 18 * 4 <= len(rough) <= 18 * 4 * 3
+    equal = [r.id for r in vi.search_index(index, q.filter("query_id = 0"), 4, len(index.parts), 1).orderBy("rank").collect()]
+    assert equal == [0, 3, 6, 9]  # of 300 equal vectors
+
+
 def test_only_probed_lists_are_read(spark, clustered, tmp_path):
     index = vi.build_vector_index(clustered, str(tmp_path / "ix"))
     found = vi.search_index(index, clustered.filter("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 8, probe=2)
