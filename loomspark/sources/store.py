@@ -139,8 +139,8 @@ def open_index(spark: SparkSession, path: str, summaries: DataFrame, embed) -> D
 
 
 def page_files(pages: DataFrame) -> DataFrame:
-    """pages(url, ...) with file: a safe name, clashes numbered in order of the URL."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("url")) - 1
+    """pages(url, ...) with file: a safe name, clashes numbered in order of the URL, of equal URLs in order of the other columns."""
+    n = F.row_number().over(Window.partitionBy("name").orderBy("url", *[c for c in pages.columns if c != "url"])) - 1
     named = pages.withColumn("name", page_name(F.col("url"))).withColumn("n", n)
     return named.withColumn("file", F.concat("name", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), F.lit(".json"))).drop("name", "n")
 

@@ -330,3 +330,8 @@ def test_an_embedding_reads_its_text_once(spark):
                 plain[c.b] = c["count"]
         norm = max(sum(c * c for c in plain) ** 0.5, 1e-9)
         assert r.v == pytest.approx([c / norm for c in plain], abs=1e-6)
+
+
+def test_page_files_of_equal_urls_have_an_order(spark):
+    pages = spark.createDataFrame([("http://a/x", i) for i in (5, 3, 9, 1, 7)], "url string, page_id long")
+    assert {r.page_id: r.file for r in store.page_files(pages).collect()} == {1: "x.json", 3: "x_1.json", 5: "x_2.json", 7: "x_3.json", 9: "x_4.json"}
