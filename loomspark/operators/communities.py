@@ -283,19 +283,75 @@ def coarsened(keyed: DataFrame, scale: float, task_pairs: int, max_size: int | N
     return keyed, maps
 
 
+def _settled(pairs: DataFrame, found: DataFrame, scale: float, most: int) -> DataFrame:
+    """(node_id, community): found(node_id, community) after moves of single nodes by all tasks, to the community around of the highest gain, until none gains.
+
+    Sets that were joined are never parted again, so a node that went astray in an early round stays astray; here each is asked
+    once more, alone. Of two neighbours that gain, one moves in a round, so a node always moves next to one that stays. After the
+    first round only those beside a move are asked again. What a move cut off from its community becomes one.
+    """
+    ends = written(_ends(pairs).filter("x <> y").select("x", "y", "weight"), "settle-ends")
+    degree = _ends(pairs).groupBy("x").agg(F.sum("weight").alias("k"))
+    state = written(degree.join(found.select(F.col("node_id").alias("x"), F.col("community").alias("c")), "x"), "settle-state")
+    nodes, asked, left = state.count(), None, None
+    for r in range(MAX_ROUNDS):
+        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
+        own = state.select("x", "k", F.col("c").alias("own"))
+        near = ends
+        if asked is not None:
+            own, near = own.join(asked, "x", "left_semi"), near.join(asked, "x", "left_semi")
+        near = near.join(state.select(F.col("x").alias("y"), "c"), "y").select("x", "c", "weight")
+        near = near.unionByName(own.select("x", F.col("own").alias("c"), F.lit(0.0).alias("weight"))).groupBy("x", "c").agg(F.sum("weight").alias("w"))
+        near = near.join(own, "x").join(mass, "c")
+        gain = F.col("w") - scale * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
+        best = near.withColumn("gain", gain).groupBy("x", "k", "own").agg(F.max_by("c", F.struct("gain", "c")).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        wants = written(best.filter("gain > stay + 1e-9 * k").select("x", "own", "to"), "settle-wants")
+        if wants.isEmpty():
+            break
+        who = wants.select("x")
+        turn = lambda c: F.struct(F.xxhash64(c, F.lit(r)), F.col(c))  # noqa: E731, B023
+        rivals = ends.join(who, "x", "left_semi").join(who.withColumnRenamed("x", "y"), "y", "left_semi").filter(turn("x") < turn("y")).select("x").distinct()
+        moves = wants.join(rivals, "x", "left_anti")
+        if most < nodes:  # a community takes no more than it may hold
+            sizes = state.groupBy(F.col("c").alias("to")).agg(F.count("*").alias("n"))
+            place = F.row_number().over(Window.partitionBy("to").orderBy("x"))
+            moves = moves.withColumn("place", place).join(sizes, "to").filter(F.col("n") + F.col("place") <= most)
+        moves = written(moves.select("x", "own", "to"), "settle-moves")
+        if moves.isEmpty():
+            break
+        state = written(state.join(moves.select("x", "to"), "x", "left").select("x", "k", F.coalesce("to", "c").alias("c")), "settle-state")
+        beside = ends.join(moves.select(F.col("x").alias("y")), "y", "left_semi").select("x")
+        asked = written(beside.unionByName(who.join(moves.select("x"), "x", "left_anti")).distinct(), "settle-asked")
+        gone = moves.select(F.col("own").alias("c"))
+        left = gone if left is None else left.unionByName(gone)
+    if left is None:
+        return found
+    # only a community that lost a node can have come apart; a node without a link inside is alone
+    open_ = state.join(left.distinct(), "c", "left_semi").select("x", "c")
+    inside = ends.join(open_, "x").join(open_.withColumnsRenamed({"x": "y", "c": "y_c"}), "y").filter("c = y_c and x < y")
+    part = components(inside, "x", "y").withColumnsRenamed({"node": "x", "component": "part"})
+    part = open_.join(part, "x", "left").select("x", F.coalesce("part", "x").alias("part"))
+    state = written(state.join(part, "x", "left"), "settle-parts")
+    first = state.groupBy("c", "part").agg(F.min("x").alias("community"))
+    named = state.join(first, (state["c"] == first["c"]) & state["part"].eqNullSafe(first["part"]))
+    return named.select(F.col("x").alias("node_id"), "community")
+
+
 def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size: int | None = None, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(node_id, community): pairs(a, b, weight) clustered within each connected component, against the whole graph's weight.
 
     community is the smallest member. With max_size by hierarchical_leiden(), else by louvain().
     A component of at most task_pairs pairs is clustered by one task; one of more is coarsened() first by all tasks,
     and one task clusters the few sets that are left. Where that ends above task_pairs, its sets are the communities.
+    The nodes of such a component are _settled() one by one at the end.
     """
     total = float(pairs.agg(F.sum("weight").cast("double")).first()[0] or 0.0)
     kind = "a string, b string, weight double, component string, a_n bigint, b_n bigint"
     parts = components(pairs, "a", "b")
     keyed = pairs.select("a", "b", "weight").filter("b is not null").join(parts.withColumnsRenamed({"node": "a"}), "a")
     keyed = written(keyed.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in kind.split(", ")[:4])], F.lit(1).cast("bigint").alias("a_n"), F.lit(1).cast("bigint").alias("b_n")), "community-keyed")
-    keyed, maps = coarsened(keyed, resolution / (2 * max(total, 1e-9)), task_pairs, max_size)
+    first, scale = keyed, resolution / (2 * max(total, 1e-9))
+    keyed, maps = coarsened(keyed, scale, task_pairs, max_size)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])  # moves depend on the order of rows
@@ -318,7 +374,11 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     members = parts.select(F.col("node").cast("string").alias("node"), F.col("node").cast("string").alias("root"))
     for m in maps:
         members = members.join(m, F.col("root") == F.col("u"), "left").select("node", F.coalesce("p", "root").alias("root"))
-    return members.join(sets.withColumnRenamed("node_id", "root"), "root").select(F.col("node").alias("node_id"), "community")
+    every = written(members.join(sets.withColumnRenamed("node_id", "root"), "root").select(F.col("node").alias("node_id"), "community"), "community-every")
+    large = written(first.join(first.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs), "component", "left_semi"), "community-large-pairs")
+    nodes = large.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    settled = _settled(large, every.join(nodes, "node_id", "left_semi"), scale, max_size or 1 << 62)
+    return every.join(nodes, "node_id", "left_anti").unionByName(settled)
 
 
 def hierarchy(graph: Graph, resolution: float = 1.0, seed: int = 42, min_size: int = MIN_SIZE, algorithm: str = "leiden") -> DataFrame:

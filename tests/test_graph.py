@@ -171,6 +171,25 @@ def test_unequal_communities_by_all_tasks(spark):
     assert ours > 0.99 * whole > 0.5
 
 
+def test_strays_of_early_rounds_are_settled(spark):
+    """Nodes in the wrong community move one by one, what they held together comes apart, and a full community takes no more."""
+    cliques = {"a": 8, "b": 8, "p": 3, "q": 3}
+    edges = [(f"{g}{i}", f"{g}{j}") for g, n in cliques.items() for j in range(n) for i in range(j)]
+    edges += [("a0", "b0"), ("a6", "z"), ("a7", "z"), ("p0", "z"), ("q0", "z"), ("a1", "z"), ("a2", "z"), ("a3", "z")]
+    pairs = spark.createDataFrame([(a, b, 1.0, 1, 1) for a, b in edges], "a string, b string, weight double, a_n long, b_n long")
+    nodes = sorted({x for e in edges for x in e})
+    start = {x: {"a": "a0", "b": "a4", "p": "p0", "q": "p0", "z": "p0"}[x[0]] for x in nodes} | {x: "a4" for x in ("a4", "a5")} | {"b7": "a0"}
+    found = spark.createDataFrame(list(start.items()), "node_id string, community string")
+
+    def settled(most):
+        return {r.node_id: r.community for r in communities._settled(pairs, found, 1 / (2 * len(edges)), most).collect()}
+
+    assert settled(100) == {x: "a0" if x == "z" else x[0] + "0" for x in nodes}
+    held = settled(8)
+    assert set(held) == set(nodes) and max(list(held.values()).count(c) for c in held.values()) <= 10  # none grows that holds 8 or more
+    assert held["z"] == "p0"
+
+
 def test_leiden_communities_are_connected():
     def modularity(a, b, part):
         degree = np.bincount(a, minlength=len(part)) + np.bincount(b, minlength=len(part))
