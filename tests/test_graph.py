@@ -343,3 +343,39 @@ def test_dedup_by_order(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "a", None, None, "a", "b"])] + [(2, 0, None), (2, 1, "b")], "g int, o int, v string")
     assert sorted((r.g, r.o) for r in without_repeats(rows, ["g"], ["o"], "v").collect()) == [(1, 0), (1, 2), (1, 4), (1, 5), (2, 0), (2, 1)]
     assert sorted((r.g, r.o) for r in first_of_each(rows, ["g"], F.col("v"), "o").collect()) == [(1, 0), (1, 2), (1, 5), (2, 0), (2, 1)]
+
+
+def test_entities_of_a_changed_graph_need_no_relationships(spark, monkeypatch):
+    from loomspark.plans import catalog_index
+
+    def refused(*_):
+        raise AssertionError("relationships were read")
+
+    monkeypatch.setattr(catalog_index, "relations", refused)
+    monkeypatch.setattr(catalog_index, "_MADE", {})
+    for f in (catalog_index.t5_delta_nodes, catalog_index.t5_delta_entity_map):
+        assert f(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tables_of_a_changed_graph_are_written_once(spark, monkeypatch):
+    from loomspark.operators import delta
+
+    names, put = [], delta.written
+    monkeypatch.setattr(delta, "written", lambda df, name="table": names.append(name) or put(df, name))
+    state = delta.first_state(entities(spark), relations(spark))
+    gone = spark.createDataFrame([("c5",), ("c",)], "source_chunk string")
+    new, _ = delta.changed_state(state, gone, entities(spark).filter("name = 'A'"), relations(spark).filter("ord < 4"))
+    want = delta.first_state(entities(spark), relations(spark).filter("ord < 4"))
+    for table in ("entity_rows", "relation_rows", "entities", "relationships", "nodes", "edges", "entity_map"):
+        a, b = getattr(new, table), getattr(want, table)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), table
+    assert not {"entity-rows", "relation-rows", "entities", "relationships", "nodes"} & set(names)
+
+
+def test_names_lose_every_unicode_space(spark):
+    from loomspark.functions.text import normalize_name, strip
+
+    points = [chr(i) for i in range(1, 0x3100)]
+    names = spark.createDataFrame([(c + c + " A_" + c + "-b" + c,) for c in points] + [("",), (" \n",), (None,)], "name string")
+    old = F.translate(F.lower(strip(F.col("name"))), "_-", "  ")
+    assert names.filter(~old.eqNullSafe(normalize_name(F.col("name")))).count() == 0
