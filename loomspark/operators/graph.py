@@ -41,7 +41,8 @@ def build_edges(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node_id")
     r = r.join(ids, r.src == ids.node_id, "left_semi").join(ids, r.dst == ids.node_id, "left_semi")
     first = F.min(F.struct("ord", "relation_type", "description", "source_chunk"))
-    return r.groupBy("src", "dst").agg(first.alias("x"), F.sum("weight").alias("weight")).select("src", "dst", "x.relation_type", "x.description", "x.source_chunk", "weight", "x.ord")
+    # texts among the results make Spark sort by the keys: the hash decides nearly every comparison
+    return r.groupBy(F.xxhash64("src", "dst").alias("h"), "src", "dst").agg(first.alias("x"), F.sum("weight").alias("weight")).select("src", "dst", "x.relation_type", "x.description", "x.source_chunk", "weight", "x.ord")
 
 
 def rejected_relationships(relationships: DataFrame, nodes: DataFrame) -> DataFrame:

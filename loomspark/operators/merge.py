@@ -84,12 +84,13 @@ def told_once(rows: DataFrame, key: list[str], order: str, firsts: list[str], su
 
     A description that was folded in once is part of the text from then on, so a repeat adds nothing; it is
     combined before the shuffle, and a hot key reaches one task with its distinct descriptions only. One
-    with outer white space may lose it in the fold, so it is no repeat.
+    with outer white space may lose it in the fold, so it is no repeat. Texts among the results make Spark sort
+    by the keys; a hash before them decides nearly every comparison.
     """
     d = F.coalesce("description", F.lit(""))
     slim = rows.withColumn("description", d).withColumn("__ls_own", F.when(d != F.trim(d), F.col(order)))
     first = F.min(F.struct(F.col(order).alias("__ls_o"), *firsts)).alias("x")
-    return slim.groupBy(*key, "description", "__ls_own").agg(first, *[F.sum(c).alias(c) for c in sums or []]).select(*key, "description", *(sums or []), F.col("x.__ls_o").alias(order), *[f"x.{c}" for c in firsts])
+    return slim.groupBy(F.xxhash64(*key, "description").alias("__ls_h"), *key, "description", "__ls_own").agg(first, *[F.sum(c).alias(c) for c in sums or []]).select(*key, "description", *(sums or []), F.col("x.__ls_o").alias(order), *[f"x.{c}" for c in firsts])
 
 
 def merge_entities(entities: DataFrame, order: str = "ord") -> DataFrame:
@@ -104,5 +105,5 @@ def merge_relationships(relationships: DataFrame, order: str = "ord") -> DataFra
     """One row per (normalised ends, lower-cased relation): summed weight, folded description, first spelling."""
     o = F.col(order)
     keyed = relationships.withColumn("src", normalize_name(F.col("source"))).withColumn("dst", normalize_name(F.col("target"))).withColumn("rel_key", F.lower("relation_type"))
-    keyed = told_once(keyed, ["src", "dst", "rel_key"], order, ["source", "target", "relation_type", "source_chunk"], ["weight"]).groupBy("src", "dst", "rel_key")
-    return keyed.agg(F.min_by("source", o).alias("source"), F.min_by("target", o).alias("target"), F.min_by("relation_type", o).alias("relation_type"), folded(F.col("description"), o).alias("description"), F.sum("weight").alias("weight"), F.min_by("source_chunk", o).alias("source_chunk"), F.min(o).alias("ord")).drop("rel_key")
+    keyed = told_once(keyed, ["src", "dst", "rel_key"], order, ["source", "target", "relation_type", "source_chunk"], ["weight"]).groupBy(F.xxhash64("src", "dst", "rel_key").alias("__ls_h"), "src", "dst", "rel_key")
+    return keyed.agg(F.min_by("source", o).alias("source"), F.min_by("target", o).alias("target"), F.min_by("relation_type", o).alias("relation_type"), folded(F.col("description"), o).alias("description"), F.sum("weight").alias("weight"), F.min_by("source_chunk", o).alias("source_chunk"), F.min(o).alias("ord")).drop("rel_key", "__ls_h")
