@@ -20,7 +20,7 @@ from loomspark.operators.merge import entity_rows, merge_entities, merge_relatio
 from loomspark.operators.retrieval import nearest
 from loomspark.plans import catalog as base
 from loomspark.plans import evaluate
-from loomspark.plans.catalog import ENT, FOLD, G, NORM, RES, answers, corpus, graph, messages, query, table
+from loomspark.plans.catalog import ENT, FOLD, G, NORM, RES, answers, corpus, graph, messages, query, stored_graph, table
 from loomspark.plans.index_build import extraction_counts, extractions, load, store
 from loomspark.plans.search import Corpus, combined_search, global_search, local_search, most_connected, nearest_neighbours, relevant_nodes
 from loomspark.sources import store as stores
@@ -87,19 +87,19 @@ TITLES = """x as (select m.level, m.community, n.*, degree from m join nodes n u
  from titles join ents using (level, community) left join (select level, community, l, n as edges from rels) using (level, community)"""
 )
 def q6_contexts(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     return communities.contexts(g, written(dealt(g), "dealt"))
 
 
 @query(f"{G}, {DEALT} select p.level, p.community, e.src, e.dst, e.weight from edges e join m p on e.src = p.node_id join m q on e.dst = q.node_id and p.level = q.level and p.community = q.community")
 def j11_intra_edges(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     return communities.intra_edges(g.edges, dealt(g)).select("level", "community", "src", "dst", "weight")
 
 
 @query(f"{G}, {DEALT}, {TITLES} select node_id, case when community in ('k1', 'k3') then 0 else 1 end as level, case when community in ('k1', 'k3') then community else parent end as community, case when community in ('k1', 'k3') then community else parent end || ' told' as summary from m where level = 0")
 def j9_first_communities(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     m = written(dealt(g), "dealt")
     told = F.when((F.col("level") == 1) | F.col("community").isin("k1", "k3"), F.concat("community", F.lit(" told"))).otherwise("")
     summaries = communities.titles(g, m).withColumn("summary", told)
@@ -112,13 +112,13 @@ def j9_first_communities(spark, d):  # noqa: ANN001, ANN201
   - (select sum(mass * mass) from (select sum(degree) as mass from ends join c using (node_id) group by community)) / (4 * (select sum(weight) from und) ** 2), 9) as modularity"""
 )
 def a13_modularity(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     return communities.modularity(undirected(g.edges), dealt(g).filter("level = 0")).select(F.round("modularity", 9).alias("modularity"))
 
 
 @query("select 0 as level, 'all' as community, count(*) as n from (values (1), (2))")
 def a17_single_community(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     two = Graph(g.nodes.orderBy("ord").limit(2), g.edges, g.entity_map)
     return communities.hierarchy(two).groupBy("level", "community").agg(F.count("*").alias("n"))
 
@@ -128,7 +128,7 @@ ROWS = "rows as (select m.level, m.community as id, string_agg(distinct node_id,
 
 @query(f"{G}, {DEALT}, {TITLES}, {ROWS}, kids as (select parent as id, string_agg(distinct community, '|' order by community) as child_ids from m where parent is not null group by 1) select r.level, r.id, entity_ids, title, parent_id, coalesce(child_ids, '') as child_ids from rows r join titles t on t.level = r.level and t.community = r.id left join kids k on k.id = r.id and r.level = 1")
 def s7_stored_communities(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     m, path = written(dealt(g), "dealt"), fresh_path(spark, "communities")
     stores.save_communities(stores.community_rows(m, communities.titles(g, m)), path)
     return stores.load_communities(spark, path).select("level", "id", F.array_join("entity_ids", "|").alias("entity_ids"), "title", "parent_id", F.array_join("child_ids", "|").alias("child_ids"))
@@ -136,7 +136,7 @@ def s7_stored_communities(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"{G}, {DEALT}, {TITLES}, {ROWS} select r.level, r.id, title, num_entities, case when length(entity_ids) > 300 then entity_ids[:300] || '...' else entity_ids end as summary from rows r join titles t on t.level = r.level and t.community = r.id")
 def q12_list_communities(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     m = written(dealt(g), "dealt")
     rows = stores.community_rows(m, communities.titles(g, m))
     return stores.list_communities(rows.withColumn("summary", F.array_join("entity_ids", "|"))).select("level", "id", "title", "num_entities", "summary")
@@ -145,8 +145,8 @@ def q12_list_communities(spark, d):  # noqa: ANN001, ANN201
 @query(f"{G}, {DEALT}, {TITLES} select level, community, case when level = 1 then 'cached ' || title else 'new ' || title end as summary from titles")
 def q7_summaries(spark, d):  # noqa: ANN001, ANN201
     """Summaries of all communities: cached ones are reused, the others come from the provider and are added to the cache."""
-    g = graph(spark, d)
-    contexts = communities.titles(g, written(dealt(g), "dealt")).withColumn("context", F.col("title"))
+    g = stored_graph(spark, d)
+    contexts = written(communities.titles(g, written(dealt(g), "dealt")).withColumn("context", F.col("title")), "titles")
     path = fresh_path(spark, "summary-cache")
     known = contexts.filter("level = 1").select(F.sha2("context", 256).alias("context_hash"), "community", F.concat(F.lit("cached "), "title").alias("summary"))
     stores.summary_upsert(known, path)
@@ -158,7 +158,7 @@ def q7_summaries(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"{G}, {DEALT}, {TITLES} select community, sha256(title) as fingerprint from titles where n % 2 = 0")
 def k7_vector_index(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     said = communities.titles(g, written(dealt(g), "dealt")).withColumn("summary", F.when(F.col("n") % 2 == 0, F.col("title")).otherwise(""))
     path = fresh_path(spark, "index")
     for _ in range(2):  # built, then opened
@@ -176,18 +176,18 @@ def _degrees(g: Graph) -> DataFrame:
 
 @query(f"{G} select node_id, row_number() over (order by degree desc, ord) as match_rank from deg join nodes using (node_id) order by degree desc, ord limit 12")
 def l4_most_connected(spark, d):  # noqa: ANN001, ANN201
-    return most_connected(_degrees(graph(spark, d)), 12)
+    return most_connected(_degrees(stored_graph(spark, d)), 12)
 
 
 @query(f"{G}, {ADJ} select * from near")
 def l6_nearest_neighbours(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     return nearest_neighbours(g.edges, g.nodes.filter("ord % 50 = 0"), _degrees(g), 25)
 
 
 @query(f"{G}, {ADJ}, mixed as (select node_id, 1 as hit from seeds union all select node_id, 0 from near) select node_id, max(hit) as hit, any_value(degree) as degree from mixed join deg using (node_id) join nodes using (node_id) group by 1 order by hit desc, degree desc, any_value(ord) limit 25")
 def l5_relevant_nodes(spark, d):  # noqa: ANN001, ANN201
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     deg, seeds = _degrees(g), g.nodes.filter("ord % 50 = 0")
     near = nearest_neighbours(g.edges, seeds, deg, 25)
     return relevant_nodes(seeds, near, deg, 25).select("node_id", "hit", "degree")
@@ -199,7 +199,7 @@ def l5_relevant_nodes(spark, d):  # noqa: ANN001, ANN201
 )
 def a25_global_context(spark, d):  # noqa: ANN001, ANN201
     """Global search over titles, embedded by their length and how many letters a they have."""
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     m = written(dealt(g), "dealt")
     said = communities.titles(g, m).withColumn("summary", F.col("title"))
     embed = lambda c: F.array(F.length(c).cast("double"), F.regexp_count(c, F.lit("a")).cast("double"))
@@ -214,7 +214,7 @@ def a25_global_context(spark, d):  # noqa: ANN001, ANN201
 )
 def q3_fallbacks(spark, d):  # noqa: ANN001, ANN201
     """Global search without an index, for a question that matches nothing: a local one from the nodes of the highest degree."""
-    g = graph(spark, d)
+    g = stored_graph(spark, d)
     m = written(dealt(g), "dealt")
     chunks = table(spark, d, "conversations").select(F.lit("none of the graph").alias("chunk_id"), "text")
     told = communities.titles(g, m).withColumn("summary", F.lit(""))

@@ -379,3 +379,20 @@ def test_names_lose_every_unicode_space(spark):
     names = spark.createDataFrame([(c + c + " A_" + c + "-b" + c,) for c in points] + [("",), (" \n",), (None,)], "name string")
     old = F.translate(F.lower(strip(F.col("name"))), "_-", "  ")
     assert names.filter(~old.eqNullSafe(normalize_name(F.col("name")))).count() == 0
+
+
+def test_stored_graph_does_not_read_line_items_again(spark):
+    from loomspark.plans import catalog
+
+    g = catalog.stored_graph(spark, "/root/testdata/sf0.001")
+    assert not [f for x in (g.nodes, g.edges) for f in x.inputFiles() if "lineitem" in f]
+
+
+def test_contexts_rank_the_first_rows_of_a_community_only(spark, capsys):
+    g = path(spark)
+    members = spark.createDataFrame([(0, "k", x) for x in "abcd"], "level int, community string, node_id string")
+    found = communities.contexts(g, members, max_entities=2, max_edges=1)
+    assert found.first().context.endswith("\n  ... and 2 more entities\n\nRELATIONSHIPS:\n- (a) --[R]--> (b)\n  ... and 2 more relationships")
+    found.explain()
+    told = capsys.readouterr().out
+    assert "WindowGroupLimit" in told and "count(1) windowspec" not in told
