@@ -1,10 +1,13 @@
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark import storage
 from loomspark.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, pii, quality, queries, secret_scan, substring_dedup, url_filter
 from tests.llm import brute
 from tests.test_entry import compare, con  # noqa: F401
@@ -107,6 +110,47 @@ def test_links_of_texts_that_share_a_passage(spark):
     assert got == brute.links(rows)
 
 
+def shuffled_files(spark):
+    """Bytes of Spark's own shuffle files, at last 5 s after the last execution."""
+    for _ in range(50):
+        files = [f for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")]
+        if not (total := sum(f.length() for f in files)):
+            break
+        time.sleep(0.1)
+    return total
+
+
+def test_shuffle_files_of_written_tables_go(spark):
+    before = shuffled_files(spark)
+    kept = spark.conf.get(storage.SWEEP, None)
+    table = storage.written(spark.range(200_000).repartition(3, "id"))
+    assert table.count() == 200_000 and shuffled_files(spark) <= before + 10_000
+    assert spark.conf.get(storage.SWEEP, None) == kept
+    again = storage.written(table.filter("id < 10"))
+    storage.discard(table)
+    assert again.count() == 10 and not os.path.exists(table.inputFiles()[0].removeprefix("file://"))
+
+
+def test_links_leave_no_sets_on_disk(spark, monkeypatch):
+    """The steps of the join take their shuffle files with them, and only one table holds sets."""
+    sizes = {}
+
+    def noted(df, name="table", written=ngram_join.written):
+        sizes[name] = [c for c, kind in df.dtypes if kind == "binary"]
+        return written(df, name)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    base = words(120, 31).split()
+    texts = [" ".join(base[:40] + words(80, 100 + i).split()) for i in range(150)]
+    texts += [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 120, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before = shuffled_files(spark)
+    out = ngram_join.classes_of_links(docs)
+    assert shuffled_files(spark) <= before + 20_000
+    assert [n for n, c in sizes.items() if c and n != "join-counts"] == ["join-sets"]
+    assert out.groupBy("component_id").count().agg(F.max("count")).first()[0] == 40
+
+
 def test_rarest_keys_of_linked_sets_meet():
     r = np.random.default_rng(9)
     core = r.integers(0, 1 << 62, 300).astype(np.uint64)
