@@ -670,3 +670,22 @@ def test_pipeline(spark, odd):
         out = stage(spark, odd, D)
         assert set(odd.columns) <= set(out.columns) and out.count() <= odd.count()
         assert stage(spark, odd.limit(0), D).count() == 0
+
+
+def test_pipeline_keeps_one_stage_of_documents(spark, monkeypatch):
+    """A stage's documents go when the next one's are written; the last stage reads those before it."""
+    import corpus_pipeline
+
+    made = []
+
+    def noted(df, name):
+        made.append(storage.written(df, name))
+        return made[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "written", noted)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{i}", lambda spark, docs, sf_dir, i=i: docs.filter(docs["doc_id"] % 7 != i)) for i in range(5)])
+    out = corpus_pipeline.run(spark, D)
+    want = spark.read.parquet(f"{D}/documents.parquet").filter("doc_id % 7 > 4").count()
+    assert out.count() == want > 0
+    there = [os.path.exists(x.inputFiles()[0].removeprefix("file://")) for x in made]
+    assert there == [False, False, False, True]
