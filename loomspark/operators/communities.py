@@ -6,7 +6,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import entity_line, relation_line, strip_think
@@ -179,6 +179,28 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return one("a", "b").unionByName(one("b", "a"))
 
 
+def _best(ends: DataFrame, state: DataFrame, scale: float, tie: Column, asked: DataFrame | None = None) -> DataFrame:
+    """(x, k, own, to, gain, stay): for each node of state(x, k, c), or those asked(x), the community around of the highest gain, by tie if equal, and the gain of staying.
+
+    ends(x, y, weight) are without loops. The mass of a community goes with its nodes, so that ends are shuffled twice: to
+    their far nodes' communities, and back to the nodes, where all else is summed.
+    """
+    mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
+    at = written(state.select("x", "k", "c").join(mass, "c"), "community-masses")  # of known size, and read three times
+    own = at.select("x", "k", F.col("c").alias("own"), F.col("mass").alias("own_mass"))
+    if asked is not None:
+        own, ends = own.join(asked, "x", "left_semi"), ends.join(asked, "x", "left_semi")
+    near = ends.join(at.select(F.col("x").alias("y"), "c", "mass"), "y").select("x", "c", "mass", "weight")
+    key = ["x", "k", "own", "own_mass"]
+    # a node's own community counts even where no neighbour is in it, as does a node without any
+    mine = own.select("x", F.col("own").alias("c"), F.col("own_mass").alias("mass"), F.lit(0.0).alias("weight"))
+    near = near.unionByName(mine).join(own, "x").groupBy(*key, "c", "mass").agg(F.sum("weight").alias("w"))
+    stays = F.col("c") == F.col("own")
+    near = near.withColumn("gain", F.col("w") - scale * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)))
+    best = near.groupBy(*key).agg(F.max_by("c", F.struct(F.col("gain"), tie)).alias("to"), F.max("gain").alias("gain"), F.max(F.when(stays, F.col("gain"))).alias("stay"))
+    return best.drop("own_mass")
+
+
 def _moves(pairs: DataFrame, part: DataFrame | None, scale: float, seed: int) -> DataFrame:
     """(x, c): the community of each node after rounds of local moves by all tasks, from part(x, c) or each node alone.
 
@@ -190,15 +212,9 @@ def _moves(pairs: DataFrame, part: DataFrame | None, scale: float, seed: int) ->
     state = ends.groupBy("x").agg(F.sum("weight").alias("k"))
     state = state.withColumn("c", F.col("x")) if part is None else state.join(part, "x", "left").withColumn("c", F.coalesce("c", "x"))
     state = written(state.select("x", "k", "c", F.lit(False).alias("moved")), "moves-state")
-    nodes, quiet = state.count(), 0
+    nodes, quiet, inner = state.count(), 0, ends.filter("x <> y")
     for r in range(MOVE_ROUNDS):
-        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
-        near = ends.filter("x <> y").join(state.select(F.col("x").alias("y"), "c"), "y").select("x", "c", "weight")
-        near = near.unionByName(state.select("x", "c", F.lit(0.0).alias("weight"))).groupBy("x", "c").agg(F.sum("weight").alias("w"))
-        near = near.join(state.select("x", "k", F.col("c").alias("own")), "x").join(mass, "c")
-        gain = F.col("w") - scale * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
-        near = near.withColumn("gain", gain)
-        best = near.groupBy("x", "k", "own").agg(F.max_by("c", F.struct("gain", F.xxhash64("c", F.lit(seed)))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        best = _best(inner, state.select("x", "k", "c"), scale, F.xxhash64("c", F.lit(seed)))
         moves = (F.col("gain") > F.col("stay") + 1e-9 * F.col("k")) & (F.pmod(F.xxhash64("x", F.lit(seed), F.lit(r)), F.lit(2)) == 0)
         state = written(best.select("x", "k", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "moves-state")
         quiet = quiet + 1 if state.filter("moved").count() * 200 < nodes else 0
@@ -306,16 +322,7 @@ def _settled(pairs: DataFrame, found: DataFrame, scale: float, most: int) -> Dat
     state = written(degree.join(found.select(F.col("node_id").alias("x"), F.col("community").alias("c")), "x"), "settle-state")
     nodes, asked, left = state.count(), None, None
     for r in range(SETTLE_ROUNDS):
-        mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
-        own = state.select("x", "k", F.col("c").alias("own"))
-        near = ends
-        if asked is not None:
-            own, near = own.join(asked, "x", "left_semi"), near.join(asked, "x", "left_semi")
-        near = near.join(state.select(F.col("x").alias("y"), "c"), "y").select("x", "c", "weight")
-        near = near.unionByName(own.select("x", F.col("own").alias("c"), F.lit(0.0).alias("weight"))).groupBy("x", "c").agg(F.sum("weight").alias("w"))
-        near = near.join(own, "x").join(mass, "c")
-        gain = F.col("w") - scale * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
-        best = near.withColumn("gain", gain).groupBy("x", "k", "own").agg(F.max_by("c", F.struct("gain", "c")).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        best = _best(ends, state, scale, F.col("c"), asked)
         wants = written(best.filter("gain > stay + 1e-9 * k").withColumn("part", F.pmod(F.xxhash64("x", F.lit(-1)), F.lit(PARTS))), "settle-wants")
         if wants.isEmpty():
             break
@@ -355,10 +362,33 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     community is the smallest member. With max_size by hierarchical_leiden(), else by louvain().
     A component of at most task_pairs pairs is clustered by one task; one of more is coarsened() first by all tasks,
     and one task clusters the few sets that are left. Where that ends above task_pairs, its sets are the communities.
-    The nodes of such a component are _settled() one by one at the end.
+    The nodes of such a component are _settled() one by one at the end. Where there may be one, nodes are numbered for all these rounds.
     """
-    total = float(pairs.agg(F.sum("weight").cast("double")).first()[0] or 0.0)
-    kind = "a string, b string, weight double, component string, a_n bigint, b_n bigint"
+    total, n = pairs.agg(F.sum("weight").cast("double"), F.count("*")).first()
+    if n <= task_pairs:
+        return _detected(pairs, float(total or 0.0), resolution, seed, max_size, task_pairs, "string")
+    names = _numbered(pairs)
+    to = lambda x, e: x.join(names.withColumnsRenamed({"node": e, "id": f"{e}_id"}), e).drop(e).withColumnRenamed(f"{e}_id", e)
+    text = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight")
+    numbered = written(to(to(text, "a"), "b").select("a", "b", "weight"), "community-numbered")
+    found = _detected(numbered, float(total or 0.0), resolution, seed, max_size, task_pairs, "bigint")
+    back = lambda x, e: x.join(names.withColumnsRenamed({"id": e, "node": f"{e}_name"}), e).drop(e).withColumnRenamed(f"{e}_name", e)
+    return back(back(found, "node_id"), "community").select("node_id", "community")
+
+
+def _numbered(pairs: DataFrame) -> DataFrame:
+    """(node, id): the ends of pairs, numbered from 0 in order of their names, so that the smallest of some nodes stays the smallest."""
+    ends = pairs.filter("a is not null and b is not null").select(F.explode(F.array(F.col("a").cast("string"), F.col("b").cast("string"))).alias("node"))
+    ordered = written(ends.distinct().orderBy("node").select("node", F.monotonically_increasing_id().alias("at")), "community-ordered")
+    ordered = ordered.select("node", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at"))
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("start"))  # one row for each task of the sort
+    return written(ordered.join(F.broadcast(starts), "part").select("node", (F.col("start") + F.col("at")).alias("id")), "community-names")
+
+
+def _detected(pairs: DataFrame, total: float, resolution: float, seed: int, max_size: int | None, task_pairs: int, key: str) -> DataFrame:
+    """detect() of pairs whose nodes are of the type ``key``, string or bigint; total: the weight of all pairs."""
+    kind = f"a {key}, b {key}, weight double, component {key}, a_n bigint, b_n bigint"
     parts = components(pairs, "a", "b")
     keyed = pairs.select("a", "b", "weight").filter("b is not null").join(parts.withColumnsRenamed({"node": "a"}), "a")
     keyed = written(keyed.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in kind.split(", ")[:4])], F.lit(1).cast("bigint").alias("a_n"), F.lit(1).cast("bigint").alias("b_n")), "community-keyed")
@@ -367,7 +397,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])  # moves depend on the order of rows
-        names, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
+        names, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str if key == "string" else np.int64), return_inverse=True)
         a, b, w = at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(float)
         size = np.zeros(len(names), np.int64)
         size[a], size[b] = pdf["a_n"], pdf["b_n"]
@@ -375,7 +405,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
         low = {c: min(names[fine == c].tolist()) for c in np.unique(fine)}
         return pd.DataFrame({"node_id": names, "community": [low[c] for c in fine]})
 
-    found = "node_id string, community string"
+    found = f"node_id {key}, community {key}"
     if not maps:
         return keyed.groupBy("component").applyInPandas(cluster, found)
     over = keyed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component")
@@ -383,7 +413,7 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = 42, max_size:
     sets = keyed.join(over, "component", "left_anti").groupBy("component").applyInPandas(cluster, found)
     own = keyed.join(over, "component", "left_semi").select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
     sets = written(sets.unionByName(own.select("node_id", F.col("node_id").alias("community"))), "community-sets")
-    members = parts.select(F.col("node").cast("string").alias("node"), F.col("node").cast("string").alias("root"))
+    members = parts.select(F.col("node").cast(key).alias("node"), F.col("node").cast(key).alias("root"))
     for m in maps:
         members = members.join(m, F.col("root") == F.col("u"), "left").select("node", F.coalesce("p", "root").alias("root"))
     every = written(members.join(sets.withColumnRenamed("node_id", "root"), "root").select(F.col("node").alias("node_id"), "community"), "community-every")

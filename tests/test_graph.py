@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import communities, graph, merge, retrieval
@@ -396,3 +397,35 @@ def test_contexts_rank_the_first_rows_of_a_community_only(spark, capsys):
     found.explain()
     told = capsys.readouterr().out
     assert "WindowGroupLimit" in told and "count(1) windowspec" not in told
+
+
+def test_nodes_are_numbered_in_order_of_names(spark):
+    names = sorted(f"n{i * 7919 % 1000}" for i in range(1000))
+    pairs = spark.createDataFrame([(names[i], names[i * 37 % 1000], 1.0) for i in range(1000)] + [("n1", None, 1.0)], "a string, b string, weight double")
+    for parts in (1, 7):
+        got = communities._numbered(pairs.repartition(parts)).collect()
+        assert sorted((r.id, r.node) for r in got) == list(enumerate(names))
+
+
+def test_best_moves_by_plain_python(spark):
+    rng = random.Random(5)
+    links = sorted({(min(x), max(x)) for x in (rng.sample(range(40), 2) for _ in range(120))})
+    w = {p: float(rng.randint(1, 5)) for p in links}
+    at = {x: rng.randrange(6) for x in range(41)}  # 40 has no link
+    k = {x: sum(v for p, v in w.items() if x in p) for x in at}
+    mass = {c: sum(k[x] for x in at if at[x] == c) for c in at.values()}
+    scale, want = 1 / (2 * sum(w.values())), {}
+    for x in at:
+        near = {at[x]: 0.0}
+        for (a, b), v in w.items():
+            if x in (a, b):
+                c = at[b if x == a else a]
+                near[c] = near.get(c, 0.0) + v
+        gain = {c: v - scale * k[x] * (mass[c] - (k[x] if c == at[x] else 0)) for c, v in near.items()}
+        want[x] = (max(gain.values()), gain[at[x]])
+    ends = spark.createDataFrame([(a, b, v) for (a, b), v in w.items()] + [(b, a, v) for (a, b), v in w.items()], "x long, y long, weight double")
+    state = spark.createDataFrame([(x, float(k[x]), c) for x, c in at.items()], "x long, k double, c long")
+    asked = spark.createDataFrame([(3,), (40,)], "x long")
+    got = {r.x: (r.gain, r.stay) for r in communities._best(ends, state, scale, F.col("c")).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert {r.x for r in communities._best(ends, state, scale, F.col("c"), asked).collect()} == {3, 40}
